@@ -189,3 +189,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = scratch.keep(out, "near_duplicates")
     scratch.drop(sig, classes, buckets, star, sets, links, rest)
     return out
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that stay: one of each component, and all with a null id.
+    Of rows that repeat an id one stays."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    out = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    if not found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
+        out = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
+    return out
