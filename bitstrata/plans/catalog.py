@@ -1,6 +1,333 @@
-"""Registry of the engine's queries and their SQL twins."""
+"""Registry of the engine's queries and their SQL twins.
+
+A query's result has fixed column kinds: `l` integers as BIGINT, `d6` doubles rounded
+to six places, `s` strings, `b` booleans.  Both twins are cast by the same list.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bitstrata.functions import bits as B
+from bitstrata.operators import bitstats, codecs, coders, layout, model, neighbours, planning, roi, runs
+from bitstrata.sources import volumes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TRACES, SAMPLES = 50, 64
+VOL = """vol AS (SELECT p, t, s, v, v::BIT::INTEGER AS bits, (v::BIT::INTEGER >> 31) & 1 AS sgn, (v::BIT::INTEGER >> 23) & 255 AS e, v::BIT::INTEGER & 8388607 AS m FROM (
+  SELECT CAST(vec_id // 50 AS INTEGER) AS p, CAST(vec_id % 50 AS INTEGER) AS t, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS s, unnest(embedding) AS v FROM embeddings))"""
+LOCO = (
+    VOL
+    + """, nb AS (SELECT p, t, s, e, lag(e) OVER (PARTITION BY p, t ORDER BY s) AS u, lag(e) OVER (PARTITION BY p, s ORDER BY t) AS l FROM vol),
+nc AS (SELECT *, lag(u) OVER (PARTITION BY p, s ORDER BY t) AS c FROM nb),
+loco AS (SELECT p, t, s, e, u, l, CASE WHEN l IS NULL AND u IS NULL THEN 0 WHEN l IS NULL THEN u WHEN u IS NULL THEN l ELSE least(greatest(l + u - c, 0), 255) END AS pred FROM nc),
+res AS (SELECT *, (e - pred) & 255 AS r FROM loco)"""
+)
+
+
+def shaped(df: DataFrame, kinds: str) -> DataFrame:
+    out = []
+    for part in kinds.split():
+        name, kind = part.split(":")
+        c = F.col(name)
+        out.append((c.cast("long") if kind == "l" else F.round(c.cast("double"), int(kind[1:])) if kind[0] == "d" else c.cast("boolean") if kind == "b" else c.cast("string")).alias(name))
+    return df.select(*out)
+
+
+def _sql(kinds: str, sql: str) -> str:
+    out = []
+    for part in kinds.split():
+        name, kind = part.split(":")
+        out.append(f"CAST({name} AS BIGINT) AS {name}" if kind == "l" else f"ROUND(CAST({name} AS DOUBLE), {kind[1:]}) AS {name}" if kind[0] == "d" else f"CAST({name} AS {'BOOLEAN' if kind == 'b' else 'VARCHAR'}) AS {name}")
+    head, _, body = sql.rpartition("\n--\n")
+    return f"{'WITH ' + head if head else ''} SELECT {', '.join(out)} FROM ({body}) AS q"
+
+
+def query(kinds: str, sql: str | None = None):
+    """Registers a query; `sql` is `ctes` + a line of -- + `select`, or the select alone."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return shaped(f(spark, sf_dir), kinds)
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = _sql(kinds, sql)
+        return f
+
+    return add
+
+
+def vol(spark: SparkSession, sf: str) -> DataFrame:
+    return volumes.embedding_volume(spark, sf, TRACES)
+
+
+def exps(spark: SparkSession, sf: str) -> DataFrame:
+    return volumes.exponents(vol(spark, sf))
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ------------------------------------------------------------ bit fields
+
+
+@query("p:l t:l s:l sgn:l e:l m:l", f"{VOL}\n--\nSELECT p, t, s, sgn, e, m FROM vol")
+def float_components(spark, sf):
+    b = F.col("bits")
+    return vol(spark, sf).select("p", "t", "s", B.sign(b).alias("sgn"), B.exponent(b).alias("e"), B.mantissa(b).alias("m"))
+
+
+@query("n:l mismatches:l total_bits:l", f"{VOL}\n--\nSELECT count(*) AS n, count(*) FILTER (((sgn << 31) | (e << 23) | m) <> bits) AS mismatches, sum(CAST(bits AS BIGINT)) AS total_bits FROM (SELECT CAST(sgn AS BIGINT) AS sgn, e, m, CAST(bits AS BIGINT) & 4294967295 AS bits FROM vol)")
+def float_roundtrip(spark, sf):
+    b = F.col("bits")
+    again = vol(spark, sf).select("bits", B.float_of(B.compose(B.sign(b), B.exponent(b), B.mantissa(b))).alias("v2")).select("bits", B.bits_of("v2").alias("b2"))
+    return again.agg(F.count("*").alias("n"), F.count_if(F.col("bits") != F.col("b2")).alias("mismatches"), F.sum(F.col("bits").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("total_bits"))
+
+
+@query("p:l t:l s:l text:s", f"{VOL}\n--\nSELECT p, t, s, concat_ws('|', sgn, lpad(bin(e), 8, '0'), lpad(bin(m), 23, '0')) AS text FROM vol")
+def binary_string(spark, sf):
+    return vol(spark, sf).select("p", "t", "s", B.binary_text(F.col("bits")).alias("text"))
+
+
+@query("p:l t:l s:l mid15:l lo4:l hi4:l side:l mid_low:l mid_high:l nib19:l nib15:l nib4:l nib0:l", f"{VOL}\n--\nSELECT p, t, s, (m >> 4) & 32767 AS mid15, m & 15 AS lo4, (m >> 19) & 15 AS hi4, (((m >> 19) & 15) << 4) | (m & 15) AS side, (m >> 4) & 255 AS mid_low, (m >> 12) & 127 AS mid_high, (m >> 19) & 15 AS nib19, (m >> 15) & 15 AS nib15, (m >> 4) & 15 AS nib4, m & 15 AS nib0 FROM vol")
+def mantissa_split(spark, sf):
+    return vol(spark, sf).select("p", "t", "s", *[c.alias(k) for k, c in B.mantissa_parts(B.mantissa(F.col("bits"))).items()])
+
+
+@query("p:l t:l s:l b0:l b1:l b2:l word:s", f"{VOL}\n--\nSELECT p, t, s, m & 255 AS b0, (m >> 8) & 255 AS b1, (m >> 16) & 127 AS b2, lpad(hex(CAST(bits AS BIGINT) & 4294967295), 8, '0') AS word FROM vol")
+def packed_bytes(spark, sf):
+    return vol(spark, sf).select("p", "t", "s", *[c.alias(k) for k, c in B.packed_bytes(B.mantissa(F.col("bits"))).items()], B.big_endian_hex(F.col("bits")).alias("word"))
+
+
+@query("k:l ones:l n:l", f"{VOL}\n--\nSELECT k, sum((m >> CAST(k AS INTEGER)) & 1) AS ones, count(*) AS n FROM vol, range(23) r(k) GROUP BY k")
+def bitplane_counts(spark, sf):
+    return bitstats.plane_counts(vol(spark, sf))
+
+
+_IBM = """x AS (SELECT DISTINCT CAST(l_extendedprice AS FLOAT) AS v FROM lineitem), y AS (SELECT v, abs(CAST(v AS DOUBLE)) AS a FROM x),
+z AS (SELECT v, a, floor(log2(a) / 4) AS k FROM y), w AS (SELECT v, a, k + CASE WHEN floor(a / pow(16.0, k) * 16777216.0) >= 16777216 THEN 1 ELSE 0 END AS k FROM z),
+i AS (SELECT v, CASE WHEN v < 0 THEN 2147483648 ELSE 0 END + (CAST(k AS BIGINT) + 64) * 16777216 + CAST(floor(a / pow(16.0, k) * 16777216.0) AS BIGINT) AS word FROM w)"""
+
+
+@query("v:d3 word:l again:d3", f"{_IBM}\n--\nSELECT v, word, CAST((word & 16777215) / 16777216.0 * pow(16.0, ((word >> 24) & 127) - 64) AS FLOAT) AS again FROM i")
+def ibm_roundtrip(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_extendedprice").cast("float").alias("v")).distinct()
+    x = x.withColumn("word", B.ibm_word(F.col("v")))
+    return x.withColumn("again", B.ibm_value(F.col("word")))
+
+
+@query("b:l text:s", "SELECT n_chars AS b, CASE WHEN n_chars = 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN CAST(round(CAST(n_chars AS DOUBLE), 2) AS VARCHAR) || ' Bytes' WHEN n_chars < 1048576 THEN CAST(round(n_chars / 1024.0, 2) AS VARCHAR) || ' KB' ELSE CAST(round(n_chars / 1048576.0, 2) AS VARCHAR) || ' MB' END AS text FROM (SELECT DISTINCT n_chars FROM documents)")
+def file_size_text(spark, sf):
+    return table(spark, sf, "documents").select(F.col("n_chars").alias("b")).distinct().withColumn("text", B.file_size_text(F.col("b")))
+
+
+@query("i:l p:l t:l s:l", f"{VOL}\n--\nSELECT CAST(p AS BIGINT) * 3200 + t * 64 + s AS i, p, t, s FROM vol")
+def linear_index(spark, sf):
+    v = vol(spark, sf).select(volumes.linear_index(F.col("p"), F.col("t"), F.col("s"), TRACES, SAMPLES).alias("i"))
+    p, t, s = volumes.from_linear(F.col("i"), 1 << 30, TRACES, SAMPLES)
+    return v.select("i", p.alias("p"), t.alias("t"), s.alias("s"))
+
+
+@query("i:l b:l d:l back:l", "x AS (SELECT i, CAST(l_quantity AS INTEGER) & 255 AS b FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS i, l_quantity FROM lineitem) WHERE i < 2000)\n--\nSELECT i, b, CASE WHEN i < 3 THEN b ELSE (b - lag(b) OVER (ORDER BY i)) & 255 END AS d, b AS back FROM x")
+def byte_delta(spark, sf):
+    """Byte differences of a stream of 2000, and their running sums modulo 256."""
+    k = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    x = table(spark, sf, "lineitem").orderBy(*k).limit(2000).select(*k, F.col("l_quantity").cast("int").bitwiseAND(F.lit(255)).alias("b"))
+    x = x.withColumn("i", F.row_number().over(Window.orderBy(*k)) - 1)
+    w = Window.orderBy("i")
+    x = x.withColumn("d", F.when(F.col("i") < 3, F.col("b")).otherwise((F.col("b") - F.lag("b").over(w)).bitwiseAND(F.lit(255))))
+    tail = F.sum(F.when(F.col("i") >= 2, F.when(F.col("i") == 2, F.col("b")).otherwise(F.col("d"))).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.select("i", "b", "d", F.when(F.col("i") < 3, F.col("b")).otherwise(tail.bitwiseAND(F.lit(255))).alias("back"))
+
+
+@query("p:l t:l s:l grey:l", f"{VOL}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM vol WHERE p = 1)\n--\nSELECT p, t, s, floor(least(greatest((CAST(v AS DOUBLE) - lo) / CASE WHEN hi = lo THEN 1 ELSE CAST(hi AS DOUBLE) - lo END, 0), 1) * 255 + 0.5) AS grey FROM vol, g WHERE p = 1")
+def grey_levels(spark, sf):
+    """One profile scaled from its range to 0..255."""
+    one = vol(spark, sf).filter("p = 1")
+    g = one.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    x = one.crossJoin(F.broadcast(g))  # one row
+    span = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
+    return x.select("p", "t", "s", F.floor(F.least(F.greatest((F.col("v").cast("double") - F.col("lo")) / span, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).alias("grey"))
+
+
+@query("p:l lo:d6 hi:d6 lo_trim:d6 hi_trim:d6", f"{VOL}\n--\nSELECT p, min(CAST(v AS DOUBLE)) AS lo, max(CAST(v AS DOUBLE)) AS hi, min(CAST(v AS DOUBLE)) + 0.02 * (max(CAST(v AS DOUBLE)) - min(CAST(v AS DOUBLE))) AS lo_trim, max(CAST(v AS DOUBLE)) - 0.02 * (max(CAST(v AS DOUBLE)) - min(CAST(v AS DOUBLE))) AS hi_trim FROM vol GROUP BY p")
+def trimmed_range(spark, sf):
+    v = F.col("v").cast("double")
+    g = vol(spark, sf).groupBy("p").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    return g.withColumn("lo_trim", F.col("lo") + 0.02 * span).withColumn("hi_trim", F.col("hi") - 0.02 * span)
+
+
+# ------------------------------------------------------------ bit statistics
+
+
+@query("symbol:l n:l", f"{VOL}\n--\nSELECT b.symbol, count(vol.e) AS n FROM range(256) b(symbol) LEFT JOIN vol ON vol.e = b.symbol GROUP BY b.symbol")
+def exponent_histogram(spark, sf):
+    return bitstats.histogram(vol(spark, sf), B.exponent(F.col("bits")))
+
+
+@query("total:l bins:l entropy:d6 most:d6", f"{VOL}, c AS (SELECT e, count(*) AS n FROM vol GROUP BY e), z AS (SELECT sum(n) AS total FROM c)\n--\nSELECT max(total) AS total, count(*) AS bins, -sum(n / total * log2(n / total)) AS entropy, log2(count(*)) AS most FROM c, z")
+def exponent_entropy(spark, sf):
+    return bitstats.entropy(exponent_histogram(spark, sf)).withColumn("most", F.log2("bins"))
+
+
+_STATS = "count(*) AS n, avg(e) AS mean_exponent, count(*) FILTER (v > 0) AS pos, count(*) FILTER (v < 0) AS neg, count(*) FILTER (v = 0) AS zero, count(*) FILTER (v <> 0) / count(*) AS nonzero_ratio, (count(*) FILTER (v > 0) - count(*) FILTER (v < 0)) / count(*) AS balance"
+
+
+@query("p:l t:l n:l mean_exponent:d6 pos:l neg:l zero:l nonzero_ratio:d6 balance:d6", f"{VOL}\n--\nSELECT p, t, {_STATS} FROM vol GROUP BY GROUPING SETS ((p, t), ())")
+def bit_stats_grouping(spark, sf):
+    return bitstats.volume_stats(vol(spark, sf))
+
+
+@query("n:l mean_exponent:d6 pos:l neg:l zero:l nonzero_ratio:d6 balance:d6", f"{VOL}\n--\nSELECT {_STATS} FROM vol")
+def bit_stats_global(spark, sf):
+    return bitstats.volume_stats(vol(spark, sf)).filter("p is null").drop("p", "t")
+
+
+@query("p:l t:l n:l mean_exponent:d6 pos:l neg:l mean_high:d6", f"{VOL}\n--\nSELECT p, t, count(*) AS n, avg(e) AS mean_exponent, count(*) FILTER (sgn = 0) AS pos, count(*) FILTER (sgn = 1) AS neg, avg(m >> 16) AS mean_high FROM vol WHERE p BETWEEN 2 AND 4 AND t BETWEEN 10 AND 19 AND s BETWEEN 8 AND 39 GROUP BY p, t")
+def local_bit_stats(spark, sf):
+    b = F.col("bits")
+    return vol(spark, sf).filter(F.col("p").between(2, 4) & F.col("t").between(10, 19) & F.col("s").between(8, 39)).groupBy("p", "t").agg(F.count("*").alias("n"), F.avg(B.exponent(b)).alias("mean_exponent"), *bitstats.sign_counts(b, split_zero=False), F.avg(F.shiftright(B.mantissa(b), 16)).alias("mean_high"))
+
+
+_H = f"{VOL}, k AS (SELECT k, sum((m >> CAST(k AS INTEGER)) & 1) / count(*) AS q FROM vol, range(23) r(k) GROUP BY k), h AS (SELECT k, CASE WHEN q <= 0 OR q >= 1 THEN 0 ELSE -(q * log2(q) + (1 - q) * log2(1 - q)) END AS h, CASE WHEN k >= 16 THEN 'high' WHEN k >= 8 THEN 'mid' ELSE 'low' END AS grp FROM k)"
+
+
+@query("k:l h:d6 cumulative:d6 grp:s", f"{_H}\n--\nSELECT k, h, sum(h) OVER (ORDER BY k) AS cumulative, grp FROM h")
+def per_bit_entropy(spark, sf):
+    return bitstats.bit_entropies(vol(spark, sf))
+
+
+@query("grp:s bits:d6 share:d6", f"{_H}\n--\nSELECT grp, sum(h) AS bits, sum(h) / 23 AS share FROM h GROUP BY grp")
+def bit_group_entropy(spark, sf):
+    return bitstats.bit_entropies(vol(spark, sf)).groupBy("grp").agg(F.sum("h").alias("bits"), (F.sum("h") / 23).alias("share"))
+
+
+@query("stream:s entropy:d6 kl:d6", f"{VOL}, n AS (SELECT stream, x, count(*) AS n FROM (SELECT 'nib19' AS stream, (m >> 19) & 15 AS x FROM vol UNION ALL SELECT 'nib15', (m >> 15) & 15 FROM vol UNION ALL SELECT 'nib4', (m >> 4) & 15 FROM vol UNION ALL SELECT 'nib0', m & 15 FROM vol) GROUP BY stream, x), z AS (SELECT stream, sum(n) AS z FROM n GROUP BY stream)\n--\nSELECT stream, -sum(n / z * log2(n / z)) AS entropy, 4 + sum(n / z * log2(n / z)) AS kl FROM n JOIN z USING (stream) GROUP BY stream")
+def nibble_entropy(spark, sf):
+    parts = B.mantissa_parts(B.mantissa(F.col("bits")))
+    x = vol(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(k).alias("stream"), parts[k].alias("x")) for k in ("nib19", "nib15", "nib4", "nib0")])).alias("z")).select("z.*")
+    return bitstats.entropy(x.groupBy("stream", "x").agg(F.count("*").alias("n")), ("stream",)).withColumn("kl", 4 - F.col("entropy"))
+
+
+@query("t:l s:l v:d6 vmin:d6 vmax:d6", f"{VOL}, x AS (SELECT t, s, v FROM vol WHERE p = 3 AND t % 3 = 0 AND s % 4 = 0 AND t // 3 < 16)\n--\nSELECT t, s, v, (SELECT min(v) FROM x) AS vmin, (SELECT max(v) FROM x) AS vmax FROM x")
+def heatmap_slice(spark, sf):
+    return bitstats.heat_map(vol(spark, sf), 3, 16, 16)
+
+
+@query("s:l v:d6 lo:d6 hi:d6", f"{VOL}\n--\nSELECT s, v, min(CAST(v AS DOUBLE)) OVER () - 0.05 * (max(CAST(v AS DOUBLE)) OVER () - min(CAST(v AS DOUBLE)) OVER ()) AS lo, max(CAST(v AS DOUBLE)) OVER () + 0.05 * (max(CAST(v AS DOUBLE)) OVER () - min(CAST(v AS DOUBLE)) OVER ()) AS hi FROM vol WHERE p = 2 AND t = 7")
+def waveform(spark, sf):
+    one = vol(spark, sf).filter("p = 2 and t = 7").select("p", "s", F.col("v").cast("double").alias("v"))
+    w = Window.partitionBy("p")
+    lo, hi = F.min("v").over(w), F.max("v").over(w)
+    return one.select("s", "v", (lo - 0.05 * (hi - lo)).alias("lo"), (hi + 0.05 * (hi - lo)).alias("hi"))
+
+
+# ------------------------------------------------------------ prediction and orders
+
+
+@query("p:l t:l s:l e:l pred:l r:l", f"{LOCO}\n--\nSELECT p, t, s, e, pred, r FROM res")
+def loco_residual(spark, sf):
+    return neighbours.residuals(exps(spark, sf))
+
+
+@query("r:l n:l", f"{LOCO}\n--\nSELECT r, count(*) AS n FROM res GROUP BY r")
+def loco_residual_histogram(spark, sf):
+    return neighbours.residuals(exps(spark, sf)).groupBy("r").agg(F.count("*").alias("n"))
+
+
+@query("p:l t:l s:l ok:b", f"{LOCO}\n--\nSELECT p, t, s, ((pred + r) & 255) = e AS ok FROM res")
+def residual_restore(spark, sf):
+    return neighbours.residuals(exps(spark, sf)).select("p", "t", "s", (B.restore(F.col("r"), F.col("pred"), "residual") == F.col("e")).alias("ok"))
+
+
+@query("p:l t:l s:l place:l", f"{VOL}\n--\nSELECT p, t, s, row_number() OVER (PARTITION BY t + s ORDER BY p, t) - 1 AS place FROM vol")
+def diag_order(spark, sf):
+    """Place of each voxel in its wavefront t + s: profiles first, then traces."""
+    return vol(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy(F.col("t") + F.col("s")).orderBy("p", "t")) - 1)
+
+
+@query("p:l t:l s:l place:l", f"{VOL}\n--\nSELECT p, t, s, row_number() OVER (PARTITION BY p + t + s ORDER BY p, t, s) - 1 AS place FROM vol")
+def diag_order_3d(spark, sf):
+    return vol(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy(F.col("p") + F.col("t") + F.col("s")).orderBy("p", "t", "s")) - 1)
+
+
+_CELLS = """, ctr AS (SELECT p, t, s FROM vol WHERE t % 10 = 0 AND s % 16 = 5), off AS (SELECT a.dt, b.ds FROM (SELECT CAST(x AS INTEGER) - 4 AS dt FROM range(9) r(x)) a, (SELECT CAST(x AS INTEGER) - 8 AS ds FROM range(17) r(x)) b),
+cand AS (SELECT p, t, s, dt, ds, t + dt AS tt, s + ds AS ss, least(greatest(t + dt, 0), 49) AS ct, least(greatest(s + ds, 0), 63) AS cs, (t + dt BETWEEN 0 AND 49) AND (s + ds BETWEEN 0 AND 63) AND {before} AS real FROM ctr, off),
+pick AS (SELECT *, CASE WHEN real THEN tt WHEN s > 0 AND ct = t THEN t WHEN t > 0 AND {other} THEN least(ct, t - 1) END AS gt, CASE WHEN real THEN ss WHEN s > 0 AND ct = t THEN s - 1 WHEN t > 0 AND {other} THEN cs END AS gs FROM cand)"""
+_PATCH = "SELECT k.p, k.t, k.s, dt, ds, coalesce(e, 0) AS value, CASE WHEN gt IS NULL THEN 0 ELSE 1 END AS usable, CAST(real AS INTEGER) AS real, CASE WHEN gt IS NOT NULL AND NOT real THEN 1 ELSE 0 END AS mapped FROM pick k LEFT JOIN vol v ON v.p = k.p AND v.t = k.gt AND v.s = k.gs"
+
+
+def _centres(v: DataFrame) -> DataFrame:
+    return v.filter("t % 10 = 0 and s % 16 = 5")
+
+
+@query("p:l t:l s:l dt:l ds:l value:l usable:l real:l mapped:l", f"{VOL}{_CELLS.format(before='t + dt + s + ds < t + s', other='least(ct, t - 1) + cs < t + s')}\n--\n{_PATCH}")
+def causal_patch(spark, sf):
+    e = exps(spark, sf)
+    return neighbours.patch_cells(e, _centres(e), traces=TRACES, samples=SAMPLES)
+
+
+@query("p:l t:l s:l dt:l ds:l value:l usable:l real:l mapped:l", f"{VOL}{_CELLS.format(before='(dt < 0 OR (dt = 0 AND ds < 0))', other='TRUE')}\n--\n{_PATCH}")
+def causal_patch_raster(spark, sf):
+    e = exps(spark, sf)
+    return neighbours.patch_cells(e, _centres(e), mode="raster", traces=TRACES, samples=SAMPLES)
+
+
+@query("p:l t:l s:l dt:l ds:l value:l", f"{VOL}\n--\nSELECT c.p, c.t, c.s, v.t - c.t AS dt, v.s - c.s AS ds, v.e AS value FROM vol c JOIN vol v ON v.p = c.p AND v.t BETWEEN c.t - 4 AND c.t AND v.s BETWEEN c.s - 8 AND c.s + 8 AND (v.t < c.t OR v.s < c.s) WHERE c.t % 10 = 0 AND c.s % 16 = 5")
+def strict_patch(spark, sf):
+    e = exps(spark, sf)
+    return neighbours.strict_cells(e, _centres(e))
+
+
+@query("p:l t:l s:l min_value:d6 max_value:d6 mean_value:d6 usable:l", f"{VOL}{_CELLS.format(before='t + dt + s + ds < t + s', other='least(ct, t - 1) + cs < t + s')}, f AS ({_PATCH})\n--\nSELECT p, t, s, min(value / 255) AS min_value, max(value / 255) AS max_value, avg(value / 255) AS mean_value, sum(usable) AS usable FROM f GROUP BY p, t, s")
+def patch_channels(spark, sf):
+    x = F.col("value") / 255
+    return causal_patch(spark, sf).groupBy("p", "t", "s").agg(F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.sum("usable").alias("usable"))
+
+
+# ------------------------------------------------------------ runs
+
+_RUNS = f"{VOL}, o AS (SELECT p, t * 64 + s AS i, sgn FROM vol), n AS (SELECT *, CASE WHEN lag(sgn) OVER (ORDER BY p, i) = sgn THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (ORDER BY p, i ROWS UNBOUNDED PRECEDING) AS g FROM n), runs AS (SELECT g - 1 AS run, count(*) AS length, min(sgn) AS value FROM g GROUP BY g)"
+
+
+def _sign_runs(spark, sf):
+    v = vol(spark, sf).select("p", (F.col("t") * SAMPLES + F.col("s")).alias("i"), B.sign(F.col("bits")).alias("sgn"))
+    return runs.run_lengths(v, F.col("sgn"), "p", "i")
+
+
+@query("run:l length:l value:l", f"{_RUNS}\n--\nSELECT run, length, value FROM runs")
+def sign_runs(spark, sf):
+    return runs.numbered(_sign_runs(spark, sf)).select("run", F.col("n").alias("length"), "value")
+
+
+@query("run:l length:l delta:l", f"{_RUNS}\n--\nSELECT run, length, coalesce(length - lag(length) OVER (ORDER BY run), 0) AS delta FROM runs")
+def run_deltas(spark, sf):
+    return runs.run_deltas(_sign_runs(spark, sf))
+
+
+@query("run_count:l max_run:l first_run:l bytes_each:l", f"{_RUNS}\n--\nSELECT count(*) AS run_count, max(length) AS max_run, min_by(length, run) AS first_run, CASE WHEN max(length) < 256 THEN 1 WHEN max(length) < 65536 THEN 2 ELSE 4 END AS bytes_each FROM runs")
+def run_stats(spark, sf):
+    m = F.max("n")
+    return _sign_runs(spark, sf).agg(F.count("*").alias("run_count"), m.alias("max_run"), F.min_by("n", F.struct("b", "r")).alias("first_run"), F.when(m < 256, 1).when(m < 65536, 2).otherwise(4).alias("bytes_each"))
+
+
+@query("length:l n:l", f"{_RUNS}\n--\nSELECT length, count(*) AS n FROM runs GROUP BY length")
+def run_histogram(spark, sf):
+    return _sign_runs(spark, sf).groupBy(F.col("n").alias("length")).agg(F.count("*").alias("k")).withColumnRenamed("k", "n")
+
+
+@query("block:l byte:l n:l", f"{VOL}, b AS (SELECT p AS block, (t * 64 + s) // 8 AS at, sum(sgn << ((t * 64 + s) % 8)) AS byte FROM vol GROUP BY ALL)\n--\nSELECT block, byte, count(*) AS n FROM b GROUP BY block, byte")
+def sign_bitpack(spark, sf):
+    """Bytes of the packed sign stream, lowest bit first, counted by value."""
+    i = F.col("t") * SAMPLES + F.col("s")
+    x = vol(spark, sf).select("p", i.alias("i"), B.sign(F.col("bits")).alias("sgn")).groupBy(F.col("p").alias("block"), F.floor(F.col("i") / 8).alias("at")).agg(F.sum(F.expr("shiftleft(sgn, cast(i % 8 as int))")).alias("byte"))
+    return x.groupBy("block", "byte").agg(F.count("*").alias("n"))
