@@ -9,7 +9,7 @@ rounds on real link graphs.  Nothing is collected; a hub's edges are reduced by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bitstrata.llm import scratch
@@ -28,9 +28,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-    return int(r[0]), int(r[1] or 0)
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a table, with their number and a sum that tells whether any has moved."""
+    seen = Observation()
+    out = scratch.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("h")), "edges")
+    return out, (int(seen.get["n"]), int(seen.get["h"] or 0))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,11 +40,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     smallest node reachable.  Links may repeat, point both ways or to itself;
     links with a null end are left out.  No links: no rows."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = scratch.keep(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "edges")
-    state = _state(edges)
+    edges, state = _kept(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter(x.isNotNull() & y.isNotNull() & (x != y)).distinct())
     while state[0]:
-        after = scratch.keep(_star(_star(edges, True), False), "edges")
-        now = _state(after)
+        after, now = _kept(_star(_star(edges, True), False))
         scratch.drop(edges)
         edges, same = after, now == state
         state = now

@@ -1,194 +1,36 @@
-"""Near-duplicate documents by min-max hashing.
+"""Near-duplicate documents: distinct five-word shingles, linked by min-max hashing.
 
-Every document is its set of distinct five-word shingles.  `n_perm`
-permutations are evaluated once each and give two signature values, the
-minimum and the maximum, so 160 values cost 80 evaluations a shingle.  Bands of
-five values retrieve candidates; a link counts only after the full sets have
-been compared as integers (`100 * intersection >= 85 * union`).
-
-Plan, in tables that are written and read again:
-
-1. one pass over the text: set size, set fingerprint and band keys a document;
-   documents with equal sets fold into the smallest id before any shuffle of
-   bands, so a group of copies of any size is one row from here on;
-2. band keys that several sets share: in each, the member that collides most
-   leads, and every other member is compared with its leader only (no pairs
-   within a bucket are made);
-3. sets of the candidate documents, from a second pass over the text behind a
-   Bloom filter of fixed size;
-4. verified links -> distributed union-find;
-5. buckets that still span several components: their members are compared
-   across components by an exact prefix filter (rarest shingles first), so no
-   link is lost to the choice of leaders.  A shingle that only one set holds
-   cannot link and costs nothing.
-
-At threshold 0.85 a pair is missed by all 32 bands with probability 7e-9.
+At a similarity of 0.85 all 32 bands of five values miss a pair with probability 7e-9.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
-from bitstrata.llm import scratch, sketches
-from bitstrata.llm.components import components
+from bitstrata.llm import scratch
+from bitstrata.llm.set_links import linked
 
-N_PERM, BAND_ROWS, SEED = 80, 5, 20250101
+N_PERM, BAND_ROWS = 80, 5
 LINK_NUM, LINK_DEN = 85, 100
 
 
-def _signatures(n_perm: int, rows: int, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for i, j, data, offsets in K.pieces(batch.column(1)):
-                sets, bounds = K.shingle_sets(data, offsets, size)
-                n = np.diff(bounds)
-                some = np.flatnonzero(n)
-                hi, lo = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                bands = np.zeros((0, 2 * n_perm // rows), np.uint64)
-                if some.size:
-                    tight = np.concatenate([bounds[some], bounds[-1:]])
-                    hi[some], lo[some] = K.row_fingerprints(sets, tight)
-                    bands = K.band_keys(K.minmax_signatures(sets, tight, n_perm, SEED), rows)
-                at = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32) * bands.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bands.ravel().view(np.int64)))],
-                    names=["doc_id", "n_shingles", "fp_hi", "fp_lo", "bands"],
-                )
-
-    return run
-
-
-def _sets(size: int, bloom):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            keep = np.flatnonzero(sketches.might_hold(bloom.value, ids.to_numpy(zero_copy_only=False).astype(np.int64)))
-            if not keep.size:
-                continue
-            ids, text = ids.take(pa.array(keep)), batch.column(1).take(pa.array(keep))
-            for i, j, data, offsets in K.pieces(text):
-                sets, bounds = K.shingle_sets(data, offsets, size)
-                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sets))])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), raw], names=["node", "n", "set"])
-
-    return run
-
-
-def _confirm(num: int, den: int):
-    """(a, b, set of a, set of b) -> (a, b) where the full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, lo = K.utf8(batch.column(2))
-            right, ro = K.utf8(batch.column(3))
-            ok = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x, y = left[lo[k] : lo[k + 1]].view(np.uint64), right[ro[k] : ro[k + 1]].view(np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok[k] = den * common >= num * (len(x) + len(y) - common)
-            keep = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
-
-    return run
-
-
-def _rare_prefixes(num: int, den: int, counts):
-    """A similar pair shares one of each side's n - ceil(t * n) + 1 rarest shingles, in any
-    order that is the same for all sets.  Shingles counted once are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = K.utf8(batch.column(3))
-            tokens, rows = [], []
-            for k in range(batch.num_rows):
-                x = raw[off[k] : off[k + 1]].view(np.uint64)
-                n = len(x)
-                seen = sketches.estimate(counts.value, x)
-                first = np.lexsort((x, seen))[: n - -(-num * n // den) + 1]
-                first = first[seen[first] > 1]
-                tokens.append(x[first])
-                rows.append(np.full(len(first), k))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(take) for c in range(3))], names=["token", "node", "n", "component"])
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b), each once, with a's and b's sets at hand."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "sa", "sb").mapInArrow(_confirm(num, den), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, link_num: int = LINK_NUM, link_den: int = LINK_DEN, n_perm: int = N_PERM, band_rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
-    Ids are integers.  Null and empty texts, and texts without words, have no
-    shingles and no links: their component is their own id.  Rows that repeat
-    an id are one document, compared by one of its texts, and are each
-    returned; so are rows with a null id (component null, kept).  Equal sets are linked whatever their texts.  An
-    empty table gives no rows.  Other columns are not read.
+    Ids are integers.  Null and empty texts, and texts without words, have no shingles
+    and no links: their component is their own id.  Rows that repeat an id are one
+    document and are each returned; so are rows with a null id (component null, kept).
+    Equal sets are linked whatever their texts.  An empty table gives no rows.  Other
+    columns are not read.
     """
-    spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = scratch.keep(text.mapInArrow(_signatures(n_perm, band_rows, size), "doc_id long, n_shingles long, fp_hi long, fp_lo long, bands array<long>"), "signatures")
-    full = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(full.groupBy("fp_hi", "fp_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = full.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-
-    keyed = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = scratch.keep(keyed.join(shared, "band").select("band", "node", "members"), "buckets")
-    weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
-    rank = F.struct("weight", (-F.col("node")).alias("low"))
-    leaders = buckets.join(weight, "node").groupBy("band").agg(F.max(rank).alias("top")).select("band", (-F.col("top.low")).alias("a"))
-    star = scratch.keep(buckets.join(leaders, "band").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "star")
-
-    nodes = buckets.select("node").distinct()
-    bloom = sketches.bloom(nodes, "node", sketches.bits_for(nodes.count()))
-    sets = text.filter("doc_id is not null").mapInArrow(_sets(size, spark.sparkContext.broadcast(bloom)), "node long, n long, set binary")
-    if not sig.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").isEmpty():
-        sets = sets.dropDuplicates(["node"])
-    sets = scratch.keep(sets, "sets", compression="none")
-
-    links = scratch.keep(_verified(star, sets, link_num, link_den), "links")
-    found = components(links)
-
-    at = buckets.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    open_bands = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
-    rest = scratch.keep(at.join(open_bands, "band", "left_semi").select("node", "component").distinct(), "rest")
-    if not rest.isEmpty():
-        members = rest.join(sets, "node").select("node", "n", "component", "set")
-        counts = spark.sparkContext.broadcast(sketches.counts(members.select("set"), "set"))
-        prefix = members.mapInArrow(_rare_prefixes(link_num, link_den, counts), "token long, node long, n long, component long")
-        prefix = scratch.keep(prefix, "prefixes")
-        open_tokens = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-        prefix = prefix.join(open_tokens, "token", "left_semi")
-        other = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        across = prefix.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & (F.col("n") * link_den >= F.col("nb") * link_num) & (F.col("nb") * link_den >= F.col("n") * link_num))
-        across = across.select(F.col("node").alias("a"), "b").distinct()
-        done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = scratch.keep(_verified(across.join(done, ["a", "b"], "left_anti"), sets, link_num, link_den), "links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-
-    home = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(home, ["fp_hi", "fp_lo", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    out = scratch.keep(out, "near_duplicates")
-    scratch.drop(sig, classes, buckets, star, sets, links, rest)
-    return out
+    items, homes = linked(text, lambda data, offsets: K.shingle_sets(data, offsets, size), link_num, link_den, n_perm, band_rows)
+    out = items.join(homes, ["fp_hi", "fp_lo", "n"], "left")
+    component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return scratch.keep(out, "near_duplicates")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
