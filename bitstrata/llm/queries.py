@@ -11,6 +11,8 @@ from bitstrata.llm import scratch
 from bitstrata.llm.decontaminate import contaminated
 from bitstrata.llm.language_id import held_out, identify
 from bitstrata.llm.lattice_lm import lattice_scores
+from bitstrata.llm.license_scan import scan
+from bitstrata.llm.line_dedup import deduplicated_lines
 from bitstrata.llm.mixing import mix
 from bitstrata.llm.near_dedup import near_duplicates
 from bitstrata.llm.token_counts import token_counts
@@ -57,6 +59,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, those that stay, and a checksum of the text they make."""
+    out = deduplicated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_kept", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op6_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,6 +73,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and license text or line that it holds."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), held_out(F.col("doc_id"), 5, 1))
 
@@ -80,8 +93,10 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_token_output": op3_token_output,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_threshold_topk": op6_threshold_topk,
     "op7_token_counts": op7_token_counts,
+    "op8_license_scan": op8_license_scan,
     "op9_lattice_lm": op9_lattice_lm,
     "op10_source_mixing": op10_source_mixing,
 }
