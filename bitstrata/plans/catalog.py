@@ -331,3 +331,6 @@ def sign_bitpack(spark, sf):
     i = F.col("t") * SAMPLES + F.col("s")
     x = vol(spark, sf).select("p", i.alias("i"), B.sign(F.col("bits")).alias("sgn")).groupBy(F.col("p").alias("block"), F.floor(F.col("i") / 8).alias("at")).agg(F.sum(F.expr("shiftleft(sgn, cast(i % 8 as int))")).alias("byte"))
     return x.groupBy("block", "byte").agg(F.count("*").alias("n"))
+
+
+from bitstrata.plans import model_queries, planning_queries  # noqa: E402, F401  they register themselves
