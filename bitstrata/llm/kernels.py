@@ -103,8 +103,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     value = _BYTE[data[at]]
     pos = at - np.repeat(starts.astype(np.int32), lens)
     if lens.max() > _SPAN:
-        far = pos // _SPAN
-        value = mix64(value + far.astype(np.uint64))
+        far = np.flatnonzero(pos >= _SPAN)  # bytes beyond the table of powers; all others are as in any batch
+        value[far] = mix64(value[far] + (pos[far] // _SPAN).astype(np.uint64))
         pos = pos % _SPAN
     value *= _POW[pos]
     return mix64(np.add.reduceat(value, first) + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
