@@ -65,10 +65,15 @@ def distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array
                 yield pa.array(hashes.view(np.int64)), _gather(low, starts[where], ends[where])
 
 
-def character_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def character_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of eight characters, with repeats."""
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return K.distinct_in_rows(*K.shingles(K.mix64(chars.astype(np.uint64)), heads[offsets], SHINGLE))
+    return K.shingles(K.mix64(chars.astype(np.uint64)), heads[offsets], SHINGLE)
+
+
+def character_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return K.distinct_in_rows(*character_shingles(data, offsets))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,7 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_kept", "__gone")]
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    items, homes = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines)
+    items, homes = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines, character_shingles)
     moved = items.join(homes, ["fp_hi", "fp_lo", "n"]).filter("id <> component").select(F.col("id").alias("h"), "component").distinct()
     lines = scratch.keep(text.mapInArrow(_occurrences, "doc_id long, line long, h long").join(moved, "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("g")), "lines")
     # rows of a group that has one place only need no second look

@@ -12,6 +12,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, object] = {}
@@ -51,6 +52,9 @@ def drop(*tables: DataFrame | str) -> None:
             jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(hadoop).delete(where, True)
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        sc._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of steps that are over
 
 
 @atexit.register

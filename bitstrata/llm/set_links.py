@@ -153,27 +153,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "sa", "sb").mapInArrow(_confirm(num, den), "a long, b long")
 
 
-def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_perm: int, band_rows: int, items: Items = plain_items) -> tuple[DataFrame, DataFrame]:
+def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_perm: int, band_rows: int, items: Items = plain_items, loose: Kernel | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, homes): items (id, n, fp_hi, fp_lo) of every row of the source, homes
     (fp_hi, fp_lo, n, component) of every distinct set, where component is the
     smallest id reachable.  Empty sets and null ids have no home.  Rows that repeat an
     id are one item, linked by any of its sets.
     """
     spark = source.sparkSession
-    sig = scratch.keep(source.mapInArrow(_signatures(items, kernel, n_perm, band_rows), "id long, row long, n long, fp_hi long, fp_lo long, bands array<long>"), "signatures", compression="none")
+    sig = scratch.keep(source.mapInArrow(_signatures(items, loose or kernel, n_perm, band_rows), "id long, row long, n long, fp_hi long, fp_lo long, bands array<long>"), "signatures", compression="none")
     full = sig.filter("n > 0 and id is not null")
     first = F.min(F.struct("id", "row"))
     classes = scratch.keep(full.groupBy("fp_hi", "fp_lo", "n").agg(first.alias("first")).select("fp_hi", "fp_lo", "n", F.col("first.id").alias("rep"), F.col("first.row").alias("row")), "classes")
     reps = scratch.keep(full.select(F.col("id").alias("node"), "row", "bands").join(classes.select("row"), "row", "left_semi").select("node", "bands"), "representatives", compression="none")
 
+    own = scratch.keep(sig.select("id", "n", "fp_hi", "fp_lo"), "items")
+    scratch.drop(sig)
+
     shared = scratch.keep(reps.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     bloom = sketches.bloom(shared, "band", sketches.bits_for(shared.count()))
     keyed = reps.mapInArrow(_shared_bands(spark.sparkContext.broadcast(bloom)), "band long, node long")
     buckets = scratch.keep(keyed.join(shared, "band").select("band", "node", "members"), "buckets")
+    scratch.drop(reps, shared)
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
     rank = F.struct("weight", (F.bitwise_not(F.col("node"))).alias("low"))
-    leaders = buckets.join(weight, "node").groupBy("band").agg(F.max(rank).alias("top")).select("band", (F.bitwise_not(F.col("top.low"))).alias("a"))
-    star = scratch.keep(buckets.join(leaders, "band").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "star")
+    leaders = buckets.join(weight, "node").groupBy("band").agg(F.max(rank).alias("top"), F.max("members").alias("members"))
+    leaders = scratch.keep(leaders.select("band", F.bitwise_not(F.col("top.low")).alias("a"), "members"), "leaders")
+    star = scratch.keep(buckets.drop("members").join(leaders, "band").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "star")
 
     nodes = buckets.select("node").distinct()
     bloom = sketches.bloom(nodes, "node", sketches.bits_for(nodes.count()))
@@ -182,12 +187,14 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
     links = scratch.keep(_verified(star, sets, link_num, link_den), "links")
     found = components(links)
 
-    at = buckets.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    # a leader has met all of its bucket: what is open lies between the others
+    others = buckets.filter("members > 2").drop("members").join(leaders.filter("members > 2").drop("members"), "band").filter("node <> a")
+    at = others.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     open_bands = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     rest = scratch.keep(at.join(open_bands, "band", "left_semi").select("node", "component").distinct(), "rest")
     if not rest.isEmpty():
         members = rest.join(sets, "node").select("node", "n", "component", "set")
-        counts = spark.sparkContext.broadcast(sketches.counts(members.select("set"), "set"))
+        counts = spark.sparkContext.broadcast(sketches.counts(members.select("set"), "set", sketches.cells_for(int(members.agg(F.sum("n")).first()[0] or 0))))
         prefix = members.mapInArrow(_rare_prefixes(link_num, link_den, counts), "token long, pos long, node long, n long, component long")
         prefix = scratch.keep(prefix, "prefixes")
         open_tokens = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
@@ -203,5 +210,5 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
             found = components(links.unionByName(more))
 
     homes = scratch.keep(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", "n", F.coalesce("component", "rep").alias("component")), "homes")
-    scratch.drop(classes, reps, shared, buckets, star, sets, links, rest)
-    return sig.select("id", "n", "fp_hi", "fp_lo"), homes
+    scratch.drop(classes, buckets, leaders, star, sets, links, rest)
+    return own, homes

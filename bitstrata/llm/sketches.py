@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from bitstrata.llm import kernels as K
 
 BLOOM_BITS = (1 << 20, 1 << 30)
-COUNT_CELLS = 1 << 21
+COUNT_CELLS = (1 << 18, 1 << 24)
 _SEGMENT = 1 << 16  # bytes of a bit map, or cells of a count table
 _U = np.uint64
 
@@ -27,6 +27,11 @@ def bits_for(n: int) -> int:
     return min(BLOOM_BITS[1], max(BLOOM_BITS[0], 1 << (10 * n).bit_length()))
 
 
+def cells_for(n: int) -> int:
+    """About four cells a value, within COUNT_CELLS: 64 MB at the most."""
+    return min(COUNT_CELLS[1], max(COUNT_CELLS[0], 1 << (4 * n).bit_length()))
+
+
 def _bits(ids: np.ndarray, n_bits: int) -> Iterator[np.ndarray]:
     h = K.mix64(ids.astype(np.int64).view(np.uint64))
     step = K.mix64(h + _U(0x632BE59BD9B4E019)) | _U(1)
@@ -66,17 +71,18 @@ def estimate(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return table[((hashes * _U(0x9E3779B97F4A7C15)) >> _U(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
 
 
-def counts(df: DataFrame, column: str, cells: int = COUNT_CELLS) -> np.ndarray:
+def counts(df: DataFrame, column: str, cells: int) -> np.ndarray:
     """Count table of the 64-bit hashes in a binary column."""
 
     def fill(batches):
-        table = np.zeros(cells, np.int64)
+        table = np.zeros(cells, np.int32)
         shift = _U(64 - cells.bit_length() + 1)
         for batch in batches:
             raw, _ = K.utf8(batch.column(0))
             if len(raw):
-                table += np.bincount(((raw.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), minlength=cells)
-        yield from _segments(np.minimum(table, 2**31 - 1).astype(np.int32), _SEGMENT)
+                slots, n = np.unique(((raw.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), return_counts=True)
+                table[slots] = np.minimum(table[slots] + n, 2**31 - 1)
+        yield from _segments(table, _SEGMENT)
 
     def merge(key, table):
         total = np.zeros(0, np.int64)
