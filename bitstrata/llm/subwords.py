@@ -38,10 +38,61 @@ def byte_letters() -> list[str]:
 
 
 _STAND_IN = byte_letters()
-
-
-def stand_in(text: str) -> str:
-    return text if text.isascii() and text.isprintable() and " " not in text else "".join(_STAND_IN[b] for b in text.encode())
+_TRANSLATE = dict(enumerate(_STAND_IN))
+
+
+def stand_in(raw: bytes) -> str:
+    return raw.decode("latin-1").translate(_TRANSLATE)
+
+
+# Classes of bytes in words that need no regular expression: ASCII, and letters in two bytes from 0xC3.
+_LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[ord("'")] = _ODD
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[0xC3] = _LETTER
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, bounds, odd): runs of letters, single digits and
+    runs of other marks, of every text in turn.  A word with a byte that could be read
+    otherwise (an apostrophe, a control, a letter beyond U+00FF, the start of a special
+    string) is one odd part, in its own case."""
+    starts, ends, _ = K.word_spans(data, offsets)
+    low = K.lower(data)
+    kind = _CLASS[data]
+    high = data >= 0x80
+    if high.any():
+        after = np.zeros(len(data), bool)
+        after[1:] = data[:-1] == 0xC3
+        tail = high & (data < 0xC0)
+        kind[tail & after & (data != 0x97) & (data != 0xB7)] = _LETTER
+        low[tail & after & (data < 0x9F) & (data != 0x97)] += 0x20
+    opens = np.flatnonzero(data[:-1] == ord("<"))
+    kind[opens[data[opens + 1] == ord("|")]] = _ODD
+    seen = np.concatenate([[0], np.cumsum(kind == _ODD)])
+    odd_word = seen[ends] > seen[starts]
+    new = np.zeros(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    new &= kind > 0
+    new[starts] = True
+    if odd_word.any():
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[odd_word]] += 1
+        edge[ends[odd_word]] -= 1
+        inside = np.cumsum(edge[:-1]) > 0
+        low[inside] = data[inside]
+        new[inside] = False
+        new[starts[odd_word]] = True
+    begin = np.flatnonzero(new)
+    word = np.searchsorted(starts, begin, "right") - 1
+    stop = ends[word] if len(begin) else begin
+    if len(begin):
+        stop[:-1] = np.minimum(stop[:-1], begin[1:])
+    return low, begin, stop, np.searchsorted(begin, offsets), odd_word[word] if len(begin) else new[:0]
 
 
 class WordIds:
@@ -79,12 +130,15 @@ class WordIds:
         for part in self._PART.findall(text.lower()):
             got = self.parts.get(part)
             if got is None:
-                got = self.parts[part] = [t.id for t in self.model.tokenize(stand_in(part))]
+                got = self.parts[part] = self.part(part.encode())
             out += got
         return out
 
-    def _learn(self, key: int, text: str) -> int:
-        ids = self.word(text)
+    def part(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(stand_in(raw))]
+
+    def _learn(self, key: int, raw: bytes, whole: bool) -> int:
+        ids = self.word(raw.decode()) if whole else self.part(raw)
         if self.words == len(self.starts):
             self.starts, self.lens = np.resize(self.starts, 2 * self.words), np.resize(self.lens, 2 * self.words)
         if self.used + len(ids) > len(self.flat):
@@ -99,14 +153,18 @@ class WordIds:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, bounds) of consecutive slices of a text column."""
         for i, j, data, offsets in K.pieces(column, SLICE):
-            starts, ends, bounds = K.word_spans(data, offsets)
-            hashes, where, back = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            if self.known:
+                text, starts, ends, bounds, odd = parts(data, offsets)
+            else:
+                text, (starts, ends, bounds) = data, K.word_spans(data, offsets)
+                odd = np.ones(len(starts), bool)
+            hashes, where, back = np.unique(K.span_hashes(text, starts, ends), return_index=True, return_inverse=True)
             if self.words > MEMO:
                 self._fresh()
-            get, at = self.place.get, []
-            for key, w in zip(hashes.tolist(), where.tolist(), strict=True):
+            get, at, raw = self.place.get, [], text.tobytes()
+            for key, a, b, whole in zip(hashes.tolist(), starts[where].tolist(), ends[where].tolist(), odd[where].tolist(), strict=True):
                 p = get(key)
-                at.append(self._learn(key, data[starts[w] : ends[w]].tobytes().decode()) if p is None else p)
+                at.append(self._learn(key, raw[a:b], whole) if p is None else p)
             slot = np.array(at, np.int64)[back] if at else np.zeros(0, np.int64)
             lens = self.lens[slot]
             last = np.cumsum(lens)
