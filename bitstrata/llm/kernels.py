@@ -21,6 +21,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPAN = 4096
 with np.errstate(over="ignore"):
     _POW = np.cumprod(np.full(_SPAN, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
+_SALT = 0x2545F4914F6CDD1D
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -115,7 +116,7 @@ def chain_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, size * 0x2545F4914F6CDD1D & (2**64 - 1), np.uint64)
+    total = np.full(n, size * _SALT & (2**64 - 1), np.uint64)
     for k in range(size):
         total += words[k : k + n] * _PLACE[k]
     return mix64(total)
@@ -127,14 +128,19 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
     count = np.diff(bounds)
     runs = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
     out_bounds = np.concatenate([[0], np.cumsum(runs)])
-    out = np.empty(int(out_bounds[-1]), np.uint64)
-    full = np.repeat(count >= size, runs)
-    at = np.arange(len(out)) - np.repeat(out_bounds[:-1], runs) + np.repeat(bounds[:-1], runs)
-    if full.any():
-        out[full] = chain_hashes(words, size)[at[full]]
+    if not out_bounds[-1]:
+        return np.zeros(0, np.uint64), out_bounds
+    first = np.ones(len(words), bool)  # places where a run starts
+    for k in range(1, size):
+        first[(bounds[1:] - k)[count >= k]] = False
+    first[bounds[:-1][(count > 0) & (count < size)]] = True
+    chain = np.zeros(len(words), np.uint64)
+    chain[: max(0, len(words) - size + 1)] = chain_hashes(words, size)
+    out = chain[first]
     for n in range(1, size):
         if (short := np.flatnonzero(count == n)).size:
-            out[out_bounds[short]] = chain_hashes(words, n)[bounds[short]]
+            own = words[bounds[short][:, None] + np.arange(n)]
+            out[out_bounds[short]] = mix64(np.add.reduce(own * _PLACE[:n], 1, dtype=np.uint64) + _U(n * _SALT & (2**64 - 1)))
     return out, out_bounds
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch
-from bitstrata.llm.set_links import linked
+from bitstrata.llm.set_links import SLICE, linked
 
 SHINGLE, N_PERM, BAND_ROWS = 8, 32, 4
 LINK_NUM, LINK_DEN = 80, 100
@@ -31,14 +31,25 @@ MEMO = 1_000_000
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, text, number within the text) of the lines that are not blank."""
-    starts, ends, bounds = K.word_spans(data, offsets)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     feeds = np.flatnonzero(data == 10)
-    line = np.searchsorted(feeds, starts)  # feeds before the word, over all texts
-    number = line - np.searchsorted(feeds, offsets[:-1])[row]
-    first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])) if len(starts) else starts
-    last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(starts) else first
-    return starts[first], ends[last], row[first], number[first]
+    starts = np.unique(np.concatenate([offsets[:-1], feeds + 1]))
+    starts = starts[starts < len(data)]
+    row = np.searchsorted(offsets, starts, "right") - 1
+    before = np.searchsorted(feeds, starts)
+    number = before - np.searchsorted(feeds, offsets[:-1])[row]
+    ends = np.minimum(np.concatenate([feeds, [len(data)]])[before], offsets[row + 1])
+    blank = K.is_space(data)
+    for _ in range(8):  # most lines have little white space around them
+        starts = starts + ((starts < ends) & blank[np.minimum(starts, len(data) - 1)])
+        ends = ends - ((starts < ends) & blank[ends - 1])
+    live = starts < ends
+    starts, ends, row, number = starts[live], ends[live], row[live], number[live]
+    if (blank[starts] | blank[ends - 1]).any():
+        solid = np.flatnonzero(~blank)
+        a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+        live = a < b
+        starts, ends, row, number = solid[a[live]], solid[b[live] - 1] + 1, row[live], number[live]
+    return starts, ends, row, number
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -52,7 +63,7 @@ def distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array
     """(hash, line) of the lines of a task, each about once."""
     sent: set[int] = set()
     for batch in batches:
-        for _, _, data, offsets in K.pieces(batch.column(1)):
+        for _, _, data, offsets in K.pieces(batch.column(1), SLICE):
             low = K.lower(data)
             starts, ends, _, _ = line_spans(low, offsets)
             hashes, where = np.unique(K.span_hashes(low, starts, ends), return_index=True)
@@ -78,7 +89,7 @@ def character_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in K.pieces(batch.column(1)):
+        for i, j, data, offsets in K.pieces(batch.column(1), SLICE):
             low = K.lower(data)
             starts, ends, row, number = line_spans(low, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(number), pa.array(K.span_hashes(low, starts, ends).view(np.int64))], names=["doc_id", "line", "h"])

@@ -15,7 +15,8 @@ Plan, in tables that are written and read again:
    then read again behind a Bloom filter of those keys.  In each bucket the member
    that collides most leads, and every other member is compared with its leader only
    (no pairs within a bucket are made);
-3. sets of the candidates, from a second pass over the text behind a Bloom filter;
+3. texts of the candidates, from a second pass behind a Bloom filter; they travel in
+   place of their sets, which are some times larger and are made anew where needed;
 4. verified links -> distributed union-find;
 5. buckets that still span several components: their members are compared across
    components by an exact prefix filter (rarest shingles first, with the bound that
@@ -38,6 +39,8 @@ from bitstrata.llm import scratch, sketches
 from bitstrata.llm.components import components
 
 SEED = 20250101
+#: Bytes a kernel call works on here: its 64-bit intermediates then stay in a core's cache.
+SLICE = 1 << 17
 #: (bytes, offsets) of texts -> (set values laid end to end, bounds)
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: batches of the source -> (ids, texts)
@@ -53,7 +56,7 @@ def _signatures(items: Items, kernel: Kernel, n_perm: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 33
         for ids, text in items(batches):
-            for i, j, data, offsets in K.pieces(text):
+            for i, j, data, offsets in K.pieces(text, SLICE):
                 sets, bounds = kernel(data, offsets)
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
@@ -87,31 +90,35 @@ def _shared_bands(bloom):
     return run
 
 
-def _sets(items: Items, kernel: Kernel, bloom):
+def _candidates(items: Items, kernel: Kernel, bloom):
+    """(node, set size, text) of the items that may be candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, text in items(batches):
             keep = np.flatnonzero(sketches.might_hold(bloom.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
-            if not keep.size:
-                continue
-            ids, text = ids.take(pa.array(keep)), text.take(pa.array(keep))
-            for i, j, data, offsets in K.pieces(text):
-                sets, bounds = kernel(data, offsets)
-                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sets))])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), raw], names=["node", "n", "set"])
+            if keep.size:
+                ids, text = ids.take(pa.array(keep)), text.take(pa.array(keep))
+                n = [np.diff(kernel(data, offsets)[1]) for _, _, data, offsets in K.pieces(text, SLICE)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n)), text.cast(pa.string())], names=["node", "n", "text"])
 
     return run
 
 
-def _confirm(num: int, den: int):
-    """(a, b, set of a, set of b) -> (a, b) where the full sets are similar enough."""
+def _rows(kernel: Kernel, text: pa.Array) -> Iterator[np.ndarray]:
+    """The set of each text in turn."""
+    for i, j, data, offsets in K.pieces(text, SLICE):
+        sets, bounds = kernel(data, offsets)
+        for k in range(j - i):
+            yield sets[bounds[k] : bounds[k + 1]]
+
+
+def _confirm(kernel: Kernel, num: int, den: int):
+    """(a, b, text of a, text of b) -> (a, b) where the full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, lo = K.utf8(batch.column(2))
-            right, ro = K.utf8(batch.column(3))
             ok = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x, y = left[lo[k] : lo[k + 1]].view(np.uint64), right[ro[k] : ro[k + 1]].view(np.uint64)
+            for k, (x, y) in enumerate(zip(_rows(kernel, batch.column(2)), _rows(kernel, batch.column(3)), strict=True)):
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok[k] = den * common >= num * (len(x) + len(y) - common)
@@ -121,17 +128,15 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _rare_prefixes(num: int, den: int, counts):
+def _rare_prefixes(kernel: Kernel, num: int, den: int, counts):
     """A similar pair shares one of each side's n - ceil(t * n) + 1 rarest shingles, in any
     order that is the same for all sets.  At the first shingle they share, `pos` shingles
     of a side lie before it and can't be in common.  Shingles counted once are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = K.utf8(batch.column(3))
             tokens, rows, places = [], [], []
-            for k in range(batch.num_rows):
-                x = raw[off[k] : off[k + 1]].view(np.uint64)
+            for k, x in enumerate(_rows(kernel, batch.column(3))):
                 n = len(x)
                 seen = sketches.estimate(counts.value, x)
                 first = np.lexsort((x, seen))[: n - -(-num * n // den) + 1]
@@ -139,18 +144,19 @@ def _rare_prefixes(num: int, den: int, counts):
                 tokens.append(x[first[place]])
                 places.append(place)
                 rows.append(np.full(len(place), k))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), *(batch.column(c).take(take) for c in range(3))], names=["token", "pos", "node", "n", "component"])
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), *(batch.column(c).take(take) for c in range(3))], names=["token", "pos", "node", "n", "component"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b), each once, with a's and b's sets at hand."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
+def _verified(pairs: DataFrame, texts: DataFrame, kernel: Kernel, num: int, den: int) -> DataFrame:
+    """pairs (a, b), each once, with a's and b's texts at hand: they are smaller than their sets."""
+    one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
+    two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "sa", "sb").mapInArrow(_confirm(num, den), "a long, b long")
+    return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "ta", "tb").mapInArrow(_confirm(kernel, num, den), "a long, b long")
 
 
 def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_perm: int, band_rows: int, items: Items = plain_items, loose: Kernel | None = None) -> tuple[DataFrame, DataFrame]:
@@ -182,9 +188,9 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
 
     nodes = buckets.select("node").distinct()
     bloom = sketches.bloom(nodes, "node", sketches.bits_for(nodes.count()))
-    sets = scratch.keep(source.mapInArrow(_sets(items, kernel, spark.sparkContext.broadcast(bloom)), "node long, n long, set binary"), "sets", compression="none")
+    texts = scratch.keep(source.mapInArrow(_candidates(items, kernel, spark.sparkContext.broadcast(bloom)), "node long, n long, text string"), "candidates")
 
-    links = scratch.keep(_verified(star, sets, link_num, link_den), "links")
+    links = scratch.keep(_verified(star, texts, kernel, link_num, link_den), "links")
     found = components(links)
 
     # a leader has met all of its bucket: what is open lies between the others
@@ -193,9 +199,9 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
     open_bands = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     rest = scratch.keep(at.join(open_bands, "band", "left_semi").select("node", "component").distinct(), "rest")
     if not rest.isEmpty():
-        members = rest.join(sets, "node").select("node", "n", "component", "set")
-        counts = spark.sparkContext.broadcast(sketches.counts(members.select("set"), "set", sketches.cells_for(int(members.agg(F.sum("n")).first()[0] or 0))))
-        prefix = members.mapInArrow(_rare_prefixes(link_num, link_den, counts), "token long, pos long, node long, n long, component long")
+        members = rest.join(texts, "node").select("node", "n", "component", "text")
+        counts = spark.sparkContext.broadcast(sketches.counts(members, "text", lambda column: _rows(kernel, column), sketches.cells_for(int(members.agg(F.sum("n")).first()[0] or 0))))
+        prefix = members.mapInArrow(_rare_prefixes(kernel, link_num, link_den, counts), "token long, pos long, node long, n long, component long")
         prefix = scratch.keep(prefix, "prefixes")
         open_tokens = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
         prefix = prefix.join(open_tokens, "token", "left_semi")
@@ -205,10 +211,10 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
         across = prefix.join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & reach)
         across = across.select(F.col("node").alias("a"), "b").distinct()
         done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = scratch.keep(_verified(across.join(done, ["a", "b"], "left_anti"), sets, link_num, link_den), "links")
+        more = scratch.keep(_verified(across.join(done, ["a", "b"], "left_anti"), texts, kernel, link_num, link_den), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
     homes = scratch.keep(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", "n", F.coalesce("component", "rep").alias("component")), "homes")
-    scratch.drop(classes, buckets, leaders, star, sets, links, rest)
+    scratch.drop(classes, buckets, leaders, star, texts, links, rest)
     return own, homes

@@ -71,16 +71,15 @@ def estimate(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return table[((hashes * _U(0x9E3779B97F4A7C15)) >> _U(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
 
 
-def counts(df: DataFrame, column: str, cells: int) -> np.ndarray:
-    """Count table of the 64-bit hashes in a binary column."""
+def counts(df: DataFrame, column: str, values, cells: int) -> np.ndarray:
+    """Count table of the 64-bit hashes that `values` makes of a column, array by array."""
 
     def fill(batches):
         table = np.zeros(cells, np.int32)
         shift = _U(64 - cells.bit_length() + 1)
         for batch in batches:
-            raw, _ = K.utf8(batch.column(0))
-            if len(raw):
-                slots, n = np.unique(((raw.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), return_counts=True)
+            for x in values(batch.column(0)):
+                slots, n = np.unique(((x * _U(0x9E3779B97F4A7C15)) >> shift).astype(np.int64), return_counts=True)
                 table[slots] = np.minimum(table[slots] + n, 2**31 - 1)
         yield from _segments(table, _SEGMENT)
 
