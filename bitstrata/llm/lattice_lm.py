@@ -29,6 +29,8 @@ in number with the input's splits, so neither a part nor a chunk outgrows a task
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +49,8 @@ SMOOTH = 0.1
 #: What each word type gives up of its training count.
 DISCOUNT = 0.75
 _U = np.uint64
-_LONG = 48  # bytes; longer words go one at a time
+_LONG = 48  # bytes; longer words go one at a time, for memory's sake
+_BLOCK = 1 << 14  # bytes of a long word whose arcs are held at once
 
 
 # ------------------------------------------------------------------ lattice
@@ -144,30 +147,50 @@ class Lattice:
                 total += np.bincount(own, np.nan_to_num(use).ravel(), self.none + 1)
         return alpha[size]
 
-    def long_word(self, word: bytes) -> float:
-        """Forward recursion over one word of any length."""
-        alpha = np.full(len(word) + 1, -np.inf)
-        alpha[0] = 0.0
-        get, log_p = self.place.get, self.log_p
-        for j in range(1, len(word) + 1):
-            ends = [(i, p) for i in range(max(0, j - self.longest), j) if (p := get(word[i:j])) is not None]
-            terms = np.array([alpha[i] + log_p[p] for i, p in ends])
-            most = terms.max()
-            alpha[j] = most + np.log(np.exp(terms - most).sum())
-        return float(alpha[-1])
+    def _spelt(self, word: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, numbers) of the pieces that start in one block of a word, by start."""
+        hi = min(lo + _BLOCK, len(word))
+        arcs = self.arcs(word[None, lo : hi + self.longest - 1])[0, : hi - lo]
+        at, m = np.nonzero(arcs != self.none)
+        return at + lo, at + lo + m + 1, arcs[at, m]
+
+    def long_word(self, word: bytes, weight: float = 0.0, total: np.ndarray | None = None) -> float:
+        """Log probability of one word of any length, in blocks; adds its pieces' expected uses to `total`."""
+        raw = np.frombuffer(word, np.uint8)
+        size, blocks = len(raw), range(0, len(raw), _BLOCK)
+
+        def both(a: float, b: float) -> float:
+            if a < b:
+                a, b = b, a
+            return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+        alpha, beta = array("d", [-math.inf]) * (size + 1), array("d", [-math.inf]) * (size + 1)
+        alpha[0] = beta[size] = 0.0
+        for lo in blocks:
+            starts, ends, own = self._spelt(raw, lo)
+            for i, j, p in zip(starts.tolist(), ends.tolist(), self.log_p[own].tolist(), strict=True):
+                alpha[j] = both(alpha[j], alpha[i] + p)
+        if total is not None and alpha[size] > -math.inf:
+            for lo in reversed(blocks):
+                starts, ends, own = self._spelt(raw, lo)
+                log_p = self.log_p[own]
+                for i, j, p in zip(starts[::-1].tolist(), ends[::-1].tolist(), log_p[::-1].tolist(), strict=True):
+                    beta[i] = both(beta[i], beta[j] + p)
+                use = np.exp(np.frombuffer(alpha)[starts] + log_p + np.frombuffer(beta)[ends] - alpha[size]) * weight
+                total += np.bincount(own, use, self.none + 1)
+        return alpha[size]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log probabilities, expected uses) of the byte spans, each with a blank before it.
-        With `weight`, words of weight 0 are passed over; words of over 48 bytes have
-        no part in the expectations."""
+        With `weight`, words of weight 0 are passed over."""
         out, total = np.zeros(len(starts)), np.zeros(self.none + 1)
         lens = ends - starts
         for size in np.unique(lens).tolist():
             own = np.flatnonzero((lens == size) & (weight > 0) if weight is not None else lens == size)
             if size > _LONG:
-                if weight is None:
-                    for k in own.tolist():
-                        out[k] = self.long_word(b" " + data[starts[k] : ends[k]].tobytes())
+                for k in own.tolist():
+                    word = b" " + data[starts[k] : ends[k]].tobytes()
+                    out[k] = self.long_word(word) if weight is None else self.long_word(word, float(weight[k]), total)
                 continue
             step = max(1, 400_000 // ((size + 1) * min(size + 1, self.longest)))
             for lo in range(0, len(own), step):

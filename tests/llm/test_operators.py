@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitstrata.llm import huffman, language_id, queries, subwords
+from bitstrata.llm import huffman, language_id, lattice_lm, queries, subwords
 from bitstrata.llm.components import components
 from bitstrata.llm.decontaminate import contaminated
 from bitstrata.llm.lattice_lm import DISCOUNT, Lattice, lattice_scores, load_pieces
@@ -365,6 +365,21 @@ def test_lattice_sums():
     assert np.allclose(uses, [want[p] for p in pieces])
 
 
+@pytest.mark.parametrize("block", [7, 1 << 14])
+def test_lattice_long_words_have_uses(monkeypatch, block):
+    monkeypatch.setattr(lattice_lm, "_BLOCK", block, raising=False)
+    pieces, p = load_pieces(queries.vocabulary("piece_bpe_32k.model"))
+    lattice, lens = Lattice(pieces, np.log(p)), np.array([len(x) for x in pieces])
+    for word in ("日本語の文章には空白がない" * 3, "https://example.org/" + "a/b?c=d&" * 20, "x" * 49):
+        data = np.frombuffer(word.encode(), np.uint8)
+        log_p, uses = lattice.words(data, np.array([0]), np.array([len(data)]), np.array([2.0]))
+        want = np.zeros(len(pieces) + 1)
+        arcs = lattice.arcs(np.concatenate([np.array([32], np.uint8), data])[None, :])
+        assert np.allclose(log_p, lattice.expected(arcs, np.array([2.0]), want), rtol=1e-9)
+        assert np.allclose(uses, want[:-1], rtol=1e-6, atol=1e-12) and math.isclose(uses @ lens, 2 * (len(data) + 1), rel_tol=1e-9)
+        assert math.isclose(lattice.words(data, np.array([0]), np.array([len(data)]))[0][0], log_p[0], rel_tol=1e-9)
+
+
 def test_lattice_lm(spark, docs, rows, empty):
     held = F.col("doc_id") % 5 == 1
     got = lattice_scores(docs, queries.vocabulary("piece_bpe_32k.model"), held, rounds=1).collect()
