@@ -8,20 +8,24 @@ without any can't match, and is passed over without loss.)  A window reaches one
 sides, so around a match's first anchor it holds all that is left of the match.
 
 Windows and templates have `PERMUTATIONS` MinHash values in bands of one.  A window that
-holds 0.8 of a template has Jaccard similarity of at least 0.8 / 4.2 to it, by the
-classes' bounds, so that all bands miss it with probability below (1 - 0.19) ** 64 = 1.4e-6.
-Retrieved pairs are then verified: the share of the template's five-word shingles that
+holds enough of a template has a least Jaccard similarity to it, by the window's and the
+template's numbers of shingles; where all bands miss that with a probability above `MISS`
+(short templates: few shingles in a window of their class), the template is retrieved by
+all its shingles instead, without loss.  Retrieved pairs are then verified: the share of the template's five-word shingles that
 the window holds, exactly.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE, THRESHOLD, PERMUTATIONS = 5, 0.8, 64
+#: The most that the bands may miss of a match.
+MISS = 1.4e-6
 
 # Texts of public licenses and of the lines that refer to them.
 TEMPLATES = {
@@ -82,6 +86,13 @@ def size_class(n: int) -> tuple[int, int]:
     return (n, n) if n < SIZE else (max(8, 1 << (n - 1).bit_length()), SIZE)
 
 
+def miss_probability(n: int, reach: int, size: int, threshold: float = THRESHOLD) -> float:
+    """Of all bands, for a full window that holds just enough of a template of n distinct shingles."""
+    window = max(1, 2 * reach + 2 - size)
+    need = max(1, math.ceil(threshold * n - 1e-9))
+    return (1 - min(1.0, need / max(n, window + n - need))) ** PERMUTATIONS
+
+
 def shingle_hashes(w: Column, size: Column) -> Column:
     """Distinct hashes of all runs of `size` words."""
     last = F.size(w) - size + 1
@@ -94,12 +105,18 @@ def signature(shingles: Column, n: int = PERMUTATIONS) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k)))))
 
 
-def template_table(spark, templates: dict[str, str]) -> DataFrame:
-    """(license, reach, size, template shingles): one row a template, as many as the code lists."""
-    rows = [(name, *size_class(len(w)), " ".join(w)) for name, text in templates.items() if (w := _template_words(text))]
+def template_table(spark, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
+    """(license, reach, size, whole, template shingles): one row a template, as many as the code
+    lists; `whole` ones are retrieved by all their shingles."""
+    rows = []
+    for name, text in templates.items():
+        if w := _template_words(text):
+            reach, size = size_class(len(w))
+            n = len({tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
+            rows.append((name, reach, size, miss_probability(n, reach, size, threshold) > MISS, " ".join(w)))
     if not rows:
-        rows = [("", SIZE, SIZE, "")]
-    t = spark.createDataFrame(rows, "license string, reach int, size int, text string").filter("text <> ''")
+        rows = [("", SIZE, SIZE, False, "")]
+    t = spark.createDataFrame(rows, "license string, reach int, size int, whole boolean, text string").filter("text <> ''")
     return t.withColumn("template", shingle_hashes(words(F.col("text")), F.col("size"))).drop("text")
 
 
@@ -114,7 +131,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """
     templates = TEMPLATES if templates is None else templates
     spark, marks = docs.sparkSession, anchors(templates, threshold)
-    table = template_table(spark, templates)
+    table = template_table(spark, templates, threshold)
     classes = sorted({size_class(len(w)) for t in templates.values() if (w := _template_words(t))})
     low = F.lower(F.col(text_col).cast("string"))
     likely = reduce(lambda a, b: a | b, [low.contains(m) for m in marks], F.lit(False))
@@ -129,9 +146,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     windows = windows.select("doc_id", "at", "reach", "size", shingle_hashes(F.col("window"), F.col("size")).alias("shingles")).filter(F.size("shingles") > 0)
     bands = windows.select("doc_id", "at", "reach", "size", "shingles", signature(F.col("shingles")).alias("bands"))
     wanted = F.broadcast(table.withColumn("bands", signature(F.col("template"))))  # one row a template
-    t = wanted.select("license", F.col("reach").alias("r"), F.col("size").alias("s"), "template", F.col("bands").alias("b"))
+    t = wanted.select("license", F.col("reach").alias("r"), F.col("size").alias("s"), "whole", "template", F.col("bands").alias("b"))
     # a band is in common where the values are equal at one place; each value holds its place's number
-    pairs = bands.join(t, (F.col("reach") == F.col("r")) & (F.col("size") == F.col("s")) & F.arrays_overlap("bands", "b"))
+    retrieved = F.when(F.col("whole"), F.arrays_overlap("shingles", "template")).otherwise(F.arrays_overlap("bands", "b"))
+    pairs = bands.join(t, (F.col("reach") == F.col("r")) & (F.col("size") == F.col("s")) & retrieved)
     common = F.size(F.array_intersect("shingles", "template"))
     found = pairs.select("doc_id", "license", "at", F.size("template").alias("n_shingles"), common.alias("n_common")).filter(F.col("n_common") >= threshold * F.col("n_shingles") - 1e-9)
     return found.groupBy("doc_id", "license").agg(F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_common").cast("long").alias("n_common"), F.min("at").cast("long").alias("first_word"))

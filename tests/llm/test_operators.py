@@ -341,6 +341,16 @@ def test_license_scan_finds_all_lines(spark):
         assert {i for i, n in got if n == name} >= {r.doc_id for r in docs.filter(F.col("text").contains(TEMPLATES[name])).select("doc_id").collect()}
 
 
+def test_license_scan_short_lines_inside_texts(spark):
+    """Short templates far from a text's ends, where a window holds many other shingles."""
+    rng, five = random.Random(4), {"five": "covered by the zeta license", "six": "covered by the zeta license agreement", "four": "zeta license applies here", "nine": "this file is covered by the zeta license agreement"}
+    for templates, names in ((None, ["mit-line"]), (five, list(five))):
+        texts = {name: (five if templates else TEMPLATES)[name] for name in names}
+        rows = [(k, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(30)), texts[names[k % len(names)]], *(f"w{rng.randrange(10**6)}" for _ in range(30))])) for k in range(4000)]
+        got = {(r.doc_id, r.license) for r in scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), templates).collect()}
+        assert {(k, names[k % len(names)]) for k, _ in rows} <= got
+
+
 # ---------------------------------------------------------------- 9
 
 
