@@ -17,17 +17,43 @@ def regular_blocks(spark: SparkSession, profiles: int, traces: int, samples: int
     return x.withColumn("value_offset", F.col("trace_offset") * samples).withColumn("value_count", F.col("trace_count") * samples).withColumn("byte_offset", F.col("value_offset") * 4).withColumn("byte_count", F.col("value_count") * 4)
 
 
+def _blocked(rows: DataFrame, key: str, per_block: int) -> DataFrame:
+    return rows.withColumn("_block", F.floor(F.col(key) / per_block))
+
+
+def sum_before(rows: DataFrame, value: Column, name: str, key: str, order: list[str], per_block: int = 4096) -> DataFrame:
+    """Adds the sum of `value` over all rows before, in an order that `key` leads; a task orders
+    the rows of one range of the key, and only the ranges' sums are ordered together."""
+    x = _blocked(rows, key, per_block)
+    back = (Window.unboundedPreceding, -1)
+    sums = x.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(F.col("_block").alias("_of"), F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(*back)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_block").orderBy(*order).rowsBetween(*back))
+    return x.join(sums, F.col("_block") == F.col("_of")).withColumn(name, F.col("_before") + F.coalesce(own, F.lit(0))).drop("_block", "_of", "_before")
+
+
+def row_before(rows: DataFrame, cols: list[str], name: str, key: str, order: list[str], per_block: int = 4096) -> DataFrame:
+    """Adds the struct of `cols` of the row before, null at the first; ordered as in `sum_before`."""
+    x = _blocked(rows, key, per_block)
+    last = x.groupBy("_block").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+    last = last.select(F.col("_block").alias("_of"), F.lag("_last").over(Window.orderBy("_block")).alias("_prev"))
+    own = F.lag(F.struct(*cols)).over(Window.partitionBy("_block").orderBy(*order))
+    return x.join(last, F.col("_block") == F.col("_of")).withColumn(name, F.coalesce(own, F.col("_prev"))).drop("_block", "_of", "_prev")
+
+
 def with_trace_offsets(rows: DataFrame, order: str = "ord") -> DataFrame:
     """Manifest rows with the traces before each; a manifest has a row a subline."""
-    return rows.withColumn("trace_offset", F.coalesce(F.sum("trace_count").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return sum_before(rows, F.col("trace_count"), "trace_offset", order, [order])
 
 
 def ragged_blocks(rows: DataFrame, samples: int) -> DataFrame:
     """Maximal runs of consecutive sublines with one xline range and gapless offsets."""
-    w = Window.orderBy("trace_offset")
-    same = (F.col("subline") == F.lag("subline").over(w) + 1) & (F.col("xline_start") == F.lag("xline_start").over(w)) & (F.col("xline_end") == F.lag("xline_end").over(w)) & (F.col("trace_count") == F.lag("trace_count").over(w)) & (F.col("trace_offset") == F.lag("trace_offset").over(w) + F.lag("trace_count").over(w))
-    g = rows.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
-    b = g.groupBy("g").agg(F.min("subline").alias("subline_start"), F.max("subline").alias("subline_end"), F.min("xline_start").alias("xline_start"), F.min("xline_end").alias("xline_end"), F.count("*").alias("profiles"), F.min("trace_count").alias("traces_per_profile"), F.min("trace_offset").alias("trace_offset"), F.sum("trace_count").alias("trace_count"))
+    per, order = 1 << 19, ["trace_offset"]
+    rows = row_before(rows, ["subline", "xline_start", "xline_end", "trace_count", "trace_offset"], "was", "trace_offset", order, per)
+    same = (F.col("subline") == F.col("was.subline") + 1) & (F.col("xline_start") == F.col("was.xline_start")) & (F.col("xline_end") == F.col("was.xline_end")) & (F.col("trace_count") == F.col("was.trace_count")) & (F.col("trace_offset") == F.col("was.trace_offset") + F.col("was.trace_count"))
+    rows = rows.withColumn("new", F.when(same, 0).otherwise(1))
+    rows = sum_before(rows, F.col("new"), "g", "trace_offset", order, per).withColumn("g", F.col("g") + F.col("new"))
+    b = rows.groupBy("g").agg(F.min("subline").alias("subline_start"), F.max("subline").alias("subline_end"), F.min("xline_start").alias("xline_start"), F.min("xline_end").alias("xline_end"), F.count("*").alias("profiles"), F.min("trace_count").alias("traces_per_profile"), F.min("trace_offset").alias("trace_offset"), F.sum("trace_count").alias("trace_count"))
     name = F.format_string("b%04d_s%d-%d_x%d-%d", F.col("g") - 1, "subline_start", "subline_end", "xline_start", "xline_end")
     return b.withColumn("block_id", name).withColumn("value_offset", F.col("trace_offset") * samples).withColumn("value_count", F.col("trace_count") * samples).withColumn("byte_offset", F.col("value_offset") * 4).drop("g")
 

@@ -17,6 +17,7 @@ from bitstrata.sources import volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+KINDS: dict[str, str] = {}
 
 TRACES, SAMPLES = 50, 64
 VOL = """vol AS (SELECT p, t, s, v, v::BIT::INTEGER AS bits, (v::BIT::INTEGER >> 31) & 1 AS sgn, (v::BIT::INTEGER >> 23) & 255 AS e, v::BIT::INTEGER & 8388607 AS m FROM (
@@ -57,6 +58,7 @@ def query(kinds: str, sql: str | None = None):
 
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
+        KINDS[f.__name__] = kinds
         if sql is not None:
             ORACLES[f.__name__] = _sql(kinds, sql)
         return f
@@ -64,6 +66,16 @@ def query(kinds: str, sql: str | None = None):
     return add
 
 
+def whole(name: str, cut: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Registers `name`_whole: what `name` computes, over all rows; its SQL is that of `name` without the cut."""
+    sql = ORACLES[name]
+    if cut not in sql:
+        raise ValueError(f"{name} has no {cut!r}")
+    f.__name__ = f"{name}_whole"
+    query(KINDS[name])(f)
+    ORACLES[f.__name__] = sql.replace(cut, "")
+
+
 def vol(spark: SparkSession, sf: str) -> DataFrame:
     return volumes.embedding_volume(spark, sf, TRACES)
 
@@ -148,6 +160,19 @@ def byte_delta(spark, sf):
     return x.select("i", "b", "d", F.when(F.col("i") < 3, F.col("b")).otherwise(tail.bitwiseAND(F.lit(255))).alias("back"))
 
 
+def _byte_delta_whole(spark, sf):
+    k = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    x = table(spark, sf, "lineitem").select(*k, F.col("l_quantity").cast("int").bitwiseAND(F.lit(255)).alias("b"))
+    x = planning.row_before(planning.sum_before(x, F.lit(1), "i", k[0], [*k, "b"]), ["b"], "was", k[0], [*k, "b"])
+    x = x.withColumn("d", F.when(F.col("i") < 3, F.col("b")).otherwise((F.col("b") - F.col("was.b")).bitwiseAND(F.lit(255))))
+    x = x.withColumn("part", F.when(F.col("i") < 2, 0).when(F.col("i") == 2, F.col("b")).otherwise(F.col("d")))
+    x = planning.sum_before(x, F.col("part"), "before", "i", ["i"], 1 << 14)
+    return x.select("i", "b", "d", F.when(F.col("i") < 3, F.col("b")).otherwise((F.col("before") + F.col("part")).bitwiseAND(F.lit(255))).alias("back"))
+
+
+whole("byte_delta", " WHERE i < 2000", _byte_delta_whole)
+
+
 @query("p:l t:l s:l grey:l", f"{VOL}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM vol WHERE p = 1)\n--\nSELECT p, t, s, floor(least(greatest((CAST(v AS DOUBLE) - lo) / CASE WHEN hi = lo THEN 1 ELSE CAST(hi AS DOUBLE) - lo END, 0), 1) * 255 + 0.5) AS grey FROM vol, g WHERE p = 1")
 def grey_levels(spark, sf):
     """One profile scaled from its range to 0..255."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitstrata.functions import bits as B
 from bitstrata.operators import codecs, coders, model, neighbours
-from bitstrata.plans.catalog import LOCO, VOL, exps, query, table, vol
+from bitstrata.plans.catalog import LOCO, VOL, exps, query, table, vol, whole
 
 _CTX = """, cx AS (SELECT r, CASE WHEN l IS NULL OR u IS NULL OR l = u THEN 0 ELSE (CASE WHEN l < u THEN 4 ELSE 0 END) + (CASE WHEN abs(l - u) = 1 THEN 1 WHEN abs(l - u) <= 3 THEN 2 WHEN abs(l - u) <= 8 THEN 3 ELSE 4 END) END AS ctx FROM res),
 cnt AS (SELECT ctx, r AS symbol, count(*) AS n FROM cx GROUP BY ctx, r)"""
@@ -94,8 +94,10 @@ def sha256_text(spark, sf):
 _CAND = "cd AS (SELECT o_orderkey AS stream, method, size, ord FROM orders, (VALUES ('zstd', 0), ('xz', 1), ('rle', 2)) m(method, ord), LATERAL (SELECT (o_custkey * (ord + 3) + o_orderkey * 7) % 101 AS size) WHERE o_orderkey < 500)"
 
 
-def _candidates(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey < 500")
+def _candidates(spark, sf, below=500):
+    o = table(spark, sf, "orders")
+    if below:
+        o = o.filter(F.col("o_orderkey") < below)
     m = F.explode(F.array(*[F.struct(F.lit(k).alias("method"), F.lit(i).alias("ord")) for i, k in enumerate(("zstd", "xz", "rle"))]))
     x = o.select("o_orderkey", "o_custkey", m.alias("m")).select(F.col("o_orderkey").alias("stream"), "m.method", "m.ord", ((F.col("o_custkey") * (F.col("m.ord") + 3) + F.col("o_orderkey") * 7) % 101).alias("size"))
     return x
@@ -104,8 +106,15 @@ def _candidates(spark, sf):
 @query("stream:l method:s size:l", f"{_CAND}\n--\nSELECT stream, method, size FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY size, ord) AS rn FROM cd) WHERE rn = 1")
 def best_method(spark, sf):
     """The smallest candidate of each stream, the first listed at a tie."""
+    return _smallest(_candidates(spark, sf))
+
+
+def _smallest(candidates):
     best = F.min(F.struct("size", "ord", "method"))
-    return _candidates(spark, sf).groupBy("stream").agg(best.alias("b")).select("stream", "b.method", "b.size")
+    return candidates.groupBy("stream").agg(best.alias("b")).select("stream", "b.method", "b.size")
+
+
+whole("best_method", " WHERE o_orderkey < 500", lambda spark, sf: _smallest(_candidates(spark, sf, None)))
 
 
 @query("scheme:s total:l ratio:d6 saving:d6 bits_per_value:d6", f"{VOL}, pl AS (SELECT count(*) AS n, count(*) // 8 AS sgn, (SELECT count(DISTINCT e) FROM vol) * 16 AS ex FROM vol), sc AS (SELECT n, 'split' AS scheme, sgn + ex + n * 15 // 8 + n AS total FROM pl UNION ALL SELECT n, 'whole', sgn + ex + n * 3 FROM pl)\n--\nSELECT scheme, total, n * 4 / total AS ratio, 1 - total / (n * 4) AS saving, total * 8 / n AS bits_per_value FROM sc")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bitstrata.operators import layout, planning, roi
-from bitstrata.plans.catalog import SAMPLES, TRACES, VOL, query, table, vol
+from bitstrata.plans.catalog import SAMPLES, TRACES, VOL, query, table, vol, whole
 from bitstrata.sources import volumes
 
 _BLOCKS = "blk AS (SELECT b AS block, b * 3 AS profile_start, least(b * 3 + 3, 35) - 1 AS profile_end FROM range(12) r(b))"
@@ -29,9 +29,11 @@ _RAG = """m AS (SELECT CAST(o_orderkey AS BIGINT) AS ord, 1000 + o_orderkey + o_
 o AS (SELECT *, coalesce(sum(trace_count) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS trace_offset FROM m)"""
 
 
-def _manifest(spark, sf):
+def _manifest(spark, sf, below=400):
     k = F.col("o_orderkey")
-    x = table(spark, sf, "orders").filter(k < 400)
+    x = table(spark, sf, "orders")
+    if below:
+        x = x.filter(k < below)
     shift = F.floor(k / 15) % 3
     return planning.with_trace_offsets(x.select(k.alias("ord"), (1000 + k + F.floor(k / 40)).alias("subline"), (100 + shift).alias("xline_start"), (199 + shift).alias("xline_end"), F.lit(100).alias("trace_count")))
 
@@ -53,6 +55,10 @@ def ragged_blocks(spark, sf):
     return planning.ragged_blocks(_manifest(spark, sf), SAMPLES)
 
 
+whole("trace_offsets", " WHERE o_orderkey < 400", lambda spark, sf: _manifest(spark, sf, None))
+whole("ragged_blocks", " WHERE o_orderkey < 400", lambda spark, sf: planning.ragged_blocks(_manifest(spark, sf, None), SAMPLES))
+
+
 @query("profile:l split:s slice:s", f"x AS (SELECT x FROM range(35) r(x))\n--\nSELECT x AS profile, {_SPLIT} AS split, CASE WHEN x < 2 THEN NULL WHEN x < 22 THEN 'train' WHEN x < 27 THEN 'val' WHEN x < 32 THEN 'test' END AS slice FROM x")
 def split_labels(spark, sf):
     p = F.col("id")
@@ -256,9 +262,12 @@ def percentile_clip(spark, sf):
 _HEAD = "hd AS (SELECT o_orderkey AS seq, o_orderkey // 37 AS inline, o_orderkey % 37 AS xline, 1000 + 25 * (o_orderkey % 37) + o_orderkey % 2 AS x, 5000 + 40 * (o_orderkey // 37) AS y, o_custkey % 7 AS file FROM orders WHERE o_orderkey < 1110)"
 
 
-def _headers(spark, sf):
+def _headers(spark, sf, below=1110):
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(k < 1110).select(k.alias("seq"), F.floor(k / 37).alias("inline"), (k % 37).alias("xline"), (1000 + 25 * (k % 37) + k % 2).alias("x"), (5000 + 40 * F.floor(k / 37)).alias("y"), (F.col("o_custkey") % 7).alias("file"))
+    x = table(spark, sf, "orders")
+    if below:
+        x = x.filter(k < below)
+    return x.select(k.alias("seq"), F.floor(k / 37).alias("inline"), (k % 37).alias("xline"), (1000 + 25 * (k % 37) + k % 2).alias("x"), (5000 + 40 * F.floor(k / 37)).alias("y"), (F.col("o_custkey") % 7).alias("file"))
 
 
 @query("profile_count:l traces_per_profile:l", f"{_HEAD}, g AS (SELECT inline, count(*) AS n FROM hd WHERE inline <> 0 GROUP BY inline)\n--\nSELECT count(*) AS profile_count, CASE WHEN min(n) = max(n) THEN min(n) ELSE CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) END AS traces_per_profile FROM g")
@@ -271,7 +280,11 @@ _JUMP = f"{_HEAD}, j AS (SELECT file, seq, CASE WHEN abs(y - lag(y) OVER w) > 50
 
 @query("file:l segment:l length:l", f"{_JUMP}\n--\nSELECT * FROM ln")
 def jump_segments(spark, sf):
-    return layout.jump_segments(_headers(spark, sf).withColumn("x", F.col("x") / 10), "x", "y", 50)
+    return _jumps(_headers(spark, sf))
+
+
+def _jumps(headers):
+    return layout.jump_segments(headers.withColumn("x", F.col("x") / 10), "x", "y", 50)
 
 
 @query("file:l length:l", f"{_JUMP}, c AS (SELECT file, length, count(*) AS k, min(segment) AS f FROM ln GROUP BY file, length)\n--\nSELECT file, length FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k DESC, f) AS rn FROM c) WHERE rn = 1")
@@ -293,6 +306,14 @@ def grid_candidates(spark, sf):
     return layout.grid_score(_headers(spark, sf), [10, 30, 37, 74])
 
 
+_CUT = " WHERE o_orderkey < 1110"
+whole("inline_layout", _CUT, lambda spark, sf: layout.inline_layout(_headers(spark, sf, None)))
+whole("jump_segments", _CUT, lambda spark, sf: _jumps(_headers(spark, sf, None)))
+whole("modal_segment", _CUT, lambda spark, sf: layout.modal_length(_jumps(_headers(spark, sf, None))))
+whole("header_axis", _CUT, lambda spark, sf: layout.header_axis(_headers(spark, sf, None), "xline"))
+whole("grid_candidates", _CUT, lambda spark, sf: layout.grid_score(_headers(spark, sf, None), [10, 30, 37, 74]))
+
+
 @query("a:l b:l", "x AS (SELECT a FROM range(1, 34) r(a) WHERE 1110 % a = 0)\n--\nSELECT a, 1110 // a AS b FROM x")
 def factor_pairs(spark, sf):
     return layout.factor_pairs(spark, 1110)
