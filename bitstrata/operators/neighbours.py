@@ -41,7 +41,7 @@ def patch_cells(exps: DataFrame, centres: DataFrame, shape: tuple[int, int] = (9
     clipped to the plane and moved to the nearest cell that is: in the same trace, the sample
     before the centre; else the trace before at the clipped sample (in diagonal mode only if that
     is earlier); else they stay empty.  The table of offsets has as many rows as the patch has
-    cells; centres are a sample of the volume.
+    cells; centres are any voxels of the volume, all of them too.
     """
     h, w = shape
     spark = exps.sparkSession

@@ -319,6 +319,34 @@ def patch_channels(spark, sf):
     return causal_patch(spark, sf).groupBy("p", "t", "s").agg(F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.sum("usable").alias("usable"))
 
 
+_KEYS = ("p", "t", "s")
+
+
+@query(KINDS["causal_patch"])
+def causal_patch_whole(spark, sf):
+    """As causal_patch, around every voxel."""
+    e = exps(spark, sf)
+    return neighbours.patch_cells(e, e.select(*_KEYS), traces=TRACES, samples=SAMPLES)
+
+
+@query(KINDS["causal_patch_raster"])
+def causal_patch_raster_whole(spark, sf):
+    e = exps(spark, sf)
+    return neighbours.patch_cells(e, e.select(*_KEYS), mode="raster", traces=TRACES, samples=SAMPLES)
+
+
+@query(KINDS["strict_patch"])
+def strict_patch_whole(spark, sf):
+    e = exps(spark, sf)
+    return neighbours.strict_cells(e, e.select(*_KEYS))
+
+
+@query(KINDS["patch_channels"])
+def patch_channels_whole(spark, sf):
+    x = F.col("value") / 255
+    return causal_patch_whole(spark, sf).groupBy("p", "t", "s").agg(F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.sum("usable").alias("usable"))
+
+
 # ------------------------------------------------------------ runs
 
 _RUNS = f"{VOL}, o AS (SELECT p, t * 64 + s AS i, sgn FROM vol), n AS (SELECT *, CASE WHEN lag(sgn) OVER (ORDER BY p, i) = sgn THEN 0 ELSE 1 END AS new FROM o), g AS (SELECT *, sum(new) OVER (ORDER BY p, i ROWS UNBOUNDED PRECEDING) AS g FROM n), runs AS (SELECT g - 1 AS run, count(*) AS length, min(sgn) AS value FROM g GROUP BY g)"
