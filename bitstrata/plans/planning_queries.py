@@ -10,19 +10,24 @@ from bitstrata.plans.catalog import SAMPLES, TRACES, VOL, query, table, vol, who
 from bitstrata.sources import volumes
 
 _BLOCKS = "blk AS (SELECT b AS block, b * 3 AS profile_start, least(b * 3 + 3, 35) - 1 AS profile_end FROM range(12) r(b))"
-#: Profiles of the plan that these queries work on.
+#: Least profiles of the plan that these queries work on, as their SQL has it; a larger volume is planned whole.
 PROFILES, PER_BLOCK = 35, 3
 VAL, TEST = [(20, 24)], [(24, 27), (30, 31)]
 _SPLIT = "CASE WHEN x BETWEEN 24 AND 27 OR x BETWEEN 30 AND 31 THEN 'test' WHEN x BETWEEN 20 AND 24 THEN 'val' ELSE 'train' END"
 
 
-def _blocks(spark):
-    return planning.regular_blocks(spark, PROFILES, TRACES, SAMPLES, PER_BLOCK)
+def _profiles(spark, sf):
+    last = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    return PROFILES if last is None else max(PROFILES, last // TRACES + 1)
+
+
+def _blocks(spark, sf):
+    return planning.regular_blocks(spark, _profiles(spark, sf), TRACES, SAMPLES, PER_BLOCK)
 
 
 @query("block:l profile_start:l profile_end:l profiles:l trace_offset:l trace_count:l value_offset:l value_count:l byte_offset:l byte_count:l", f"{_BLOCKS}, n AS (SELECT *, profile_end - profile_start + 1 AS profiles FROM blk)\n--\nSELECT block, profile_start, profile_end, profiles, profile_start * 50 AS trace_offset, profiles * 50 AS trace_count, profile_start * 3200 AS value_offset, profiles * 3200 AS value_count, profile_start * 12800 AS byte_offset, profiles * 12800 AS byte_count FROM n")
 def regular_blocks(spark, sf):
-    return _blocks(spark)
+    return _blocks(spark, sf)
 
 
 _RAG = """m AS (SELECT CAST(o_orderkey AS BIGINT) AS ord, 1000 + o_orderkey + o_orderkey // 40 AS subline, 100 + (o_orderkey // 15) % 3 AS xline_start, 199 + (o_orderkey // 15) % 3 AS xline_end, 100 AS trace_count FROM orders WHERE o_orderkey < 400),
@@ -62,7 +67,7 @@ whole("ragged_blocks", " WHERE o_orderkey < 400", lambda spark, sf: planning.rag
 @query("profile:l split:s slice:s", f"x AS (SELECT x FROM range(35) r(x))\n--\nSELECT x AS profile, {_SPLIT} AS split, CASE WHEN x < 2 THEN NULL WHEN x < 22 THEN 'train' WHEN x < 27 THEN 'val' WHEN x < 32 THEN 'test' END AS slice FROM x")
 def split_labels(spark, sf):
     p = F.col("id")
-    return spark.range(PROFILES).select(p.alias("profile"), planning.split_label(p, VAL, TEST).alias("split"), planning.contiguous_split(p, 20, 5, 5, offset=2).alias("slice"))
+    return spark.range(_profiles(spark, sf)).select(p.alias("profile"), planning.split_label(p, VAL, TEST).alias("split"), planning.contiguous_split(p, 20, 5, 5, offset=2).alias("slice"))
 
 
 _SEG = f"""{_BLOCKS}, r AS (SELECT block, profile_start, unnest(range(profile_start, profile_end + 1)) AS x FROM blk), l AS (SELECT block, x, x - profile_start AS local, {_SPLIT} AS split FROM r),
@@ -72,7 +77,7 @@ seg AS (SELECT block, split, min(x) AS seg_start, max(x) AS seg_end, min(local)
 
 @query("segment_id:s block:l split:s seg_start:l seg_end:l local_start:l profiles:l", f"{_SEG}\n--\nSELECT *, 'block' || block || '_' || split || '_p' || lpad(CAST(seg_start AS VARCHAR), 4, '0') || '_' || lpad(CAST(seg_end AS VARCHAR), 4, '0') AS segment_id FROM seg")
 def split_segments(spark, sf):
-    return planning.segments(_blocks(spark), VAL, TEST)
+    return planning.segments(_blocks(spark, sf), VAL, TEST)
 
 
 @query("split:s segments:l profiles:l voxels:l", f"{_SEG}\n--\nSELECT split, count(*) AS segments, sum(profiles) AS profiles, sum(profiles) * 3200 AS voxels FROM seg GROUP BY split")
@@ -87,18 +92,18 @@ def sample_allocation(spark, sf):
 
 @query("block:l split:s voxels:l", f"{_BLOCKS}\n--\nSELECT block, 'all' AS split, (profile_end - profile_start + 1) * 3200 AS voxels FROM blk")
 def complete_segments(spark, sf):
-    return _blocks(spark).select("block", F.lit("all").alias("split"), F.col("value_count").alias("voxels"))
+    return _blocks(spark, sf).select("block", F.lit("all").alias("split"), F.col("value_count").alias("voxels"))
 
 
 @query("block:l profile_start:l profile_end:l value_offset:l value_count:l byte_offset:l", f"{_BLOCKS}, x AS (SELECT block, greatest(profile_start, 7) AS profile_start, least(profile_end, 22) AS profile_end FROM blk WHERE profile_end >= 7 AND profile_start <= 22)\n--\nSELECT *, profile_start * 3200 AS value_offset, (profile_end - profile_start + 1) * 3200 AS value_count, profile_start * 12800 AS byte_offset FROM x")
 def profile_range_prune(spark, sf):
-    return planning.prune_profiles(_blocks(spark), 7, 22, TRACES, SAMPLES)
+    return planning.prune_profiles(_blocks(spark, sf), 7, 22, TRACES, SAMPLES)
 
 
 @query("block:l value_count:l capped:l", f"{_BLOCKS}, x AS (SELECT block, (profile_end - profile_start + 1) * 3200 AS value_count FROM blk ORDER BY block LIMIT 5)\n--\nSELECT block, value_count, least((SELECT sum(value_count) FROM x), 30000) AS capped FROM x")
 def selected_blocks(spark, sf):
     """The first five blocks and their values, capped."""
-    x = _blocks(spark).orderBy("block").limit(5)
+    x = _blocks(spark, sf).orderBy("block").limit(5)
     return x.crossJoin(x.agg(F.least(F.sum("value_count"), F.lit(30000)).alias("capped"))).select("block", "value_count", "capped")
 
 
