@@ -120,15 +120,21 @@ def fit(train: DataFrame, max_rows: int = MAX_FIT_ROWS, centroids: int = CENTROI
     for r in stats:
         df[r.slot + 1] = r.n
     idf = (np.log((1.0 + df[0]) / (1.0 + df[1:])) + 1.0).astype(np.float32)
-    per = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, max_rows // 20)).collect()}
-    share: Column = F.lit(0.0)
-    for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_rows / len(per) / n))).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20)) < share * (1 << 20)
+    per = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20))
+    shares = spark.createDataFrame([(lang, min(1.0, max_rows / len(per) / n)) for lang, n in per.items()], "label string, share double")
+    picked = train.join(F.broadcast(shares), F.col("lang") == F.col("label")).filter(hashed < F.col("share") * (1 << 20))  # one row a language
     x, y = [], []
-    for r in train.filter(pick).select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary").limit(2 * max_rows).collect():
-        x.append(np.frombuffer(bytes(r.counts), np.uint16))
-        y.append(r.lang)
+
+    def take(rows: DataFrame, most: int) -> None:
+        for r in rows.select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary").limit(most).collect():
+            x.append(np.frombuffer(bytes(r.counts), np.uint16))
+            y.append(r.lang)
+
+    take(picked, 2 * max_rows)
+    if left := sorted(set(per) - set(y)):  # at least one row each
+        rest = train.join(F.broadcast(spark.createDataFrame([(g,) for g in left], "label string")), F.col("lang") == F.col("label"))
+        take(rest.groupBy("lang").agg(F.min_by("text", F.struct(hashed, F.xxhash64("id", "text"))).alias("text")), len(left))
     langs = sorted(per)
     if not x:
         return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(24, np.float32))

@@ -260,6 +260,18 @@ def test_language_id_odd(spark, docs, rows, empty):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+@pytest.mark.parametrize("max_rows", [language_id.MAX_FIT_ROWS, 60])
+def test_every_language_is_learnt(spark, max_rows):
+    rng, rows = random.Random(6), []
+    for k in range(180):
+        vocab = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        rows += [(3 * k + j, " ".join(rng.choices(vocab, k=60)), f"l{k:03}") for j in range(3)]
+    train = spark.createDataFrame(rows, "id long, text string, lang string")
+    assert language_id.fit(train, max_rows).langs == sorted({r[2] for r in rows})
+    got = {r.id: r.lang_pred for r in language_id.identify(train, "id").collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.99 * len(rows)
+
+
 def test_rejection(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     noise = spark.createDataFrame([(10**6 + k, "".join(random.Random(k).choices("qxzjkvwбгджщ", k=400)), None, "s", 0) for k in range(5)], docs.schema)
