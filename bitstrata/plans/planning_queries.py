@@ -250,6 +250,35 @@ def joint_scores(spark, sf):
     return x.crossJoin(F.broadcast(top)).select("t0", "s0", (0.42 * F.col("sign_bias") / F.col("a") + 0.58 * F.col("e_std") / F.col("b")).alias("joint"))
 
 
+def _active(spark, sf):
+    from bitstrata.functions import bits as B
+
+    b = F.col("bits")
+    cells = vol(spark, sf).select("p", "t", "s", "v", B.exponent(b).alias("e"), B.sign(b).alias("sgn"))
+    return cells, roi.active_windows(cells, 16, 16, 10, TRACES, SAMPLES)
+
+
+@query("p:l t0:l s0:l n:l e_std:d6 e_span:l v_std:d6 e_step:d6 same_sign:d6 sign_bias:d6 corr_s:d6 corr_t:d6")
+def neighbour_scores_whole(spark, sf):
+    """As neighbour_scores, every profile's windows."""
+    return roi.window_scores(_active(spark, sf)[0], 16, 16, 10, TRACES, SAMPLES, ("p",))
+
+
+@query("p:l t0:l s0:l score:d6")
+def roi_search_whole(spark, sf):
+    """The best active window of each profile, near the profile's middle; none where no window is active."""
+    score = 0.42 * (1.35 * F.col("sign_bias") + 0.35 * F.col("same_sign")) + 0.58 * (F.col("e_std") + F.col("e_step"))
+    return roi.best_windows(_active(spark, sf)[1], score, (25.0, 32.0), 42.0, (16, 16))
+
+
+@query("p:l t0:l s0:l joint:d6")
+def joint_scores_whole(spark, sf):
+    """Sign and exponent scores of every profile's active windows, each over the profile's largest, times activity."""
+    w = Window.partitionBy("p")
+    a, b = (F.col(k) / F.greatest(F.max(k).over(w), F.lit(1e-12)) for k in ("sign_bias", "e_std"))
+    return _active(spark, sf)[1].select("p", "t0", "s0", ((0.42 * a + 0.58 * b) * F.col("weight")).alias("joint"))
+
+
 @query("p:l t:l energy:d6", f"{VOL}, g AS (SELECT p, t, round(avg(abs(CAST(v AS DOUBLE))), 9) AS energy, count(*) FILTER (abs(v) > 0.001) AS live FROM vol WHERE t % 2 = 0 AND s < 40 GROUP BY p, t)\n--\nSELECT p, t, energy FROM g WHERE live > 2 ORDER BY energy DESC, p, t LIMIT 1")
 def energy_argmax(spark, sf):
     return roi.max_energy(vol(spark, sf), 1, 2, 40)
