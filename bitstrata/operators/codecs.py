@@ -33,78 +33,132 @@ def run_length(raw: bytes) -> bytes:
     if not len(x):
         return b""
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    out = bytearray()
-    for b, n in zip(x[first].tolist(), np.diff(np.concatenate([first, [len(x)]])).tolist(), strict=True):
+    size = np.diff(np.concatenate([first, [len(x)]]))
+    out, done = bytearray(), 0
+    some = np.flatnonzero((size >= 3) | (x[first] == 255))
+    for at, n in zip(first[some].tolist(), size[some].tolist(), strict=True):
+        out += raw[done:at]
+        done, b = at + n, raw[at]
         while n >= 3 or (n and b == 255):
             k = min(n, 255)
             out += bytes((255, b, k))
             n -= k
         out += bytes([b]) * n
-    return bytes(out)
+    return bytes(out + raw[done:])
 
 
 def un_run_length(raw: bytes) -> bytes:
     out, i = bytearray(), 0
-    while i < len(raw):
-        if raw[i] == 255:
-            out += raw[i + 1 : i + 2] * raw[i + 2]
-            i += 3
-        else:
-            out.append(raw[i])
-            i += 1
-    return bytes(out)
-
-
-def match_copy(raw: bytes, window: int = 32768, longest: int = 255, chain: int = 100) -> bytes:
-    """Deflated stream of (0, byte) and (1, distance, length) tokens over the byte differences."""
-    x = delta(raw)
-    seen: dict[bytes, list[int]] = {}
-    out, i = bytearray(), 0
-    while i < len(x):
-        key, best, at = x[i : i + 3], 0, 0
-        if len(key) == 3:
-            for j in reversed(seen.get(key, [])[-chain:]):
-                if i - j > window:
-                    break
-                n = 3
-                while n < longest and i + n < len(x) and x[j + n] == x[i + n]:
-                    n += 1
-                if n > best:
-                    best, at = n, i - j
-        step = best if best >= 3 else 1
-        out += bytes((1, at >> 8, at & 255, best)) if best >= 3 and at < 65536 else bytes((0, x[i]))
-        for k in range(i, min(i + step, len(x) - 2)):
-            seen.setdefault(x[k : k + 3], []).append(k)
-        i += step
-    return zlib.compress(bytes(out), 6)
+    while (at := raw.find(255, i)) >= 0:
+        out += raw[i:at]
+        out += raw[at + 1 : at + 2] * raw[at + 2]
+        i = at + 3
+    return bytes(out + raw[i:])
+
+
+WINDOW, SHORTEST, LONGEST, CHAIN = 32768, 3, 255, 8
+
+
+def _matches(x: np.ndarray, bounds: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length, distance) of the longest match before each place, of the `chain` nearest places
+    with the same three bytes, inside the same text and the window; the nearest wins ties."""
+    n = len(x)
+    best, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n < SHORTEST:
+        return best, far
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    left = np.minimum(bounds[1:][text] - np.arange(n), LONGEST)  # bytes that a match can have
+    grown = np.concatenate([x, np.zeros(LONGEST + 8, np.uint8)]).astype(np.uint64)
+    eight = grown[: n + LONGEST].copy()  # eight bytes from each place on
+    for k in range(1, 8):
+        eight |= grown[k : n + LONGEST + k] << np.uint64(8 * k)
+    key = (text.astype(np.uint64) << np.uint64(24)) | (eight[:n] & np.uint64(0xFFFFFF))
+    order = np.argsort(key, kind="stable")
+    prev = np.full(n, -1)
+    same = key[order[1:]] == key[order[:-1]]
+    prev[order[1:][same]] = order[:-1][same]
+    live = np.flatnonzero((prev >= 0) & (left >= SHORTEST))
+    at = prev[live]
+    for _ in range(chain):
+        near = live - at < WINDOW
+        live, at = live[near], at[near]
+        if not len(live):
+            break
+        length, open_ = np.zeros(len(live), np.int64), np.arange(len(live))
+        while len(open_):
+            i, j, k = live[open_], at[open_], length[open_]
+            differ = eight[i + k] ^ eight[j + k]
+            # equal bytes from the lowest: those below the lowest bit that differs
+            low = differ & (~differ + np.uint64(1))
+            equal = np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3)
+            length[open_] = k + equal
+            open_ = open_[(equal == 8) & (k + 8 < left[i])]
+        length = np.minimum(length, left[live])
+        better = length > best[live]
+        best[live[better]], far[live[better]] = length[better], (live - at)[better]
+        more = (prev[at] >= 0) & (best[live] < left[live])
+        live, at = live[more], prev[at[more]]
+    return best, far
+
+
+def match_copy_many(texts: list[bytes], chain: int = CHAIN) -> list[bytes]:
+    """Each text as a deflated stream of (0, byte) and (1, distance, length) tokens over its byte
+    differences; matches of all texts are found together."""
+    diffs = [delta(t) for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in diffs])]).astype(np.int64)
+    x = np.frombuffer(b"".join(diffs), np.uint8)
+    best, far = _matches(x, bounds, chain)
+    step = np.where(best >= SHORTEST, best, 1)
+    jump, places, starts = (np.arange(len(x)) + step).tolist(), [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        starts.append(len(places))
+        while a < b:
+            places.append(a)
+            a = jump[a]
+    at = np.array(places, np.int64)
+    copies = best[at] >= SHORTEST if len(at) else np.zeros(0, bool)
+    end = np.concatenate([[0], np.cumsum(np.where(copies, 4, 2))]).astype(np.int64)
+    out = np.zeros(int(end[-1]), np.uint8)
+    lone, many = end[:-1][~copies], end[:-1][copies]
+    out[lone + 1] = x[at[~copies]]
+    out[many], out[many + 1], out[many + 2], out[many + 3] = 1, far[at[copies]] >> 8, far[at[copies]] & 255, best[at[copies]]
+    raw, edge = out.tobytes(), end[np.array([*starts, len(places)], np.int64)].tolist()
+    return [zlib.compress(raw[a:b], 6) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def match_copy(raw: bytes, chain: int = CHAIN) -> bytes:
+    return match_copy_many([raw], chain)[0]
 
 
 def un_match_copy(raw: bytes) -> bytes:
-    tokens, out, i = zlib.decompress(raw), bytearray(), 0
+    tokens, out, i, size = zlib.decompress(raw), bytearray(), 0, 0
     while i < len(tokens):
         if tokens[i]:
             back, n = tokens[i + 1] << 8 | tokens[i + 2], tokens[i + 3]
-            for _ in range(n):
-                out.append(out[-back])
+            part = out[size - back : size - back + n]
+            while len(part) < n:
+                part += part[: n - len(part)]
+            out += part
+            size += n
             i += 4
         else:
             out.append(tokens[i + 1])
+            size += 1
             i += 2
     return undelta(bytes(out))
 
 
 def _zstd(level: int) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
-    def pack(raw: bytes) -> bytes:
-        import zstandard
-
-        return zstandard.ZstdCompressor(level=level).compress(raw)
+    made: list = []  # a worker's own pair, not sent along
 
-    def unpack(raw: bytes) -> bytes:
-        import zstandard
+    def both():
+        if not made:
+            import zstandard
 
-        return zstandard.ZstdDecompressor().decompress(raw)
+            made[:] = [zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()]
+        return made
 
-    return pack, unpack
+    return lambda raw: both()[0].compress(raw), lambda raw: both()[1].decompress(raw)
 
 
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
@@ -128,9 +182,12 @@ def compare(rows: DataFrame, data: str, names: tuple[str, ...] = ("lz77", "defla
             raw = [x or b"" for x in b.column(0).to_pylist()]
             for name in names:
                 pack, unpack = CODECS[name]
-                packed = [pack(x) for x in raw]
+                packed = match_copy_many(raw) if pack is match_copy else [pack(x) for x in raw]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(raw)), pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x) for x in packed], pa.int64()), pa.array([unpack(y) == x for x, y in zip(raw, packed, strict=True)])], names=["codec", "original", "compressed", "ok"])
 
-    x = rows.select(data).mapInArrow(run, "codec string, original long, compressed long, ok boolean")
+    rows, wide = rows.select(data), rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < wide:  # coding costs far more than the shuffle of an input this small
+        rows = rows.repartition(wide)
+    x = rows.mapInArrow(run, "codec string, original long, compressed long, ok boolean")
     s = x.groupBy("codec").agg(F.sum("original").alias("original"), F.sum("compressed").alias("compressed"), F.every("ok").alias("verified"))
     return s.withColumn("ratio", F.round(F.col("original") / F.greatest("compressed", F.lit(1)), 2)).withColumn("saving", F.round((1 - F.col("compressed") / F.greatest("original", F.lit(1))) * 100, 1))

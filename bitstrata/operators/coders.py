@@ -122,11 +122,9 @@ def encode_plane(plane: np.ndarray, freq: np.ndarray) -> bytes:
     return write_container({"codec": "tile_range", "shape": list(plane.shape), "total_freq": 1 << BITS, "model_sha256": table_digest(freq)}, payload)
 
 
-def decode_plane(blob: bytes, freq: np.ndarray) -> np.ndarray:
-    header, payload = read_container(blob)
-    if header["model_sha256"] != table_digest(freq):
-        raise ValueError("the stream was made with another model")
-    h, w = header["shape"]
+def decode_payload(payload: bytes, shape: tuple[int, int], freq: np.ndarray) -> np.ndarray:
+    """A plane's cells in order, each in the context of those before."""
+    h, w = shape
     lo = (np.cumsum(freq, 1) - freq).tolist()
     find = [np.repeat(np.arange(256), f).tolist() for f in freq]
     width = freq.tolist()
@@ -148,6 +146,13 @@ def decode_plane(blob: bytes, freq: np.ndarray) -> np.ndarray:
     return out
 
 
+def decode_plane(blob: bytes, freq: np.ndarray) -> np.ndarray:
+    header, payload = read_container(blob)
+    if header["model_sha256"] != table_digest(freq):
+        raise ValueError("the stream was made with another model")
+    return decode_payload(payload, tuple(header["shape"]), freq)
+
+
 def model_table(freq: DataFrame) -> np.ndarray:
     """(context, symbol, freq) rows as an array: contexts times symbols, whatever the data."""
     table = np.zeros((CONTEXTS, 256), np.int64)

@@ -50,6 +50,11 @@ def grid_score(coords: DataFrame, widths: list[int]) -> DataFrame:
     return err.select("width", F.round(sum((F.col(k) for k in cols), F.lit(0.0)), 6).alias("error"))
 
 
+def best_grids(scores: DataFrame, top: int) -> DataFrame:
+    """The `top` widths of least error, of equal ones the wider first."""
+    return scores.orderBy("error", F.desc("width")).limit(top)
+
+
 def factor_pairs(spark: SparkSession, n: int) -> DataFrame:
     a = F.col("id")
     return spark.range(1, int(n**0.5) + 1).filter(F.lit(n) % a == 0).select(a.alias("a"), F.floor(F.lit(n) / a).alias("b"))

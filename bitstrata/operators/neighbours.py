@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitstrata.functions.bits import residual
@@ -33,41 +37,117 @@ def diagonal_key(three: bool = False) -> list:
     return [F.col("t") + F.col("s"), F.col("p"), F.col("t")]
 
 
-def patch_cells(exps: DataFrame, centres: DataFrame, shape: tuple[int, int] = (9, 17), mode: str = "diagonal", traces: int = 0, samples: int = 0) -> DataFrame:
-    """(p, t, s, dt, ds, value, usable, real, mapped) for every cell of each centre's patch.
+def profile_planes(traces: DataFrame, column: str = "e") -> DataFrame:
+    """(p, plane): a profile's trace rows (p, t, values) as one row of lists in trace order."""
+    return traces.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("t", column))).alias("x")).select("p", F.col(f"x.{column}").alias("plane"))
+
+
+def _plane(column: pa.Array, k: int) -> np.ndarray:
+    rows = column[k].values
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), -1)
+
+
+def residual_traces(traces: DataFrame) -> DataFrame:
+    """(p, t, r array) of trace rows (p, t, e array): planar residuals modulo 256, a profile at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, p in enumerate(b.column(0).to_pylist()):
+                e = _plane(b.column(1), k)
+                grown = np.pad(e, ((1, 0), (1, 0)))
+                left, up, corner = grown[:-1, 1:], grown[1:, :-1], grown[:-1, :-1]
+                pred = np.clip(left + up - corner, 0, 255)
+                pred[0], pred[:, 0] = up[0], left[:, 0]
+                yield _trace_batch(p, (e - pred) & 255)
+
+    return profile_planes(traces).mapInArrow(run, "p int, t int, r array<int>")
+
+
+def _trace_batch(p: int, plane: np.ndarray, name: str = "r") -> pa.RecordBatch:
+    n_t, n_s = plane.shape
+    off = pa.array(np.arange(n_t + 1, dtype=np.int32) * n_s)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n_t, p), pa.int32()), pa.array(np.arange(n_t, dtype=np.int32)), pa.ListArray.from_arrays(off, pa.array(plane.ravel().astype(np.int32)))], names=["p", "t", name])
+
+
+def restored_traces(residuals_: DataFrame) -> DataFrame:
+    """(p, t, e array) from residual traces alone: each anti-diagonal from the two before it."""
 
-    A cell is in context if it comes before the centre: in "raster" mode in an earlier trace
-    or earlier in the same one, in "diagonal" mode on an earlier anti-diagonal.  Other cells are
-    clipped to the plane and moved to the nearest cell that is: in the same trace, the sample
-    before the centre; else the trace before at the clipped sample (in diagonal mode only if that
-    is earlier); else they stay empty.  The table of offsets has as many rows as the patch has
-    cells; centres are any voxels of the volume, all of them too.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, p in enumerate(b.column(0).to_pylist()):
+                r = _plane(b.column(1), k)
+                n_t, n_s = r.shape
+                e = np.zeros((n_t + 1, n_s + 1), np.int64)  # zeros before the first trace and sample
+                for d in range(n_t + n_s - 1):
+                    t = np.arange(max(0, d - n_s + 1), min(n_t, d + 1))
+                    s = d - t
+                    left, up = e[t, s + 1], e[t + 1, s]
+                    pred = np.where((t == 0) | (s == 0), left + up, np.clip(left + up - e[t, s], 0, 255))
+                    e[t + 1, s + 1] = (pred + r[t, s]) & 255
+                yield _trace_batch(p, e[1:, 1:], "e")
+
+    return profile_planes(residuals_, "r").mapInArrow(run, "p int, t int, e array<int>")
+
+
+def patch(plane: np.ndarray, first: int, last: int, shape: tuple[int, int], mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, kinds) of shape (traces, samples, cells) around the cells of traces first:last.
+
+    Kinds: 0 empty, 1 a cell in context, 2 one put in its place.  A cell is in context if it
+    comes before the centre: in "diagonal" mode on an earlier anti-diagonal, else in an earlier
+    trace or earlier in the same one.  In "diagonal" and "raster" mode other cells are clipped to
+    the plane and moved to the nearest that is in context: in the same trace, the sample before
+    the centre; else the trace before at the clipped sample (in diagonal mode only if that is
+    earlier); else they stay empty.  "strict" leaves them empty; "edge" is strict with cells
+    beyond the plane's edge read at the edge.
     """
     h, w = shape
-    spark = exps.sparkSession
-    offsets = spark.range(h * w).select((F.floor(F.col("id") / w) - h // 2).cast("int").alias("dt"), (F.col("id") % w - w // 2).cast("int").alias("ds"))
-    x = centres.select("p", "t", "s").crossJoin(F.broadcast(offsets)).withColumn("tt", F.col("t") + F.col("dt")).withColumn("ss", F.col("s") + F.col("ds"))
-    inside = (F.col("tt") >= 0) & (F.col("tt") < traces) & (F.col("ss") >= 0) & (F.col("ss") < samples)
-    before = (F.col("dt") < 0) | ((F.col("dt") == 0) & (F.col("ds") < 0)) if mode == "raster" else F.col("tt") + F.col("ss") < F.col("t") + F.col("s")
-    x = x.withColumn("real", inside & before)
-    ct = F.least(F.greatest(F.col("tt"), F.lit(0)), F.lit(traces - 1))
-    cs = F.least(F.greatest(F.col("ss"), F.lit(0)), F.lit(samples - 1))
-    x = x.withColumn("ct", ct).withColumn("cs", cs).withColumn("pt", F.least("ct", F.col("t") - 1))
-    same = ~F.col("real") & (F.col("s") > 0) & (F.col("ct") == F.col("t"))
-    other = ~F.col("real") & ~same & (F.col("t") > 0)
-    if mode == "diagonal":
-        other &= F.col("pt") + F.col("cs") < F.col("t") + F.col("s")
-    x = x.withColumn("gt", F.when(F.col("real"), F.col("tt")).when(same, F.col("t")).when(other, F.col("pt"))).withColumn("gs", F.when(F.col("real"), F.col("ss")).when(same, F.col("s") - 1).when(other, F.col("cs")))
-    cell = exps.select(F.col("p").alias("qp"), F.col("t").alias("qt"), F.col("s").alias("qs"), F.col("e").alias("value"))
-    out = x.join(cell, (F.col("p") == F.col("qp")) & (F.col("gt") == F.col("qt")) & (F.col("gs") == F.col("qs")), "left")
-    usable = F.col("gt").isNotNull()
-    return out.select("p", "t", "s", "dt", "ds", F.coalesce("value", F.lit(0)).alias("value"), usable.cast("int").alias("usable"), F.col("real").cast("int").alias("real"), (usable & ~F.col("real")).cast("int").alias("mapped"))
-
-
-def strict_cells(exps: DataFrame, centres: DataFrame, shape: tuple[int, int] = (9, 17)) -> DataFrame:
-    """The zero-padded patch: value and mask where a cell exists and comes earlier in raster order."""
-    h, w = shape
-    offsets = exps.sparkSession.range(h * w).select((F.floor(F.col("id") / w) - h // 2).cast("int").alias("dt"), (F.col("id") % w - w // 2).cast("int").alias("ds"))
-    x = centres.select("p", "t", "s").crossJoin(F.broadcast(offsets.filter("dt < 0 or (dt = 0 and ds < 0)")))
-    cell = exps.select(F.col("p").alias("qp"), F.col("t").alias("qt"), F.col("s").alias("qs"), F.col("e").alias("value"))
-    return x.join(cell, (F.col("p") == F.col("qp")) & (F.col("t") + F.col("dt") == F.col("qt")) & (F.col("s") + F.col("ds") == F.col("qs"))).select("p", "t", "s", "dt", "ds", "value")
+    n_t, n_s = plane.shape
+    t, s = np.arange(first, last)[:, None, None], np.arange(n_s)[None, :, None]
+    dt, ds = (x.ravel()[None, None, :] for x in np.mgrid[-(h // 2) : h - h // 2, -(w // 2) : w - w // 2])
+    tt, ss = t + dt, s + ds
+    inside = (tt >= 0) & (tt < n_t) & (ss >= 0) & (ss < n_s)
+    before = tt + ss < t + s if mode == "diagonal" else ((dt < 0) | ((dt == 0) & (ds < 0))) & np.ones_like(inside)
+    ct, cs = np.clip(tt, 0, n_t - 1), np.clip(ss, 0, n_s - 1)
+    if mode == "edge":
+        return np.where(before, plane[ct, cs], 0), before.astype(np.int64)
+    real = inside & before
+    gt, gs, kind = np.where(real, tt, 0), np.where(real, ss, 0), real.astype(np.int64)
+    if mode != "strict":
+        same = ~real & (s > 0) & (ct == t)
+        pt = np.minimum(ct, t - 1)
+        other = ~real & ~same & (t > 0)
+        if mode == "diagonal":
+            other &= pt + cs < t + s
+        gt, gs = np.where(same, t, np.where(other, pt, gt)), np.where(same, s - 1, np.where(other, cs, gs))
+        kind += 2 * (same | other)
+    return np.where(kind > 0, plane[gt, gs], 0), kind
+
+
+def patches(traces: DataFrame, shape: tuple[int, int] = (9, 17), mode: str = "diagonal", cells: int = 1 << 20) -> DataFrame:
+    """(p, t, s, value array, kind array) around every cell of trace rows (p, t, e array); the
+    arrays run over the patch's cells, traces first.  One shuffle, of one row a profile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, p in enumerate(b.column(0).to_pylist()):
+                plane = _plane(b.column(1), k)
+                n_t, n_s = plane.shape
+                size = shape[0] * shape[1]
+                step = max(1, cells // max(1, n_s * size))
+                for lo in range(0, n_t, step):
+                    hi = min(n_t, lo + step)
+                    value, kind = patch(plane, lo, hi, shape, mode)
+                    n = (hi - lo) * n_s
+                    t, s = np.divmod(np.arange(n, dtype=np.int32), np.int32(n_s))
+                    off = pa.array(np.arange(n + 1, dtype=np.int32) * size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p), pa.int32()), pa.array(t + np.int32(lo)), pa.array(s), pa.ListArray.from_arrays(off, pa.array(value.ravel().astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(kind.ravel().astype(np.int8)))], names=["p", "t", "s", "value", "kind"])
+
+    return profile_planes(traces).mapInArrow(run, "p int, t int, s int, value array<int>, kind array<tinyint>")
+
+
+def residual_channels(value: Column, kind: Column, pred: Column) -> tuple[Column, Column]:
+    """The two channels that a prediction adds to a patch: pred / 255 everywhere, and each usable
+    cell's residual against the centre's prediction, modulo 256, over 255."""
+    constant = F.transform(value, lambda v: pred / 255.0)
+    residual_of = F.zip_with(value, kind, lambda v, k: F.when(k > 0, (v - pred).bitwiseAND(F.lit(255)) / 255.0).otherwise(F.lit(0.0)))
+    return constant, residual_of

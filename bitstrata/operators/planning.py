@@ -142,3 +142,42 @@ def grid_sample(volume: DataFrame, dt: int, ds: int, left: Column | None = None)
 def hash_sample(volume: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for any partitioning."""
     return volume.withColumn("_h", F.xxhash64("p", "t", "s", F.lit(seed))).orderBy("_h", "p", "t", "s").limit(n).drop("_h")
+
+
+def sample_in_rectangles(volume: DataFrame, rects: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
+    """n of the voxels (p, t, s) with t in [left, right) of their profile, or all of them; the same for any partitioning."""
+    r = rects.select(F.col("p").alias("rp"), "left", "right")
+    x = volume.join(r, F.col("p") == F.col("rp")).filter((F.col("t") >= F.col("left")) & (F.col("t") < F.col("right"))).drop("rp", "left", "right")
+    return x if n is None else hash_sample(x, n, seed)
+
+
+def margin_sample(volume: DataFrame, n: int, traces: int, samples: int, margin: int = 10, seed: int = 42) -> DataFrame:
+    """n voxels at least `margin` from the ends of traces and samples."""
+    inside = F.col("t").between(margin, traces - margin - 1) & F.col("s").between(margin, samples - margin - 1)
+    return hash_sample(volume.filter(inside), n, seed)
+
+
+def materialise(rows: DataFrame, segments_: DataFrame, seed: int = 42) -> DataFrame:
+    """Rows (p, t, s, ...) sampled by segment (seg_start, seg_end, n): `n` of each, by hash, with segment_id and split.
+
+    Rows meet their segment on the profile (segments don't overlap); only keys are ranked."""
+    seg = segments_.select("segment_id", "split", F.col("n").alias("wanted"), F.explode(F.sequence("seg_start", "seg_end")).alias("sp"))
+    x = rows.join(seg, F.col("p") == F.col("sp")).drop("sp")
+    keys = x.select("segment_id", "wanted", "p", "t", "s", F.xxhash64("p", "t", "s", F.lit(seed)).alias("h"))
+    w = Window.partitionBy("segment_id").orderBy("h", "p", "t", "s")
+    picked = keys.withColumn("place", F.row_number().over(w)).filter("place <= wanted").select("p", "t", "s")
+    return x.drop("wanted").join(picked, ["p", "t", "s"], "left_semi")
+
+
+def energy_crop(volume: DataFrame, shape: tuple[int, int, int], first: int = 200) -> DataFrame:
+    """(p, t, s, v) of a dense block of `shape` that starts at the trace with the most energy; zeros beyond the volume."""
+    from bitstrata.operators.roi import max_energy
+
+    spark = volume.sparkSession
+    at = max_energy(volume.select("p", "t", "s", "v"), 1, 1, first).select(F.col("p").alias("p0"), F.col("t").alias("t0"))
+    n_p, n_t, n_s = shape
+    i = F.col("id")
+    cells = spark.range(n_p * n_t * n_s).select(F.floor(i / (n_t * n_s)).cast("int").alias("a"), (F.floor(i / n_s) % n_t).cast("int").alias("b"), (i % n_s).cast("int").alias("s1")).crossJoin(F.broadcast(at))  # one row
+    v = volume.select("p", "t", "s", "v")
+    x = cells.join(v, (F.col("p") == F.col("p0") + F.col("a")) & (F.col("t") == F.col("t0") + F.col("b")) & (F.col("s") == F.col("s1")), "left")
+    return x.select(F.col("a").alias("p"), F.col("b").alias("t"), F.col("s1").alias("s"), F.coalesce("v", F.lit(0.0)).alias("v"))

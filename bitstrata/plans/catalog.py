@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitstrata.functions import bits as B
-from bitstrata.operators import bitstats, codecs, coders, layout, model, neighbours, planning, roi, runs
+from bitstrata.operators import bitstats, blocks, neighbours, planning, runs
 from bitstrata.sources import volumes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,16 +66,6 @@ def query(kinds: str, sql: str | None = None):
     return add
 
 
-def whole(name: str, cut: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
-    """Registers `name`_whole: what `name` computes, over all rows; its SQL is that of `name` without the cut."""
-    sql = ORACLES[name]
-    if cut not in sql:
-        raise ValueError(f"{name} has no {cut!r}")
-    f.__name__ = f"{name}_whole"
-    query(KINDS[name])(f)
-    ORACLES[f.__name__] = sql.replace(cut, "")
-
-
 def vol(spark: SparkSession, sf: str) -> DataFrame:
     return volumes.embedding_volume(spark, sf, TRACES)
 
@@ -84,6 +74,13 @@ def exps(spark: SparkSession, sf: str) -> DataFrame:
     return volumes.exponents(vol(spark, sf))
 
 
+def exp_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Exponents as trace rows (p, t, e array)."""
+    n = F.lit(TRACES)
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / n).cast("int").alias("p"), (F.col("vec_id") % n).cast("int").alias("t"), F.col("embedding").alias("samples"))
+    return blocks.exponent_traces(rows)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -148,19 +145,9 @@ def linear_index(spark, sf):
     return v.select("i", p.alias("p"), t.alias("t"), s.alias("s"))
 
 
-@query("i:l b:l d:l back:l", "x AS (SELECT i, CAST(l_quantity AS INTEGER) & 255 AS b FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS i, l_quantity FROM lineitem) WHERE i < 2000)\n--\nSELECT i, b, CASE WHEN i < 3 THEN b ELSE (b - lag(b) OVER (ORDER BY i)) & 255 END AS d, b AS back FROM x")
+@query("i:l b:l d:l back:l", "x AS (SELECT i, CAST(l_quantity AS INTEGER) & 255 AS b FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS i, l_quantity FROM lineitem))\n--\nSELECT i, b, CASE WHEN i < 3 THEN b ELSE (b - lag(b) OVER (ORDER BY i)) & 255 END AS d, b AS back FROM x")
 def byte_delta(spark, sf):
-    """Byte differences of a stream of 2000, and their running sums modulo 256."""
-    k = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
-    x = table(spark, sf, "lineitem").orderBy(*k).limit(2000).select(*k, F.col("l_quantity").cast("int").bitwiseAND(F.lit(255)).alias("b"))
-    x = x.withColumn("i", F.row_number().over(Window.orderBy(*k)) - 1)
-    w = Window.orderBy("i")
-    x = x.withColumn("d", F.when(F.col("i") < 3, F.col("b")).otherwise((F.col("b") - F.lag("b").over(w)).bitwiseAND(F.lit(255))))
-    tail = F.sum(F.when(F.col("i") >= 2, F.when(F.col("i") == 2, F.col("b")).otherwise(F.col("d"))).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return x.select("i", "b", "d", F.when(F.col("i") < 3, F.col("b")).otherwise(tail.bitwiseAND(F.lit(255))).alias("back"))
-
-
-def _byte_delta_whole(spark, sf):
+    """Byte differences of a stream, and their running sums modulo 256."""
     k = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
     x = table(spark, sf, "lineitem").select(*k, F.col("l_quantity").cast("int").bitwiseAND(F.lit(255)).alias("b"))
     x = planning.row_before(planning.sum_before(x, F.lit(1), "i", k[0], [*k, "b"]), ["b"], "was", k[0], [*k, "b"])
@@ -170,15 +157,12 @@ def _byte_delta_whole(spark, sf):
     return x.select("i", "b", "d", F.when(F.col("i") < 3, F.col("b")).otherwise((F.col("before") + F.col("part")).bitwiseAND(F.lit(255))).alias("back"))
 
 
-whole("byte_delta", " WHERE i < 2000", _byte_delta_whole)
-
-
-@query("p:l t:l s:l grey:l", f"{VOL}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM vol WHERE p = 1)\n--\nSELECT p, t, s, floor(least(greatest((CAST(v AS DOUBLE) - lo) / CASE WHEN hi = lo THEN 1 ELSE CAST(hi AS DOUBLE) - lo END, 0), 1) * 255 + 0.5) AS grey FROM vol, g WHERE p = 1")
+@query("p:l t:l s:l grey:l", f"{VOL}, g AS (SELECT p AS gp, min(v) AS lo, max(v) AS hi FROM vol GROUP BY p)\n--\nSELECT p, t, s, floor(least(greatest((CAST(v AS DOUBLE) - lo) / CASE WHEN hi = lo THEN 1 ELSE CAST(hi AS DOUBLE) - lo END, 0), 1) * 255 + 0.5) AS grey FROM vol JOIN g ON p = gp")
 def grey_levels(spark, sf):
-    """One profile scaled from its range to 0..255."""
-    one = vol(spark, sf).filter("p = 1")
-    g = one.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
-    x = one.crossJoin(F.broadcast(g))  # one row
+    """Each profile scaled from its range to 0..255."""
+    v = vol(spark, sf)
+    g = v.groupBy(F.col("p").alias("gp")).agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    x = v.join(g, F.col("p") == F.col("gp"))
     span = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
     return x.select("p", "t", "s", F.floor(F.least(F.greatest((F.col("v").cast("double") - F.col("lo")) / span, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).alias("grey"))
 
@@ -269,9 +253,13 @@ def loco_residual_histogram(spark, sf):
     return neighbours.residuals(exps(spark, sf)).groupBy("r").agg(F.count("*").alias("n"))
 
 
-@query("p:l t:l s:l ok:b", f"{LOCO}\n--\nSELECT p, t, s, ((pred + r) & 255) = e AS ok FROM res")
+@query("p:l t:l s:l r:l restored:l", f"{LOCO}\n--\nSELECT p, t, s, r, e AS restored FROM res")
 def residual_restore(spark, sf):
-    return neighbours.residuals(exps(spark, sf)).select("p", "t", "s", (B.restore(F.col("r"), F.col("pred"), "residual") == F.col("e")).alias("ok"))
+    """Exponents rebuilt from the residuals alone, by anti-diagonals."""
+    r = neighbours.residual_traces(exp_traces(spark, sf))
+    e = neighbours.restored_traces(r)
+    both = r.join(e, ["p", "t"]).select("p", "t", F.posexplode(F.arrays_zip("r", "e")).alias("s", "x"))
+    return both.select("p", "t", "s", "x.r", F.col("x.e").alias("restored"))
 
 
 @query("p:l t:l s:l place:l", f"{VOL}\n--\nSELECT p, t, s, row_number() OVER (PARTITION BY t + s ORDER BY p, t) - 1 AS place FROM vol")
@@ -285,66 +273,62 @@ def diag_order_3d(spark, sf):
     return vol(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy(F.col("p") + F.col("t") + F.col("s")).orderBy("p", "t", "s")) - 1)
 
 
-_CELLS = """, ctr AS (SELECT p, t, s FROM vol WHERE t % 10 = 0 AND s % 16 = 5), off AS (SELECT a.dt, b.ds FROM (SELECT CAST(x AS INTEGER) - 4 AS dt FROM range(9) r(x)) a, (SELECT CAST(x AS INTEGER) - 8 AS ds FROM range(17) r(x)) b),
-cand AS (SELECT p, t, s, dt, ds, t + dt AS tt, s + ds AS ss, least(greatest(t + dt, 0), 49) AS ct, least(greatest(s + ds, 0), 63) AS cs, (t + dt BETWEEN 0 AND 49) AND (s + ds BETWEEN 0 AND 63) AND {before} AS real FROM ctr, off),
-pick AS (SELECT *, CASE WHEN real THEN tt WHEN s > 0 AND ct = t THEN t WHEN t > 0 AND {other} THEN least(ct, t - 1) END AS gt, CASE WHEN real THEN ss WHEN s > 0 AND ct = t THEN s - 1 WHEN t > 0 AND {other} THEN cs END AS gs FROM cand)"""
-_PATCH = "SELECT k.p, k.t, k.s, dt, ds, coalesce(e, 0) AS value, CASE WHEN gt IS NULL THEN 0 ELSE 1 END AS usable, CAST(real AS INTEGER) AS real, CASE WHEN gt IS NOT NULL AND NOT real THEN 1 ELSE 0 END AS mapped FROM pick k LEFT JOIN vol v ON v.p = k.p AND v.t = k.gt AND v.s = k.gs"
+_CELLS = """, off AS (SELECT a.dt, b.ds, (a.dt + 4) * 17 + b.ds + 9 AS place FROM (SELECT CAST(x AS INTEGER) - 4 AS dt FROM range(9) r(x)) a, (SELECT CAST(x AS INTEGER) - 8 AS ds FROM range(17) r(x)) b),
+cand AS (SELECT p, t, s, dt, ds, place, t + dt AS tt, s + ds AS ss, least(greatest(t + dt, 0), 49) AS ct, least(greatest(s + ds, 0), 63) AS cs, (t + dt BETWEEN 0 AND 49) AND (s + ds BETWEEN 0 AND 63) AND {before} AS real FROM vol, off),
+pick AS (SELECT *, CASE WHEN real THEN tt WHEN s > 0 AND ct = t THEN t WHEN t > 0 AND {other} THEN least(ct, t - 1) END AS gt, CASE WHEN real THEN ss WHEN s > 0 AND ct = t THEN s - 1 WHEN t > 0 AND {other} THEN cs END AS gs FROM cand),
+f AS (SELECT k.p, k.t, k.s, place, coalesce(e, 0) AS value, CASE WHEN gt IS NULL THEN 0 WHEN real THEN 1 ELSE 2 END AS kind FROM pick k LEFT JOIN vol v ON v.p = k.p AND v.t = k.gt AND v.s = k.gs)"""
+_DIAG = _CELLS.format(before="t + dt + s + ds < t + s", other="least(ct, t - 1) + cs < t + s")
+_RASTER = _CELLS.format(before="(dt < 0 OR (dt = 0 AND ds < 0))", other="TRUE")
+_PATCH = "SELECT p, t, s, count(*) FILTER (kind > 0) AS usable, count(*) FILTER (kind = 1) AS real, count(*) FILTER (kind = 2) AS mapped, sum(value * place) AS checksum, sum(kind * place) AS kinds FROM f GROUP BY p, t, s"
+_PATCH_KINDS = "p:l t:l s:l usable:l real:l mapped:l checksum:l kinds:l"
 
 
-def _centres(v: DataFrame) -> DataFrame:
-    return v.filter("t % 10 = 0 and s % 16 = 5")
+def _digest(patches: DataFrame) -> DataFrame:
+    """Counts of a patch's cells, and sums of values and kinds over the cells' places (from 1)."""
+    ones = F.transform("value", lambda v, i: v * (i + 1))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    n = lambda k: F.size(F.filter("kind", lambda x: x == k))
+    return patches.select("p", "t", "s", (n(1) + n(2)).alias("usable"), n(1).alias("real"), n(2).alias("mapped"), total(ones).alias("checksum"), total(F.transform("kind", lambda v, i: v * (i + 1))).alias("kinds"))
 
 
-@query("p:l t:l s:l dt:l ds:l value:l usable:l real:l mapped:l", f"{VOL}{_CELLS.format(before='t + dt + s + ds < t + s', other='least(ct, t - 1) + cs < t + s')}\n--\n{_PATCH}")
+@query(_PATCH_KINDS, f"{VOL}{_DIAG}\n--\n{_PATCH}")
 def causal_patch(spark, sf):
-    e = exps(spark, sf)
-    return neighbours.patch_cells(e, _centres(e), traces=TRACES, samples=SAMPLES)
+    """The patch of earlier anti-diagonals around every voxel."""
+    return _digest(neighbours.patches(exp_traces(spark, sf)))
 
 
-@query("p:l t:l s:l dt:l ds:l value:l usable:l real:l mapped:l", f"{VOL}{_CELLS.format(before='(dt < 0 OR (dt = 0 AND ds < 0))', other='TRUE')}\n--\n{_PATCH}")
+@query(_PATCH_KINDS, f"{VOL}{_RASTER}\n--\n{_PATCH}")
 def causal_patch_raster(spark, sf):
-    e = exps(spark, sf)
-    return neighbours.patch_cells(e, _centres(e), mode="raster", traces=TRACES, samples=SAMPLES)
+    return _digest(neighbours.patches(exp_traces(spark, sf), mode="raster"))
 
 
-@query("p:l t:l s:l dt:l ds:l value:l", f"{VOL}\n--\nSELECT c.p, c.t, c.s, v.t - c.t AS dt, v.s - c.s AS ds, v.e AS value FROM vol c JOIN vol v ON v.p = c.p AND v.t BETWEEN c.t - 4 AND c.t AND v.s BETWEEN c.s - 8 AND c.s + 8 AND (v.t < c.t OR v.s < c.s) WHERE c.t % 10 = 0 AND c.s % 16 = 5")
+@query("p:l t:l s:l real:l checksum:l", f"{VOL}{_RASTER}\n--\nSELECT p, t, s, count(*) FILTER (kind = 1) AS real, coalesce(sum(value * place) FILTER (kind = 1), 0) AS checksum FROM f GROUP BY p, t, s")
 def strict_patch(spark, sf):
-    e = exps(spark, sf)
-    return neighbours.strict_cells(e, _centres(e))
+    return _digest(neighbours.patches(exp_traces(spark, sf), mode="strict")).select("p", "t", "s", "real", "checksum")
 
 
-@query("p:l t:l s:l min_value:d6 max_value:d6 mean_value:d6 usable:l", f"{VOL}{_CELLS.format(before='t + dt + s + ds < t + s', other='least(ct, t - 1) + cs < t + s')}, f AS ({_PATCH})\n--\nSELECT p, t, s, min(value / 255) AS min_value, max(value / 255) AS max_value, avg(value / 255) AS mean_value, sum(usable) AS usable FROM f GROUP BY p, t, s")
-def patch_channels(spark, sf):
-    x = F.col("value") / 255
-    return causal_patch(spark, sf).groupBy("p", "t", "s").agg(F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.sum("usable").alias("usable"))
-
-
-_KEYS = ("p", "t", "s")
-
+@query("p:l t:l s:l real:l checksum:l", f"{VOL}, off AS (SELECT dt, ds, (dt + 4) * 17 + ds + 9 AS place FROM (SELECT CAST(x AS INTEGER) - 4 AS dt FROM range(9) r(x)) a, (SELECT CAST(x AS INTEGER) - 8 AS ds FROM range(17) r(x)) b WHERE dt < 0 OR (dt = 0 AND ds < 0)), c AS (SELECT p, t, s, place, least(greatest(t + dt, 0), 49) AS ct, least(greatest(s + ds, 0), 63) AS cs FROM vol CROSS JOIN off)\n--\nSELECT c.p, c.t, c.s, count(*) AS real, sum(v.e * place) AS checksum FROM c JOIN vol v ON v.p = c.p AND v.t = ct AND v.s = cs GROUP BY c.p, c.t, c.s")
+def strict_patch_edge(spark, sf):
+    """As strict_patch, cells beyond the edge read at the edge."""
+    return _digest(neighbours.patches(exp_traces(spark, sf), mode="edge")).select("p", "t", "s", "real", "checksum")
 
-@query(KINDS["causal_patch"])
-def causal_patch_whole(spark, sf):
-    """As causal_patch, around every voxel."""
-    e = exps(spark, sf)
-    return neighbours.patch_cells(e, e.select(*_KEYS), traces=TRACES, samples=SAMPLES)
 
-
-@query(KINDS["causal_patch_raster"])
-def causal_patch_raster_whole(spark, sf):
-    e = exps(spark, sf)
-    return neighbours.patch_cells(e, e.select(*_KEYS), mode="raster", traces=TRACES, samples=SAMPLES)
-
-
-@query(KINDS["strict_patch"])
-def strict_patch_whole(spark, sf):
-    e = exps(spark, sf)
-    return neighbours.strict_cells(e, e.select(*_KEYS))
+@query("p:l t:l s:l min_value:d6 max_value:d6 mean_value:d6 usable:l", f"{VOL}{_DIAG}\n--\nSELECT p, t, s, min(value / 255) AS min_value, max(value / 255) AS max_value, avg(value / 255) AS mean_value, count(*) FILTER (kind > 0) AS usable FROM f GROUP BY p, t, s")
+def patch_channels(spark, sf):
+    x = neighbours.patches(exp_traces(spark, sf))
+    total = F.aggregate("value", F.lit(0).cast("long"), lambda a, v: a + v)
+    return x.select("p", "t", "s", (F.array_min("value") / 255).alias("min_value"), (F.array_max("value") / 255).alias("max_value"), (total / F.size("value") / 255).alias("mean_value"), F.size(F.filter("kind", lambda k: k > 0)).alias("usable"))
 
 
-@query(KINDS["patch_channels"])
-def patch_channels_whole(spark, sf):
-    x = F.col("value") / 255
-    return causal_patch_whole(spark, sf).groupBy("p", "t", "s").agg(F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.sum("usable").alias("usable"))
+@query("p:l t:l s:l pred:l residual_sum:d6", f"{LOCO}{_DIAG}\n--\nSELECT f.p, f.t, f.s, max(pred) AS pred, sum(CASE WHEN kind > 0 THEN ((value - pred) & 255) / 255 ELSE 0 END) AS residual_sum FROM f JOIN res USING (p, t, s) GROUP BY f.p, f.t, f.s")
+def patch_residuals(spark, sf):
+    """The channels that the planar prediction adds to each patch."""
+    x = neighbours.patches(exp_traces(spark, sf))
+    e = exp_traces(spark, sf)
+    r = neighbours.residual_traces(e).join(e, ["p", "t"]).select("p", "t", F.posexplode(F.zip_with("e", "r", lambda a, b: (a - b).bitwiseAND(F.lit(255)))).alias("s", "pred"))
+    both = x.join(r, ["p", "t", "s"])
+    _, own = neighbours.residual_channels(F.col("value"), F.col("kind"), F.col("pred"))
+    return both.select("p", "t", "s", "pred", F.aggregate(own, F.lit(0.0), lambda a, v: a + v).alias("residual_sum"))
 
 
 # ------------------------------------------------------------ runs
@@ -386,4 +370,4 @@ def sign_bitpack(spark, sf):
     return x.groupBy("block", "byte").agg(F.count("*").alias("n"))
 
 
-from bitstrata.plans import model_queries, planning_queries  # noqa: E402, F401  they register themselves
+from bitstrata.plans import model_queries, planning_queries, score_queries, stream_queries  # noqa: E402, F401  they register themselves

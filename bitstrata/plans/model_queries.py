@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitstrata.functions import bits as B
 from bitstrata.operators import codecs, coders, model, neighbours
-from bitstrata.plans.catalog import LOCO, VOL, exps, query, table, vol, whole
+from bitstrata.plans.catalog import LOCO, VOL, exps, query, table, vol
 
 _CTX = """, cx AS (SELECT r, CASE WHEN l IS NULL OR u IS NULL OR l = u THEN 0 ELSE (CASE WHEN l < u THEN 4 ELSE 0 END) + (CASE WHEN abs(l - u) = 1 THEN 1 WHEN abs(l - u) <= 3 THEN 2 WHEN abs(l - u) <= 8 THEN 3 ELSE 4 END) END AS ctx FROM res),
 cnt AS (SELECT ctx, r AS symbol, count(*) AS n FROM cx GROUP BY ctx, r)"""
@@ -55,13 +55,13 @@ def nll_benchmark(spark, sf):
 def tile_codec_roundtrip(spark, sf):
     """Every tile is coded, read back and compared with its cells."""
     e = exps(spark, sf)
-    freq = coders.model_table(model.frequencies(_tile_counts(e)))
+    freq = coders.model_table(model.frequencies(tile_counts(e)))
     again = coders.decode_tiles(coders.encode_tiles(e, freq, (50, 64)), freq)
     j = e.join(again.select(F.col("p").alias("p2"), F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("e").alias("e2")), (F.col("p") == F.col("p2")) & (F.col("t") == F.col("t2")) & (F.col("s") == F.col("s2")), "full_outer")
     return j.agg(F.count("e").alias("n"), F.count("e2").alias("decoded"), F.count_if(~F.col("e").eqNullSafe(F.col("e2"))).alias("mismatches"))
 
 
-def _tile_counts(e):
+def tile_counts(e):
     along, across = Window.partitionBy("p", "t").orderBy("s"), Window.partitionBy("p", "s").orderBy("t")
     x = neighbours.residuals(e).withColumn("up", F.lag("e").over(along)).withColumn("left", F.lag("e").over(across))
     return x.groupBy(model.context(F.col("left"), F.col("up")).alias("ctx"), F.col("r").alias("symbol")).agg(F.count("*").alias("n"))
@@ -70,7 +70,7 @@ def _tile_counts(e):
 @query("tiles:l n:l stream_bytes:l bits_per_value:d6")
 def tile_codec_size(spark, sf):
     e = exps(spark, sf)
-    freq = coders.model_table(model.frequencies(_tile_counts(e)))
+    freq = coders.model_table(model.frequencies(tile_counts(e)))
     x = coders.encode_tiles(e, freq, (50, 64)).agg(F.count("*").alias("tiles"), F.sum("n").alias("n"), F.sum(F.length("blob")).alias("stream_bytes"))
     return x.withColumn("bits_per_value", 8 * F.col("stream_bytes") / F.greatest("n", F.lit(1)))
 
@@ -91,43 +91,6 @@ def sha256_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
 
 
-_CAND = "cd AS (SELECT o_orderkey AS stream, method, size, ord FROM orders, (VALUES ('zstd', 0), ('xz', 1), ('rle', 2)) m(method, ord), LATERAL (SELECT (o_custkey * (ord + 3) + o_orderkey * 7) % 101 AS size) WHERE o_orderkey < 500)"
-
-
-def _candidates(spark, sf, below=500):
-    o = table(spark, sf, "orders")
-    if below:
-        o = o.filter(F.col("o_orderkey") < below)
-    m = F.explode(F.array(*[F.struct(F.lit(k).alias("method"), F.lit(i).alias("ord")) for i, k in enumerate(("zstd", "xz", "rle"))]))
-    x = o.select("o_orderkey", "o_custkey", m.alias("m")).select(F.col("o_orderkey").alias("stream"), "m.method", "m.ord", ((F.col("o_custkey") * (F.col("m.ord") + 3) + F.col("o_orderkey") * 7) % 101).alias("size"))
-    return x
-
-
-@query("stream:l method:s size:l", f"{_CAND}\n--\nSELECT stream, method, size FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY size, ord) AS rn FROM cd) WHERE rn = 1")
-def best_method(spark, sf):
-    """The smallest candidate of each stream, the first listed at a tie."""
-    return _smallest(_candidates(spark, sf))
-
-
-def _smallest(candidates):
-    best = F.min(F.struct("size", "ord", "method"))
-    return candidates.groupBy("stream").agg(best.alias("b")).select("stream", "b.method", "b.size")
-
-
-whole("best_method", " WHERE o_orderkey < 500", lambda spark, sf: _smallest(_candidates(spark, sf, None)))
-
-
-@query("scheme:s total:l ratio:d6 saving:d6 bits_per_value:d6", f"{VOL}, pl AS (SELECT count(*) AS n, count(*) // 8 AS sgn, (SELECT count(DISTINCT e) FROM vol) * 16 AS ex FROM vol), sc AS (SELECT n, 'split' AS scheme, sgn + ex + n * 15 // 8 + n AS total FROM pl UNION ALL SELECT n, 'whole', sgn + ex + n * 3 FROM pl)\n--\nSELECT scheme, total, n * 4 / total AS ratio, 1 - total / (n * 4) AS saving, total * 8 / n AS bits_per_value FROM sc")
-def scheme_summary(spark, sf):
-    """Bytes of two ways to store a volume, against plain float32."""
-    b = F.col("bits")
-    x = vol(spark, sf).agg(F.count("*").alias("n"), F.countDistinct(B.exponent(b)).alias("k"))
-    n = F.col("n")
-    base = F.floor(n / 8) + F.col("k") * 16
-    s = x.select("n", F.explode(F.array(F.struct(F.lit("split").alias("scheme"), (base + F.floor(n * 15 / 8) + n).alias("total")), F.struct(F.lit("whole").alias("scheme"), (base + n * 3).alias("total")))).alias("z")).select("n", "z.*")
-    return s.select("scheme", "total", (n * 4 / F.col("total")).alias("ratio"), (1 - F.col("total") / (n * 4)).alias("saving"), (F.col("total") * 8 / n).alias("bits_per_value"))
-
-
 @query("n:l mismatches:l max_diff:d6", f"{VOL}\n--\nSELECT count(*) AS n, count(*) FILTER (s % 16 = 0) AS mismatches, 1 AS max_diff FROM vol")
 def verify_equal(spark, sf):
     """A volume against one with every 16th sample's exponent one higher."""

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bitstrata.operators import layout, planning, roi
-from bitstrata.plans.catalog import SAMPLES, TRACES, VOL, query, table, vol, whole
+from bitstrata.functions import bits as B
+from bitstrata.operators import coders, layout, model, planning, roi
+from bitstrata.plans.catalog import SAMPLES, TRACES, VOL, exps, query, table, vol
+from bitstrata.plans.model_queries import tile_counts
 from bitstrata.sources import volumes
 
-_BLOCKS = "blk AS (SELECT b AS block, b * 3 AS profile_start, least(b * 3 + 3, 35) - 1 AS profile_end FROM range(12) r(b))"
-#: Least profiles of the plan that these queries work on, as their SQL has it; a larger volume is planned whole.
-PROFILES, PER_BLOCK = 35, 3
-VAL, TEST = [(20, 24)], [(24, 27), (30, 31)]
-_SPLIT = "CASE WHEN x BETWEEN 24 AND 27 OR x BETWEEN 30 AND 31 THEN 'test' WHEN x BETWEEN 20 AND 24 THEN 'val' ELSE 'train' END"
+_NP = "np AS (SELECT coalesce(max(vec_id) // 50 + 1, 0) AS np FROM embeddings)"
+_BLOCKS = f"{_NP}, blk AS (SELECT b AS block, b * 3 AS profile_start, least(b * 3 + 3, np) - 1 AS profile_end FROM (SELECT np, unnest(range((np + 2) // 3)) AS b FROM np))"
+PER_BLOCK = 3
+VAL, TEST = [(3, 4)], [(4, 5), (8, 8)]
+_SPLIT = "CASE WHEN x BETWEEN 4 AND 5 OR x BETWEEN 8 AND 8 THEN 'test' WHEN x BETWEEN 3 AND 4 THEN 'val' ELSE 'train' END"
 
 
 def _profiles(spark, sf):
+    """Profiles of the volume: one number, from the column's statistics."""
     last = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
-    return PROFILES if last is None else max(PROFILES, last // TRACES + 1)
+    return 0 if last is None else last // TRACES + 1
 
 
 def _blocks(spark, sf):
@@ -30,17 +33,14 @@ def regular_blocks(spark, sf):
     return _blocks(spark, sf)
 
 
-_RAG = """m AS (SELECT CAST(o_orderkey AS BIGINT) AS ord, 1000 + o_orderkey + o_orderkey // 40 AS subline, 100 + (o_orderkey // 15) % 3 AS xline_start, 199 + (o_orderkey // 15) % 3 AS xline_end, 100 AS trace_count FROM orders WHERE o_orderkey < 400),
+_RAG = """m AS (SELECT CAST(o_orderkey AS BIGINT) AS ord, 1000 + o_orderkey + o_orderkey // 40 AS subline, 100 + (o_orderkey // 15) % 3 AS xline_start, 199 + (o_orderkey // 15) % 3 AS xline_end, 100 AS trace_count FROM orders),
 o AS (SELECT *, coalesce(sum(trace_count) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS trace_offset FROM m)"""
 
 
-def _manifest(spark, sf, below=400):
+def _manifest(spark, sf):
     k = F.col("o_orderkey")
-    x = table(spark, sf, "orders")
-    if below:
-        x = x.filter(k < below)
     shift = F.floor(k / 15) % 3
-    return planning.with_trace_offsets(x.select(k.alias("ord"), (1000 + k + F.floor(k / 40)).alias("subline"), (100 + shift).alias("xline_start"), (199 + shift).alias("xline_end"), F.lit(100).alias("trace_count")))
+    return planning.with_trace_offsets(table(spark, sf, "orders").select(k.alias("ord"), (1000 + k + F.floor(k / 40)).alias("subline"), (100 + shift).alias("xline_start"), (199 + shift).alias("xline_end"), F.lit(100).alias("trace_count")))
 
 
 @query("ord:l subline:l trace_offset:l", f"{_RAG}\n--\nSELECT ord, subline, trace_offset FROM o")
@@ -54,20 +54,16 @@ def trace_offsets(spark, sf):
 g AS (SELECT *, sum(new) OVER (ORDER BY trace_offset ROWS UNBOUNDED PRECEDING) AS g FROM l),
 b AS (SELECT g, min(subline) AS subline_start, max(subline) AS subline_end, min(xline_start) AS xline_start, min(xline_end) AS xline_end, count(*) AS profiles, min(trace_offset) AS trace_offset, sum(trace_count) AS trace_count FROM g GROUP BY g)
 --
-SELECT *, 'b' || lpad(CAST(CAST(g - 1 AS BIGINT) AS VARCHAR), 4, '0') || '_s' || subline_start || '-' || subline_end || '_x' || xline_start || '-' || xline_end AS block_id, trace_count * 64 AS value_count, trace_offset * 256 AS byte_offset FROM b""",
+SELECT *, printf('b%04d', CAST(g - 1 AS BIGINT)) || '_s' || subline_start || '-' || subline_end || '_x' || xline_start || '-' || xline_end AS block_id, trace_count * 64 AS value_count, trace_offset * 256 AS byte_offset FROM b""",
 )
 def ragged_blocks(spark, sf):
     return planning.ragged_blocks(_manifest(spark, sf), SAMPLES)
 
 
-whole("trace_offsets", " WHERE o_orderkey < 400", lambda spark, sf: _manifest(spark, sf, None))
-whole("ragged_blocks", " WHERE o_orderkey < 400", lambda spark, sf: planning.ragged_blocks(_manifest(spark, sf, None), SAMPLES))
-
-
-@query("profile:l split:s slice:s", f"x AS (SELECT x FROM range(35) r(x))\n--\nSELECT x AS profile, {_SPLIT} AS split, CASE WHEN x < 2 THEN NULL WHEN x < 22 THEN 'train' WHEN x < 27 THEN 'val' WHEN x < 32 THEN 'test' END AS slice FROM x")
+@query("profile:l split:s slice:s", f"{_NP}, x AS (SELECT unnest(range(np)) AS x FROM np)\n--\nSELECT x AS profile, {_SPLIT} AS split, CASE WHEN x < 1 THEN NULL WHEN x < 5 THEN 'train' WHEN x < 7 THEN 'val' WHEN x < 9 THEN 'test' END AS slice FROM x")
 def split_labels(spark, sf):
     p = F.col("id")
-    return spark.range(_profiles(spark, sf)).select(p.alias("profile"), planning.split_label(p, VAL, TEST).alias("split"), planning.contiguous_split(p, 20, 5, 5, offset=2).alias("slice"))
+    return spark.range(_profiles(spark, sf)).select(p.alias("profile"), planning.split_label(p, VAL, TEST).alias("split"), planning.contiguous_split(p, 4, 2, 2, offset=1).alias("slice"))
 
 
 _SEG = f"""{_BLOCKS}, r AS (SELECT block, profile_start, unnest(range(profile_start, profile_end + 1)) AS x FROM blk), l AS (SELECT block, x, x - profile_start AS local, {_SPLIT} AS split FROM r),
@@ -95,9 +91,9 @@ def complete_segments(spark, sf):
     return _blocks(spark, sf).select("block", F.lit("all").alias("split"), F.col("value_count").alias("voxels"))
 
 
-@query("block:l profile_start:l profile_end:l value_offset:l value_count:l byte_offset:l", f"{_BLOCKS}, x AS (SELECT block, greatest(profile_start, 7) AS profile_start, least(profile_end, 22) AS profile_end FROM blk WHERE profile_end >= 7 AND profile_start <= 22)\n--\nSELECT *, profile_start * 3200 AS value_offset, (profile_end - profile_start + 1) * 3200 AS value_count, profile_start * 12800 AS byte_offset FROM x")
+@query("block:l profile_start:l profile_end:l value_offset:l value_count:l byte_offset:l", f"{_BLOCKS}, x AS (SELECT block, greatest(profile_start, 2) AS profile_start, least(profile_end, 7) AS profile_end FROM blk WHERE profile_end >= 2 AND profile_start <= 7)\n--\nSELECT *, profile_start * 3200 AS value_offset, (profile_end - profile_start + 1) * 3200 AS value_count, profile_start * 12800 AS byte_offset FROM x")
 def profile_range_prune(spark, sf):
-    return planning.prune_profiles(_blocks(spark, sf), 7, 22, TRACES, SAMPLES)
+    return planning.prune_profiles(_blocks(spark, sf), 2, 7, TRACES, SAMPLES)
 
 
 @query("block:l value_count:l capped:l", f"{_BLOCKS}, x AS (SELECT block, (profile_end - profile_start + 1) * 3200 AS value_count FROM blk ORDER BY block LIMIT 5)\n--\nSELECT block, value_count, least((SELECT sum(value_count) FROM x), 30000) AS capped FROM x")
@@ -120,32 +116,38 @@ def volume_limits(spark, sf):
     return vol(spark, sf).filter("p < 2 and t < 9 and s < 30")
 
 
-_TILES = "tl AS (SELECT i AS tile, i // 24 AS p, i // 3 % 8 * 7 AS t0, i % 3 * 24 AS s0, least(7, 50 - i // 3 % 8 * 7) AS h, least(24, 64 - i % 3 * 24) AS w FROM range(96) r(i))"
+_TILES = f"{_NP}, tl AS (SELECT i AS tile, i // 24 AS p, i // 3 % 8 * 7 AS t0, i % 3 * 24 AS s0, least(7, 50 - i // 3 % 8 * 7) AS h, least(24, 64 - i % 3 * 24) AS w FROM (SELECT unnest(range(np * 24)) AS i FROM np))"
+
+
+def _tiles(spark, sf):
+    return planning.tiles(spark, (_profiles(spark, sf), TRACES, SAMPLES), (7, 24))
 
 
 @query("tile:l p:l t0:l s0:l h:l w:l", f"{_TILES}\n--\nSELECT * FROM tl")
 def tiles(spark, sf):
-    return planning.tiles(spark, (4, TRACES, SAMPLES), (7, 24))
+    return _tiles(spark, sf)
 
 
 @query("step:l cells:l active:l", f"{_TILES}\n--\nSELECT a + b AS step, count(*) AS cells, count(DISTINCT tile) AS active FROM (SELECT tile, a, unnest(range(w)) AS b FROM (SELECT tile, w, unnest(range(h)) AS a FROM tl)) GROUP BY step")
 def tile_schedule(spark, sf):
-    return planning.tile_steps(planning.tiles(spark, (4, TRACES, SAMPLES), (7, 24)), diagonal=True)
+    return planning.tile_steps(_tiles(spark, sf), diagonal=True)
 
 
 @query("ti:l si:l active:l", f"{_TILES}\n--\nSELECT ti, si, count(*) AS active FROM (SELECT tile, ti, unnest(range(w)) AS si FROM (SELECT tile, w, unnest(range(h)) AS ti FROM tl)) GROUP BY ti, si")
 def tile_schedule_raster(spark, sf):
-    return planning.tile_steps(planning.tiles(spark, (4, TRACES, SAMPLES), (7, 24)), diagonal=False)
+    return planning.tile_steps(_tiles(spark, sf), diagonal=False)
 
 
 @query("tile:l first_byte:l ok:b", f"{_TILES}\n--\nSELECT tile, coalesce(sum(h * w) OVER (PARTITION BY p ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_byte, TRUE AS ok FROM tl")
 def tile_geometry(spark, sf):
-    """Tile payloads laid end to end, held against the geometry that a header implies."""
-    x = planning.tiles(spark, (4, TRACES, SAMPLES), (7, 24))
-    w = Window.partitionBy("p").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
-    found = x.select("tile", "t0", "s0", F.coalesce(F.sum(F.col("h") * F.col("w")).over(w), F.lit(0)).alias("first_byte"))
-    want = x.select(F.col("tile").alias("wt"), F.col("t0").alias("t1"), F.col("s0").alias("s1"))
-    return found.join(want, F.col("tile") == F.col("wt"), "full_outer").select("tile", "first_byte", (F.col("t0").eqNullSafe(F.col("t1")) & F.col("s0").eqNullSafe(F.col("s1"))).alias("ok"))
+    """Tiles that were really coded, laid end to end, held against the geometry that a header implies."""
+    e = exps(spark, sf)
+    freq = coders.model_table(model.frequencies(tile_counts(e)))
+    coded = coders.encode_tiles(e, freq, (7, 24)).select("p", "t0", "s0", "n")
+    want = _tiles(spark, sf).select("tile", F.col("p").alias("p1"), F.col("t0").alias("t1"), F.col("s0").alias("s1"), (F.col("h") * F.col("w")).alias("n1"))
+    w = Window.partitionBy("p1").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    x = want.join(coded, (F.col("p") == F.col("p1")) & (F.col("t0") == F.col("t1")) & (F.col("s0") == F.col("s1")), "full_outer")
+    return x.select("tile", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first_byte"), F.col("n").eqNullSafe(F.col("n1")).alias("ok"))
 
 
 # ------------------------------------------------------------ regions
@@ -214,65 +216,44 @@ def hash_sample(spark, sf):
     return x.agg(F.count("*").alias("n"), F.countDistinct("p", "t", "s").alias("keys"))
 
 
-@query("o:l", "x AS (SELECT unnest([0, 12, 24, 36, 48, 50]) AS o)\n--\nSELECT o FROM x")
+@query("n:l o:l", "n AS (SELECT DISTINCT len(embedding) AS n FROM embeddings), x AS (SELECT n, unnest(list_distinct(list_append(range(0, greatest(n - 14, 0) + 1, 12), greatest(n - 14, 0)))) AS o FROM n)\n--\nSELECT n, o FROM x")
 def candidate_starts(spark, sf):
-    return spark.range(1).select(F.explode(roi.starts(F.lit(64), 14, 12)).alias("o"))
-
-
-_CELL = f"{VOL}, c AS (SELECT t, s, v, e, sgn, lag(e) OVER (PARTITION BY t ORDER BY s) AS es, lag(e) OVER (PARTITION BY s ORDER BY t) AS et, lag(sgn) OVER (PARTITION BY t ORDER BY s) AS gs FROM vol WHERE p = 4), d AS (SELECT c.*, a.o AS t0, b.o AS s0 FROM c, (SELECT unnest([0, 10, 20, 30, 34]) AS o) a, (SELECT unnest([0, 10, 20, 30, 40, 48]) AS o) b WHERE t >= a.o AND t < a.o + 16 AND s >= b.o AND s < b.o + 16)"
-_SCORE = "SELECT t0, s0, count(*) AS n, stddev_pop(e) AS e_std, max(e) - min(e) AS e_span, stddev_pop(v) AS v_std, avg(abs(e - es)) FILTER (s > s0) AS e_step, avg(CASE WHEN sgn = gs THEN 1 ELSE 0 END) FILTER (s > s0) AS same_sign, abs(avg(sgn) - 0.5) * 2 AS sign_bias, coalesce(corr(e, es) FILTER (s > s0), 0) AS corr_s, coalesce(corr(e, et) FILTER (t > t0), 0) AS corr_t FROM d GROUP BY t0, s0"
-
-
-def _scores(spark, sf):
-    from bitstrata.functions import bits as B
-
-    b = F.col("bits")
-    cells = vol(spark, sf).filter("p = 4").select("t", "s", "v", B.exponent(b).alias("e"), B.sign(b).alias("sgn"))
-    return roi.window_scores(cells, 16, 16, 10, TRACES, SAMPLES)
-
-
-@query("t0:l s0:l n:l e_std:d6 e_span:l v_std:d6 e_step:d6 same_sign:d6 sign_bias:d6 corr_s:d6 corr_t:d6", f"{_CELL}\n--\n{_SCORE}")
-def neighbour_scores(spark, sf):
-    return _scores(spark, sf)
+    """Where windows of 14 samples, 12 apart, start on traces of each length there is."""
+    n = table(spark, sf, "embeddings").select(F.size("embedding").alias("n")).distinct()
+    return n.select("n", F.explode(roi.starts(F.col("n"), 14, 12)).alias("o"))
 
 
-@query("t0:l s0:l score:d6", f"{_CELL}, sc AS ({_SCORE}), m AS (SELECT *, round((0.42 * (1.35 * sign_bias + 0.35 * same_sign) + 0.58 * (e_std + e_step)) * (0.65 + 0.35 * (1 - least(sqrt(pow(t0 - 17.0, 2) + pow(s0 - 24.0, 2)) / 42.0, 1.0))), 9) AS score FROM sc)\n--\nSELECT t0, s0, score FROM m ORDER BY score DESC, t0, s0 LIMIT 1")
-def roi_search(spark, sf):
-    score = 0.42 * (1.35 * F.col("sign_bias") + 0.35 * F.col("same_sign")) + 0.58 * (F.col("e_std") + F.col("e_step"))
-    return roi.best_window(_scores(spark, sf), score, (17.0, 24.0))
-
-
-@query("t0:l s0:l joint:d6", f"{_CELL}, sc AS ({_SCORE})\n--\nSELECT t0, s0, 0.42 * sign_bias / greatest(max(sign_bias) OVER (), 1e-12) + 0.58 * e_std / greatest(max(e_std) OVER (), 1e-12) AS joint FROM sc")
-def joint_scores(spark, sf):
-    """Sign and exponent scores, each over its largest."""
-    x = _scores(spark, sf)
-    top = x.agg(F.greatest(F.max("sign_bias"), F.lit(1e-12)).alias("a"), F.greatest(F.max("e_std"), F.lit(1e-12)).alias("b"))
-    return x.crossJoin(F.broadcast(top)).select("t0", "s0", (0.42 * F.col("sign_bias") / F.col("a") + 0.58 * F.col("e_std") / F.col("b")).alias("joint"))
+_CELL = f"{VOL}, c AS (SELECT p, t, s, v, e, sgn, lag(e) OVER (PARTITION BY p, t ORDER BY s) AS es, lag(e) OVER (PARTITION BY p, s ORDER BY t) AS et, lag(sgn) OVER (PARTITION BY p, t ORDER BY s) AS gs FROM vol), d AS (SELECT c.*, a.o AS t0, b.o AS s0 FROM c, (SELECT unnest([0, 10, 20, 30, 34]) AS o) a, (SELECT unnest([0, 10, 20, 30, 40, 48]) AS o) b WHERE t >= a.o AND t < a.o + 16 AND s >= b.o AND s < b.o + 16)"
+_SCORE = "SELECT p, t0, s0, count(*) AS n, stddev_pop(e) AS e_std, max(e) - min(e) AS e_span, stddev_pop(v) AS v_std, avg(abs(e - es)) FILTER (s > s0) AS e_step, avg(CASE WHEN sgn = gs THEN 1 ELSE 0 END) FILTER (s > s0) AS same_sign, abs(avg(sgn) - 0.5) * 2 AS sign_bias, coalesce(corr(e, es) FILTER (s > s0), 0) AS corr_s, coalesce(corr(e, et) FILTER (t > t0), 0) AS corr_t FROM d GROUP BY p, t0, s0"
 
 
 def _active(spark, sf):
-    from bitstrata.functions import bits as B
-
     b = F.col("bits")
     cells = vol(spark, sf).select("p", "t", "s", "v", B.exponent(b).alias("e"), B.sign(b).alias("sgn"))
     return cells, roi.active_windows(cells, 16, 16, 10, TRACES, SAMPLES)
 
 
-@query("p:l t0:l s0:l n:l e_std:d6 e_span:l v_std:d6 e_step:d6 same_sign:d6 sign_bias:d6 corr_s:d6 corr_t:d6")
-def neighbour_scores_whole(spark, sf):
-    """As neighbour_scores, every profile's windows."""
+@query("p:l t0:l s0:l n:l e_std:d6 e_span:l v_std:d6 e_step:d6 same_sign:d6 sign_bias:d6 corr_s:d6 corr_t:d6", f"{_CELL}\n--\n{_SCORE}")
+def neighbour_scores(spark, sf):
+    """Every profile's windows."""
     return roi.window_scores(_active(spark, sf)[0], 16, 16, 10, TRACES, SAMPLES, ("p",))
 
 
-@query("p:l t0:l s0:l score:d6")
-def roi_search_whole(spark, sf):
+#: Windows with their share of active cells, those that are active enough, and their weight.
+_ACTIVE = f"""{_CELL}, pr AS (SELECT p AS rp, quantile_cont(abs(CAST(v AS DOUBLE)), 0.2) AS p20, stddev_pop(CAST(v AS DOUBLE)) AS whole FROM vol GROUP BY p),
+ac AS (SELECT p AS ap, t0 AS at0, s0 AS as0, avg(CASE WHEN abs(CAST(v AS DOUBLE)) > p20 THEN 1 ELSE 0 END) AS active, stddev_pop(abs(CAST(v AS DOUBLE))) AS a_std, max(whole) AS whole FROM d JOIN pr ON rp = p GROUP BY p, t0, s0),
+sc AS ({_SCORE}), aw AS (SELECT sc.*, least(1.25, 0.75 + 0.5 * active) AS weight FROM sc JOIN ac ON ap = p AND at0 = t0 AND as0 = s0 WHERE active >= 0.8 AND a_std >= 0.15 * whole)"""
+
+
+@query("p:l t0:l s0:l score:d6", f"{_ACTIVE}, m AS (SELECT p, t0, s0, weight, 0.42 * (1.35 * sign_bias + 0.35 * same_sign) + 0.58 * (e_std + e_step) AS score, sqrt(pow(t0 + 8 - 25.0, 2) + pow(s0 + 8 - 32.0, 2)) AS d FROM aw), k AS (SELECT p, t0, s0, round(score * weight * (0.65 + 0.35 * (1 - d / 42.0)), 9) AS score FROM m WHERE d <= 42)\n--\nSELECT p, t0, s0, score FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, t0, s0) AS rn FROM k) WHERE rn = 1")
+def roi_search(spark, sf):
     """The best active window of each profile, near the profile's middle; none where no window is active."""
     score = 0.42 * (1.35 * F.col("sign_bias") + 0.35 * F.col("same_sign")) + 0.58 * (F.col("e_std") + F.col("e_step"))
     return roi.best_windows(_active(spark, sf)[1], score, (25.0, 32.0), 42.0, (16, 16))
 
 
-@query("p:l t0:l s0:l joint:d6")
-def joint_scores_whole(spark, sf):
+@query("p:l t0:l s0:l joint:d6", f"{_ACTIVE}\n--\nSELECT p, t0, s0, (0.42 * sign_bias / greatest(max(sign_bias) OVER (PARTITION BY p), 1e-12) + 0.58 * e_std / greatest(max(e_std) OVER (PARTITION BY p), 1e-12)) * weight AS joint FROM aw")
+def joint_scores(spark, sf):
     """Sign and exponent scores of every profile's active windows, each over the profile's largest, times activity."""
     w = Window.partitionBy("p")
     a, b = (F.col(k) / F.greatest(F.max(k).over(w), F.lit(1e-12)) for k in ("sign_bias", "e_std"))
@@ -293,15 +274,12 @@ def percentile_clip(spark, sf):
 
 # ------------------------------------------------------------ survey layout
 
-_HEAD = "hd AS (SELECT o_orderkey AS seq, o_orderkey // 37 AS inline, o_orderkey % 37 AS xline, 1000 + 25 * (o_orderkey % 37) + o_orderkey % 2 AS x, 5000 + 40 * (o_orderkey // 37) AS y, o_custkey % 7 AS file FROM orders WHERE o_orderkey < 1110)"
+_HEAD = "hd AS (SELECT o_orderkey AS seq, o_orderkey // 37 AS inline, o_orderkey % 37 AS xline, 1000 + 25 * (o_orderkey % 37) + o_orderkey % 2 AS x, 5000 + 40 * (o_orderkey // 37) AS y, o_custkey % 7 AS file FROM orders)"
 
 
-def _headers(spark, sf, below=1110):
+def _headers(spark, sf):
     k = F.col("o_orderkey")
-    x = table(spark, sf, "orders")
-    if below:
-        x = x.filter(k < below)
-    return x.select(k.alias("seq"), F.floor(k / 37).alias("inline"), (k % 37).alias("xline"), (1000 + 25 * (k % 37) + k % 2).alias("x"), (5000 + 40 * F.floor(k / 37)).alias("y"), (F.col("o_custkey") % 7).alias("file"))
+    return table(spark, sf, "orders").select(k.alias("seq"), F.floor(k / 37).alias("inline"), (k % 37).alias("xline"), (1000 + 25 * (k % 37) + k % 2).alias("x"), (5000 + 40 * F.floor(k / 37)).alias("y"), (F.col("o_custkey") % 7).alias("file"))
 
 
 @query("profile_count:l traces_per_profile:l", f"{_HEAD}, g AS (SELECT inline, count(*) AS n FROM hd WHERE inline <> 0 GROUP BY inline)\n--\nSELECT count(*) AS profile_count, CASE WHEN min(n) = max(n) THEN min(n) ELSE CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) END AS traces_per_profile FROM g")
@@ -337,20 +315,14 @@ md AS (SELECT width, coalesce(CAST(trunc(quantile_cont(rx, 0.5)) AS BIGINT), 0)
 --
 SELECT width, coalesce(avg(abs(rx - mrx)), 0) + coalesce(avg(abs(ry - mry)), 0) + coalesce(avg(abs(cx - mcx)), 0) + coalesce(avg(abs(cy - mcy)), 0) AS error FROM st JOIN md USING (width) GROUP BY width""")
 def grid_candidates(spark, sf):
-    return layout.grid_score(_headers(spark, sf), [10, 30, 37, 74])
-
-
-_CUT = " WHERE o_orderkey < 1110"
-whole("inline_layout", _CUT, lambda spark, sf: layout.inline_layout(_headers(spark, sf, None)))
-whole("jump_segments", _CUT, lambda spark, sf: _jumps(_headers(spark, sf, None)))
-whole("modal_segment", _CUT, lambda spark, sf: layout.modal_length(_jumps(_headers(spark, sf, None))))
-whole("header_axis", _CUT, lambda spark, sf: layout.header_axis(_headers(spark, sf, None), "xline"))
-whole("grid_candidates", _CUT, lambda spark, sf: layout.grid_score(_headers(spark, sf, None), [10, 30, 37, 74]))
+    """Best first; of equal errors the wider grid."""
+    return layout.best_grids(layout.grid_score(_headers(spark, sf), [10, 30, 37, 74]), 4)
 
 
-@query("a:l b:l", "x AS (SELECT a FROM range(1, 34) r(a) WHERE 1110 % a = 0)\n--\nSELECT a, 1110 // a AS b FROM x")
+@query("a:l b:l", "n AS (SELECT count(*) AS n FROM embeddings), x AS (SELECT n, unnest(range(1, CAST(floor(sqrt(n)) AS BIGINT) + 1)) AS a FROM n)\n--\nSELECT a, n // a AS b FROM x WHERE n % a = 0")
 def factor_pairs(spark, sf):
-    return layout.factor_pairs(spark, 1110)
+    """All grids that the volume's traces could fill."""
+    return layout.factor_pairs(spark, table(spark, sf, "embeddings").count())
 
 
 _RAGH = "rh AS (SELECT l_suppkey AS subline, l_partkey % 50 AS xline, l_suppkey * 10000 + l_partkey % 50 + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS cdp FROM lineitem)"

@@ -16,12 +16,18 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from bitstrata.functions import bits as B
+from bitstrata.sources.raw import write_raw
+
 HEAD, TRACE_HEAD = 3600, 240
+#: Traces a batch.
+BATCH = 256
 # Sample widths by format code, and byte offsets of trace header fields.
 WIDTH = {1: 4, 2: 4, 3: 2, 4: 4, 5: 4, 8: 1}
 FIELDS = {"standard": {"inline": 188, "xline": 192, "src_x": 72, "src_y": 76, "cdp": 20}, "ragged": {"inline": 188, "xline": 184, "src_x": 72, "src_y": 76, "cdp": 20}}
@@ -120,11 +126,16 @@ class SegyReader(DataSourceReader):
         info = part.info
         each = TRACE_HEAD + info.samples * WIDTH[info.code]
         with store.open_input_file(info.path) as f:
-            raw = f.read_at((part.last - part.first) * each, HEAD + part.first * each)
-        for k in range(len(raw) // each):
-            one = raw[k * each : (k + 1) * each]
-            got = {n: struct.unpack_from(">i", one, at)[0] for n, at in self.fields.items()}
-            yield (info.path, part.first + k, info.code, one[:TRACE_HEAD], got["inline"], got["xline"], got["src_x"], got["src_y"], got["cdp"], decode_samples(one[TRACE_HEAD:], info.code).tolist())
+            for a in range(part.first, part.last, BATCH):
+                n = min(BATCH, part.last - a)
+                raw = np.frombuffer(f.read_at(n * each, HEAD + a * each), np.uint8).reshape(n, each)
+                heads = np.ascontiguousarray(raw[:, :TRACE_HEAD])
+                fields = [pa.array(heads[:, at : at + 4].copy().view(">i4").ravel().astype(np.int32)) for at in self.fields.values()]
+                off = np.arange(n + 1, dtype=np.int32)
+                header = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off * np.int32(TRACE_HEAD)), pa.py_buffer(heads)])
+                values = decode_samples(np.ascontiguousarray(raw[:, TRACE_HEAD:]).tobytes(), info.code)
+                samples = pa.ListArray.from_arrays(pa.array(off * np.int32(info.samples)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array([info.path] * n), pa.array(np.arange(a, a + n)), pa.array(np.full(n, info.code, np.int32)), header, *fields, samples], names=["file", "trace_seq", "format", "header", *self.fields, "samples"])
 
 
 @dataclass
@@ -134,10 +145,13 @@ class _Part(WriterCommitMessage):
 
 
 class SegyWriter(DataSourceWriter):
-    """Each task writes its traces, in order, beside the target; commit puts them together."""
+    """Each task writes its traces, in order, beside the target.  By default the parts are put
+    together by the driver into one file; with `parts` each is a file with the head before it, in a
+    folder, named by its first trace, and nothing goes through the driver."""
 
     def __init__(self, options: dict):
         self.uri, self.head = options["path"], base64.b64decode(options["head"])
+        self.parts = options.get("parts", "false").lower() == "true"
 
     def write(self, rows):
         from pyspark import TaskContext
@@ -146,7 +160,11 @@ class SegyWriter(DataSourceWriter):
         ctx = TaskContext.get()
         part = f"{path}.part-{ctx.partitionId()}-{ctx.taskAttemptId()}"
         first = None
+        if self.parts:
+            store.create_dir(path)
         with store.open_output_stream(part) as out:
+            if self.parts:
+                out.write(self.head)
             for r in rows:
                 first = r.trace_seq if first is None else first
                 out.write(bytes(r.header) + encode_samples(np.array(r.samples, np.float32), r.format))
@@ -155,6 +173,13 @@ class SegyWriter(DataSourceWriter):
     def commit(self, messages):
         store, path = pafs.FileSystem.from_uri(self.uri)
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.first)
+        if self.parts:
+            for m in parts:
+                if m.first < 0:
+                    store.delete_file(m.path)
+                else:
+                    store.move(m.path, f"{path}/{m.first:015d}.sgy")
+            return
         with store.open_output_stream(path) as out:
             out.write(self.head)
             for m in parts:
@@ -186,13 +211,13 @@ class SegySource(DataSource):
         return SegyWriter(self.options)
 
 
-def write_segy(traces: DataFrame, uri: str, head: bytes) -> None:
-    """Traces of the source's schema to one file."""
+def write_segy(traces: DataFrame, uri: str, head: bytes, parts: bool = False) -> None:
+    """Traces of the source's schema to one file, or with `parts` to a folder of files."""
     if len(head) != HEAD:
         raise ValueError("the file head has 3600 bytes")
     traces.sparkSession.dataSource.register(SegySource)
     ordered = traces.repartitionByRange("trace_seq").sortWithinPartitions("trace_seq")
-    ordered.write.format("segy").option("path", uri).option("head", base64.b64encode(head).decode()).mode("append").save()
+    ordered.write.format("segy").option("path", uri).option("head", base64.b64encode(head).decode()).option("parts", str(parts).lower()).mode("append").save()
 
 
 def header_sidecar(traces: DataFrame, head: bytes) -> DataFrame:
@@ -206,3 +231,37 @@ def segy_volume(traces: DataFrame, traces_per_profile: int) -> DataFrame:
     """Trace rows (p, t, samples) in file order."""
     n = F.lit(traces_per_profile)
     return traces.select(F.floor(F.col("trace_seq") / n).cast("int").alias("p"), (F.col("trace_seq") % n).cast("int").alias("t"), "samples")
+
+
+def summary(traces: DataFrame) -> DataFrame:
+    """(file, traces, min and max of inline and xline, inferred_from) of each file."""
+    x = traces.groupBy("file").agg(F.count("*").alias("traces"), *[f(c).alias(f"{n}_{c}") for c in ("inline", "xline") for n, f in (("min", F.min), ("max", F.max))], F.count_if(F.col("inline") != 0).alias("lines"), F.count_if(F.col("src_x") != 0).alias("sources"))
+    return x.withColumn("inferred_from", F.when(F.col("lines") > 0, "inline_3d").when(F.col("sources") > 0, "source_coords").otherwise("none")).drop("lines", "sources")
+
+
+def family(code: Column) -> Column:
+    """Kind of number of a sample format."""
+    return F.coalesce(*[F.when(code == k, v) for k, v in FAMILY.items()], F.lit("unknown"))
+
+
+def checked_union(*files: DataFrame) -> DataFrame:
+    """All files' traces; refused where traces differ in length."""
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    lengths = out.select(F.size("samples").alias("n")).distinct().limit(2).count()
+    if lengths > 1:
+        raise ValueError("the files' traces differ in length")
+    return out
+
+
+def segy_components(traces: DataFrame, traces_per_profile: int) -> DataFrame:
+    """(p, t, s, sgn, e, m) of every sample."""
+    v = segy_volume(traces, traces_per_profile).select("p", "t", F.posexplode("samples").alias("s", "v")).withColumn("b", B.bits_of("v"))
+    b = F.col("b")
+    return v.select("p", "t", "s", B.sign(b).alias("sgn"), B.exponent(b).alias("e"), B.mantissa(b).alias("m"))
+
+
+def to_raw(traces: DataFrame, uri: str) -> None:
+    """All traces' samples as raw float32 files, in the order of the source."""
+    write_raw(traces.select(F.col("trace_seq").alias("trace"), "samples"), uri)

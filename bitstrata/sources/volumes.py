@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitstrata.functions.bits import bits_of, exponent
+from bitstrata.sources.raw import read_raw
 
 
 def voxels(traces: DataFrame, samples: str = "samples") -> DataFrame:
@@ -28,23 +25,10 @@ def exponents(volume: DataFrame) -> DataFrame:
     return volume.select("p", "t", "s", exponent(F.col("bits")).alias("e"))
 
 
-def raw_volume(spark: SparkSession, path: str, traces_per_profile: int, samples_per_trace: int) -> DataFrame:
-    """Trace rows of little-endian float32 files: one record of fixed length a trace, split by Spark."""
-    record = 4 * samples_per_trace
-    # the Hadoop input format gives (offset, bytes) and splits files at record bounds
-    sc = spark.sparkContext
-    conf = {"fixedlengthinputformat.record.length": str(record)}
-    rows = sc.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
-    df = rows.map(lambda kv: (int(kv[0]) // record, bytearray(kv[1]))).toDF("trace long, raw binary")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), "<f4")
-            off = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * samples_per_trace)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(values))], names=["trace", "samples"])
-
+def raw_volume(spark: SparkSession, uri: str, traces_per_profile: int, samples_per_trace: int) -> DataFrame:
+    """Trace rows (p, t, samples) of little-endian float32 files, read by byte ranges."""
     n = F.lit(traces_per_profile)
-    return df.mapInArrow(unpack, "trace long, samples array<float>").select(F.floor(F.col("trace") / n).cast("int").alias("p"), (F.col("trace") % n).cast("int").alias("t"), "samples")
+    return read_raw(spark, uri, samples_per_trace).select(F.floor(F.col("trace") / n).cast("int").alias("p"), (F.col("trace") % n).cast("int").alias("t"), "samples")
 
 
 def infer_profiles(size: Column, traces: int, samples: int) -> Column:
