@@ -21,14 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
+from bitstrata.llm.names import col, fresh, quoted, schema_of
 
 DIM = 2048
 MAX_FIT_ROWS = 3000
 CENTROIDS = 4
+#: Texts whose counts (16 kB each) are held at once.
+PIECE_ROWS = 1024
 #: A text is rejected below this part of the least cosine seen in its length class.
 REJECT_PART = 0.5
 _SHIFT = np.uint32(32 - 11)
@@ -49,7 +52,13 @@ class Model:
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, (rows, DIM) counts, n-grams a row)."""
+    """(first row, end row, (rows, DIM) counts, n-grams a row), of `PIECE_ROWS` rows at most."""
+    for lo in range(0, len(column), PIECE_ROWS):
+        for i, j, counts, total in _term_counts(column.slice(lo, PIECE_ROWS)):
+            yield lo + i, lo + j, counts, total
+
+
+def _term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j, data, offsets in K.pieces(pc.utf8_lower(column.fill_null("")), 1 << 19):
         rows = j - i
         folded = _FOLD[data]
@@ -121,20 +130,29 @@ def fit(train: DataFrame, max_rows: int = MAX_FIT_ROWS, centroids: int = CENTROI
         df[r.slot + 1] = r.n
     idf = (np.log((1.0 + df[0]) / (1.0 + df[1:])) + 1.0).astype(np.float32)
     per = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    hashed = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20))
-    shares = spark.createDataFrame([(lang, min(1.0, max_rows / len(per) / n)) for lang, n in per.items()], "label string, share double")
-    picked = train.join(F.broadcast(shares), F.col("lang") == F.col("label")).filter(hashed < F.col("share") * (1 << 20))  # one row a language
+    # of each language the rows with the least hashes, as many as its share: first those below a
+    # limit that about twice as many pass, then, of a language that has too few there, of all its rows
+    most = max(1, -(-max_rows // max(1, len(per))))
+    hashed = F.xxhash64(F.lit(17), "id", "text")
+    shares = spark.createDataFrame([(lang, min(1.0, 2.0 * most / n)) for lang, n in per.items()], "label string, share double")
+    low = F.pmod(hashed, F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    order = Window.partitionBy("lang").orderBy(F.pmod(hashed, F.lit(1 << 30)), "id", "text")
     x, y = [], []
 
-    def take(rows: DataFrame, most: int) -> None:
-        for r in rows.select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary").limit(most).collect():
+    def take(rows: DataFrame) -> None:
+        best = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        for r in best.select("lang", "text").mapInArrow(_sample_counts, "lang string, counts binary").collect():
             x.append(np.frombuffer(bytes(r.counts), np.uint16))
             y.append(r.lang)
 
-    take(picked, 2 * max_rows)
-    if left := sorted(set(per) - set(y)):  # at least one row each
-        rest = train.join(F.broadcast(spark.createDataFrame([(g,) for g in left], "label string")), F.col("lang") == F.col("label"))
-        take(rest.groupBy("lang").agg(F.min_by("text", F.struct(hashed, F.xxhash64("id", "text"))).alias("text")), len(left))
+    take(train.join(F.broadcast(shares), F.col("lang") == F.col("label")).filter(low).select("id", "text", "lang"))
+    short = [(g,) for g, n in per.items() if y.count(g) < min(most, n)]
+    if short:
+        for g in [g for (g,) in short]:
+            keep = [k for k, lang in enumerate(y) if lang != g]
+            x, y = [x[k] for k in keep], [y[k] for k in keep]
+        rest = train.join(F.broadcast(spark.createDataFrame(short, "label string")), F.col("lang") == F.col("label"))
+        take(rest.select("id", "text", "lang"))
     langs = sorted(per)
     if not x:
         return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(24, np.float32))
@@ -159,7 +177,7 @@ def fit(train: DataFrame, max_rows: int = MAX_FIT_ROWS, centroids: int = CENTROI
     return Model(langs, idf, c.astype(np.float32), np.array(lang_of), floor)
 
 
-def _predict(shared, at: int, drop: bool):
+def _predict(shared, at: int, drop: bool, out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         names = np.array([*m.langs, "und"], object)
@@ -178,7 +196,7 @@ def _predict(shared, at: int, drop: bool):
             score[~letters] = 0.0
             kept = batch.num_columns - drop
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:kept], pa.array(names[lang], pa.string()), pa.array(score, pa.float64()), pa.array(low | ~letters)], names=[*batch.schema.names[:kept], "lang_pred", "score", "rejected"]
+                [*batch.columns[:kept], pa.array(names[lang], pa.string()), pa.array(score, pa.float64()), pa.array(low | ~letters)], names=[*batch.schema.names[:kept], *out]
             )
 
     return run
@@ -188,20 +206,25 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, carry: tuple[str, ...] = (), names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """(id, carried columns, lang_pred, score, rejected) for every row.
 
     `train` marks the rows to learn from; those with a null id, text or label, or
-    without a letter, never are.  A text that is null, empty or has no letter is
+    without a letter, never are.  Of each language at most its equal part of
+    `MAX_FIT_ROWS` rows (one at least), those with the least hash of id and text, are
+    what the centroids are fitted on.  A text that is null, empty or has no letter is
     `und`, score 0, rejected.  Without training rows every text is.  Repeated ids
-    and texts are separate rows.  An empty table gives no rows.
+    and texts are separate rows.  An empty table gives no rows.  `names` are those of the
+    three new columns; a carried column of such a name is replaced, so a caller that
+    carries columns of any name gives names that none of them has.
     """
     mark = F.lit(True) if train is None else train
-    rows = docs.filter(mark).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
+    rows = docs.filter(mark).select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang")).dropna()
     model = fit(rows.filter(F.col("text").rlike(r"\p{L}")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c == id_col or c in carry]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    apart = [] if text_col in own else [F.col(f"`{text_col}`").alias("__text")]
+    taken = {n.lower() for n in names}
+    own = [c for c in docs.columns if (c == id_col or c in carry) and c.lower() not in taken]
+    apart = [] if text_col in own else [col(text_col).cast("string").alias(fresh(own, "text")[0])]
     at = own.index(text_col) if text_col in own else len(own)
-    return docs.select(*[F.col(f"`{c}`") for c in own], *apart).mapInArrow(_predict(shared, at, bool(apart)), f"{kinds}, lang_pred string, score double, rejected boolean")
+    schema = schema_of(docs, own, f"{quoted(names[0])} string, {quoted(names[1])} double, {quoted(names[2])} boolean")
+    return docs.select(*[col(c) for c in own], *apart).mapInArrow(_predict(shared, at, bool(apart), list(names)), schema)

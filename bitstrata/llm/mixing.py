@@ -3,7 +3,7 @@
 A source with token share p gets a weight in proportion to p ** a.  The exponent
 a in [0, 1] is found by bisection on the table of sources: the entropy of the
 weights falls with a, and so does the largest number of times a source has to
-be repeated.  Each halving is one small aggregate; the table of sources stays
+be repeated.  Four halvings are one small aggregate; the table of sources stays
 distributed and only the two sums it needs come back.
 
 The weights are realised as block permutations.  A source's documents are dealt
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitstrata.llm import scratch
+from bitstrata.llm.names import col, fresh
 
 #: Documents a block holds on average.
 BLOCK_DOCS = 512
@@ -39,8 +40,8 @@ def text_tokens(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
 
 
-def row_key(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), docs[id_col], docs[source_col], docs[text_col])
+def row_key(id_col: str, source_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), col(id_col), col(source_col), col(text_col))
 
 
 def source_weights(sources: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_tokens: int | None = None) -> DataFrame:
@@ -58,23 +59,29 @@ def source_weights(sources: DataFrame, target_entropy: float | None = None, max_
     low, high = 0.0, 1.0
     share = F.col("tokens") / F.lit(float(total or 1))
 
-    def over(a: float) -> bool:
-        """Does exponent a flatten the shares more than the target asks for?"""
-        p = F.pow(share, F.lit(a))
-        r = live.agg(F.sum(p).alias("z"), F.sum(p * F.log2(p)).alias("s"), F.max(p / F.col("tokens")).alias("most"), F.min(p / F.col("tokens")).alias("least")).first()
+    def over(exponents: list[float]) -> list[bool]:
+        """Does each exponent flatten the shares more than the target asks for?"""
+        out = []
+        for k, a in enumerate(exponents):
+            p = F.pow(share, F.lit(a))
+            out += [F.sum(p).alias(f"z{k}"), F.sum(p * F.log2(p)).alias(f"s{k}"), F.max(p / F.col("tokens")).alias(f"most{k}"), F.min(p / F.col("tokens")).alias(f"least{k}")]
+        r = live.agg(*out).first()
         if target_entropy is not None:
-            return entropy_bits(r.z, r.s) > target_entropy
-        return (r.most / r.least if budget_tokens is None else r.most / r.z * budget_tokens) > max_repeats
+            return [entropy_bits(r[f"z{k}"], r[f"s{k}"]) > target_entropy for k in range(len(exponents))]
+        return [(r[f"most{k}"] / r[f"least{k}"] if budget_tokens is None else r[f"most{k}"] / r[f"z{k}"] * budget_tokens) > max_repeats for k in range(len(exponents))]
 
     if total:
-        if not over(0.0):
+        flat, steep = over([0.0, 1.0])
+        if not flat:
             high = 0.0
-        elif over(1.0):
+        elif steep:
             low = 1.0
         else:
-            for _ in range(STEPS):
-                mid = (low + high) / 2
-                low, high = (mid, high) if over(mid) else (low, mid)
+            # four halvings in one aggregate: the 15 exponents that they could come to
+            for _ in range(STEPS // 4):
+                grid = [low + (high - low) * k / 16 for k in range(17)]
+                at = sum(over(grid[1:16]))  # the more an exponent flattens, the less it is
+                low, high = grid[at], grid[at + 1]
     a = high
     p = F.when(F.col("tokens") > 0, F.pow(share, F.lit(a))).otherwise(F.lit(0.0))
     z = live.agg(F.sum(F.pow(share, F.lit(a))).alias("z"), F.min(F.pow(share, F.lit(a)) / F.col("tokens")).alias("least")).first()
@@ -94,7 +101,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     together and given once, with the tokens of all.  An empty table gives no rows.
     Taken tokens never exceed a source's budget, and miss it by less than one document.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_tokens(F.col(text_col).cast("string")).alias("tokens"), row_key(docs, id_col, source_col, text_col, seed).alias("h"))
+    own = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), text_tokens(col(text_col).cast("string")).alias("tokens"), row_key(id_col, source_col, text_col, seed).alias("h"))
     own = scratch.keep(own.groupBy("id", "source", "h").agg(F.sum("tokens").alias("tokens")), "sizes")
     sums = own.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     sums = scratch.keep(sums, "sources")
@@ -125,8 +132,12 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, **target) -> DataFrame:
-    """The mixture itself: the rows of `docs`, each as often as `mix` says, with its columns."""
-    times = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **target).select(F.col("id").alias("__id"), F.col("h").alias("__h2"), "repeats").filter("repeats > 0")
-    keyed = docs.withColumn("__h", row_key(docs, id_col, source_col, text_col, seed))
-    out = keyed.join(times, (F.col("__h") == F.col("__h2")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture itself: the rows of `docs`, each as often as `mix` says, with its columns,
+    whatever their names.  Rows equal in id, source and text are each given as often as all
+    of them were drawn together.  An empty table gives no rows."""
+    i, k, h, n, copy = fresh(docs.columns, "id_2", "h_2", "h", "repeats", "copy")
+    times = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **target)
+    times = times.select(F.col("id").alias(i), F.col("h").alias(k), F.col("repeats").alias(n)).filter(col(n) > 0)
+    keyed = docs.withColumn(h, row_key(id_col, source_col, text_col, seed))
+    out = keyed.join(times, (col(h) == col(k)) & col(id_col).eqNullSafe(col(i)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), col(n).cast("int")))).select(*[col(c) for c in docs.columns])

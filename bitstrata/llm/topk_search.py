@@ -9,6 +9,9 @@ that depth, and the query stops as soon as its k-th score is above this bound (a
 a tie it reads on, so a smaller id is never missed).  Depth doubles from round to
 round, so a query that cannot stop early costs one full read.
 
+Where a block's and a query's components are so large that a sum of products could
+leave the integers that a double holds, the same search runs on Python's integers.
+
 Query blocks meet candidate blocks by an equi-join on a block group; the k best
 of each block are then ranked once more.
 """
@@ -27,7 +30,9 @@ from bitstrata.llm import scratch
 
 BLOCK_ROWS, QUERY_ROWS, MAX_GROUPS = 8192, 512, 4096
 #: Integers up to here are exact as doubles.
-EXACT = float(1 << 53)
+EXACT = 1 << 53
+#: A score beyond a long is given as the nearest long.
+LARGEST = (1 << 63) - 1
 
 
 def _pack(rows: int, scale: float):
@@ -40,11 +45,8 @@ def _pack(rows: int, scale: float):
             own = held.pop(dim)
             made += 1
             x = np.stack([v for _, v in own])
-            top = np.abs(x).max(initial=0.0)
-            if top * top * max(dim, 1) >= EXACT:
-                raise ValueError("components are too large for exact scores")
             return pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() << 32 | made]), pa.array([dim], pa.int32()), pa.array([np.array([i for i, _ in own], np.int64).tobytes()], pa.binary()), pa.array([x.astype(np.int64).tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"]
+                [pa.array([TaskContext.get().partitionId() << 32 | made]), pa.array([dim], pa.int32()), pa.array([np.array([i for i, _ in own], np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"]
             )
 
         for batch in batches:
@@ -63,6 +65,13 @@ def _pack(rows: int, scale: float):
     return run
 
 
+def _integers(x: np.ndarray) -> np.ndarray:
+    """Doubles that are whole numbers as Python's integers."""
+    out = np.empty(x.size, object)
+    out[:] = [int(v) for v in x.ravel()]
+    return out.reshape(x.shape)
+
+
 class Lists:
     """A block's per-dimension lists, best first for either sign of the query."""
 
@@ -72,6 +81,8 @@ class Lists:
         up = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)
         self.lists = np.stack([up, up[:, ::-1]])  # [0]: small first, [1]: large first
         self.values = np.take_along_axis(self.x.T[None], self.lists, 2)
+        self.top = int(np.abs(self.x).max(initial=0.0))
+        self.large: np.ndarray | None = None
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of the k best, ties to the smaller id."""
@@ -79,10 +90,25 @@ class Lists:
         dims = np.flatnonzero(q)
         side = (q[dims] > 0).astype(np.int64)
         fresh = self.ids != own
-        best, score = np.zeros(0, np.int64), np.zeros(0)
+        best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not len(dims):
             best = np.flatnonzero(fresh)[:k]
-            return best, np.zeros(len(best))
+            return best, np.zeros(len(best), np.int64)
+        exact = self.top * int(np.abs(q).max()) * len(q) < EXACT
+        if not exact and self.large is None:
+            self.large = _integers(self.x)
+        whole = q if exact else _integers(q)
+
+        def scores(places: np.ndarray) -> np.ndarray:
+            if exact:
+                return (self.x[places] @ q).astype(np.int64)
+            return np.array([max(-LARGEST, min(LARGEST, sum(a * b for a, b in zip(row, whole, strict=True)))) for row in self.large[places]], np.int64)
+
+        def bound(last: int) -> int:
+            if exact:
+                return int(self.values[side, dims, last] @ q[dims])
+            return max(-LARGEST, min(LARGEST, sum(int(a) * b for a, b in zip(self.values[side, dims, last], whole[dims], strict=True))))
+
         depth, step = 0, max(8, n // 64)
         while depth < n:
             to = min(n, depth + step)
@@ -91,11 +117,11 @@ class Lists:
             met &= fresh
             fresh &= ~met
             new = np.flatnonzero(met)
-            best, score = np.concatenate([best, new]), np.concatenate([score, self.x[new] @ q])
+            best, score = np.concatenate([best, new]), np.concatenate([score, scores(new)])
             if len(best) > k:
                 top = np.lexsort((best, -score))[:k] if len(best) <= 64 else self._top(best, score, k)
                 best, score = best[top], score[top]
-            if len(best) == k and score.min() > float(self.values[side, dims, to - 1] @ q[dims]):
+            if len(best) == k and int(score.min()) > bound(to - 1):
                 break
             depth, step = to, 2 * step
         return best, score
@@ -114,11 +140,11 @@ def _search(k: int):
             for r in range(batch.num_rows):
                 block, dim, ids, x, q_ids, q = (batch.column(c)[r].as_py() for c in range(6))
                 if block != last:
-                    last, lists = block, Lists(np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, dim))
-                queries, vectors = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.int64).reshape(-1, dim).astype(np.float64)
+                    last, lists = block, Lists(np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim))
+                queries, vectors = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)
                 out = [lists.search(int(i), v, k) for i, v in zip(queries, vectors, strict=True)]
                 n = [len(b) for b, _ in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, n)), pa.array(lists.ids[np.concatenate([b for b, _ in out])]), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, n)), pa.array(lists.ids[np.concatenate([b for b, _ in out])]), pa.array(np.concatenate([s for _, s in out]))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -127,14 +153,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): each query's k highest scores, ties to the smaller id.
 
     Vectors that are null, empty, or hold a null or non-finite component take no part,
-    nor do rows with a null id; an id that repeats counts once.  Vectors of different
-    length are not compared.  A query is never its own candidate; with fewer than k
-    candidates it has them all.  An empty table gives no rows.  Components must be small
-    enough for scores to be below 2 ** 53 (an error otherwise).
+    nor do rows with a null id.  An id that repeats counts once, with the least of its
+    vectors, and is a query if any of its rows is.  Vectors of different length are not
+    compared.  A query is never its own candidate; with fewer than k candidates it has
+    them all.  An empty table gives no rows.  Scores are exact for components of any
+    size; one beyond a long counts as the nearest long, ties still to the smaller id.
     """
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q")).dropDuplicates(["id"])
+    rows = vectors.filter(sound & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).groupBy("id").agg(F.min("v").alias("v"), F.bool_or("q").alias("q"))
     rows = scratch.keep(rows, "vectors")
     kinds = "block long, dim int, ids binary, vectors binary"
     blocks = scratch.keep(rows.select("id", "v").mapInArrow(_pack(BLOCK_ROWS, scale), kinds), "blocks")
