@@ -2,17 +2,18 @@
 
 Words are runs of a-z and 0-9 of the lower-cased text, so comment marks and
 punctuation don't matter.  Templates are parted by length; for each class a document is
-read in overlapping windows, one around each anchor word.  (Anchors are words chosen so
-that they stand in more of each template's shingles than a match may lack: a text
-without any can't match, and is passed over without loss.)  A window reaches one class length to both
-sides, so around a match's first anchor it holds all that is left of the match.
+read in overlapping windows: one at every multiple of the class's reach, two reaches long,
+so whatever is no longer than a reach lies whole in one of them.  Every word run of a text
+is hashed once a shingle size, and windows are slices of those hashes.  (Anchors are words
+chosen so that they stand in more of each template's shingles than a match may lack: a
+window without any can't match, and is passed over without loss.)
 
 Windows and templates have `PERMUTATIONS` MinHash values in bands of one.  A window that
 holds enough of a template has a least Jaccard similarity to it, by the window's and the
 template's numbers of shingles; where all bands miss that with a probability above `MISS`
 (short templates: few shingles in a window of their class), the template is retrieved by
-all its shingles instead, without loss.  Retrieved pairs are then verified: the share of the template's five-word shingles that
-the window holds, exactly.
+all its shingles instead, without loss.  Retrieved pairs are then verified: the share of the
+template's five-word shingles that the window holds, exactly.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitstrata.llm.names import col
+
 SIZE, THRESHOLD, PERMUTATIONS = 5, 0.8, 64
 #: The most that the bands may miss of a match.
 MISS = 1.4e-6
+#: Templates of more characters in all are joined as Spark sees fit, not broadcast.
+BROADCAST_CHARS = 1 << 22
 
 # Texts of public licenses and of the lines that refer to them.
 TEMPLATES = {
@@ -88,16 +93,16 @@ def size_class(n: int) -> tuple[int, int]:
 
 def miss_probability(n: int, reach: int, size: int, threshold: float = THRESHOLD) -> float:
     """Of all bands, for a full window that holds just enough of a template of n distinct shingles."""
-    window = max(1, 2 * reach + 2 - size)
+    window = max(1, 2 * reach + 1 - size)
     need = max(1, math.ceil(threshold * n - 1e-9))
     return (1 - min(1.0, need / max(n, window + n - need))) ** PERMUTATIONS
 
 
-def shingle_hashes(w: Column, size: Column) -> Column:
-    """Distinct hashes of all runs of `size` words."""
+def run_hashes(w: Column, size: int) -> Column:
+    """Hashes of all runs of `size` words, in order; none in a shorter text."""
     last = F.size(w) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " ")))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def signature(shingles: Column, n: int = PERMUTATIONS) -> Column:
@@ -117,39 +122,55 @@ def template_table(spark, templates: dict[str, str], threshold: float = THRESHOL
     if not rows:
         rows = [("", SIZE, SIZE, False, "")]
     t = spark.createDataFrame(rows, "license string, reach int, size int, whole boolean, text string").filter("text <> ''")
-    return t.withColumn("template", shingle_hashes(words(F.col("text")), F.col("size"))).drop("text")
+    sizes = sorted({r[2] for r in rows})
+    template = F.coalesce(*[F.when(F.col("size") == s, F.array_distinct(run_hashes(words(F.col("text")), s))) for s in sizes])
+    return t.withColumn("template", template).drop("text")
+
+
+def window_starts(places: Column, reach: int) -> Column:
+    """Numbers of the windows that hold any of the places (counted from 1): two each."""
+    near = F.transform(places, lambda i: F.floor((i - 1) / reach).cast("int"))
+    return F.array_distinct(F.flatten(F.transform(near, lambda k: F.array(F.greatest(k - 1, F.lit(0)), k))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, license, n_shingles, n_common, first_word) for each document and template it holds.
 
     `n_common` is the most that one window holds of the template's `n_shingles`, and
-    `first_word` the first window's anchor, counted from 1.  A template of fewer than five
-    words is held if its words stand in a row.  Null and empty texts hold none; rows that
-    repeat an id are joined to one; rows with a null id are given under null.  An empty
-    table, or no templates, gives no rows.
+    `first_word` the first word, counted from 1, of the first window that holds it.  A
+    template of fewer than five words is held if its words stand in a row.  Null and empty
+    texts hold none; rows that repeat an id are joined to one; rows with a null id are given
+    under null.  An empty table, or no templates, gives no rows.  Other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     spark, marks = docs.sparkSession, anchors(templates, threshold)
     table = template_table(spark, templates, threshold)
     classes = sorted({size_class(len(w)) for t in templates.values() if (w := _template_words(t))})
-    low = F.lower(F.col(text_col).cast("string"))
-    likely = reduce(lambda a, b: a | b, [low.contains(m) for m in marks], F.lit(False))
-    own = docs.filter(likely).select(F.col(id_col).alias("doc_id"), words(F.col(text_col).cast("string")).alias("w"))
+    text = col(text_col).cast("string")
+    likely = reduce(lambda a, b: a | b, [F.lower(text).contains(m) for m in marks], F.lit(False))
+    # inline() of one row: what a lambda reads must be a column that is there, not an expression made anew at each step
+    own = docs.filter(likely).select(col(id_col).alias("doc_id"), F.inline(F.array(F.struct(words(text).alias("w"))))).filter(F.size("w") > 0)
     places = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at(F.col("w"), i).isin(marks))
-    at = own.filter(F.size("w") > 0).withColumn("at", F.explode(places))
-    kinds = F.explode(F.array(*[F.struct(F.lit(r).alias("reach"), F.lit(s).alias("size")) for r, s in classes]) if classes else F.expr("cast(array() as array<struct<reach:int,size:int>>)"))
-    at = at.withColumn("kind", kinds).select("doc_id", "at", "kind.reach", "kind.size", "w")
-    start = F.greatest(F.lit(1), F.col("at") - F.col("reach"))
-    window = F.slice("w", start, F.col("at") + F.col("reach") - start + 1)
-    windows = at.select("doc_id", "at", "reach", "size", window.alias("window"))
-    windows = windows.select("doc_id", "at", "reach", "size", shingle_hashes(F.col("window"), F.col("size")).alias("shingles")).filter(F.size("shingles") > 0)
-    bands = windows.select("doc_id", "at", "reach", "size", "shingles", signature(F.col("shingles")).alias("bands"))
-    wanted = F.broadcast(table.withColumn("bands", signature(F.col("template"))))  # one row a template
+    own = own.select("doc_id", "w", places.alias("places")).filter(F.size("places") > 0)
+    kinds = "struct<reach:int,size:int,k:int,shingles:array<bigint>>"
+
+    def windows_of(reach: int, size: int) -> Column:
+        """The windows of a class, from the run hashes that all classes of a shingle size share."""
+        runs, length = F.col(f"h{size}"), F.lit(2 * reach + 1 - size)
+        part = F.transform(window_starts(F.col("places"), reach), lambda k: F.struct(F.lit(reach).alias("reach"), F.lit(size).alias("size"), k.alias("k"), F.array_distinct(F.slice(runs, k * reach + 1, length)).alias("shingles")))
+        return F.filter(part, lambda x: F.size(x.shingles) > 0).cast(f"array<{kinds}>")
+
+    cut = [windows_of(reach, size) for reach, size in classes]
+    hashed = own.select("doc_id", F.inline(F.array(F.struct("places", *[run_hashes(F.col("w"), s).alias(f"h{s}") for s in sorted({s for _, s in classes})]))))
+    windows = hashed.select("doc_id", F.explode(F.concat(*cut) if cut else F.array().cast(f"array<{kinds}>")).alias("x")).select("doc_id", "x.*")
+    bands = windows.withColumn("bands", signature(F.col("shingles")))
+    wanted = table.withColumn("bands", signature(F.col("template")))
+    if sum(map(len, templates.values())) <= BROADCAST_CHARS:
+        wanted = F.broadcast(wanted)
     t = wanted.select("license", F.col("reach").alias("r"), F.col("size").alias("s"), "whole", "template", F.col("bands").alias("b"))
     # a band is in common where the values are equal at one place; each value holds its place's number
     retrieved = F.when(F.col("whole"), F.arrays_overlap("shingles", "template")).otherwise(F.arrays_overlap("bands", "b"))
     pairs = bands.join(t, (F.col("reach") == F.col("r")) & (F.col("size") == F.col("s")) & retrieved)
     common = F.size(F.array_intersect("shingles", "template"))
-    found = pairs.select("doc_id", "license", "at", F.size("template").alias("n_shingles"), common.alias("n_common")).filter(F.col("n_common") >= threshold * F.col("n_shingles") - 1e-9)
+    found = pairs.select("doc_id", "license", (F.col("k") * F.col("reach") + 1).alias("at"), F.size("template").alias("n_shingles"), common.alias("n_common")).filter(F.col("n_common") >= threshold * F.col("n_shingles") - 1e-9)
     return found.groupBy("doc_id", "license").agg(F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_common").cast("long").alias("n_common"), F.min("at").cast("long").alias("first_word"))
