@@ -18,9 +18,17 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_SPAN = 4096
-with np.errstate(over="ignore"):
-    _POW = np.cumprod(np.full(_SPAN, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
+#: Bytes whose powers are at hand; longer stretches are hashed piece by piece.
+_SPAN = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
 _SALT = 0x2545F4914F6CDD1D
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -93,33 +101,75 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_tables: list[np.ndarray] = []
+
+
+def _tables_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least n of each."""
+    if not _tables or len(_tables[0]) < n:
+        size = min(_SPAN, max(1 << 17, 1 << (n - 1).bit_length()))
+        _tables[:] = [_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)]
+    return _tables[0], _tables[1]
+
+
+def _long_span(data: np.ndarray) -> int:
+    """Sum over a span of more than _SPAN bytes."""
+    up, _ = _tables_of(_SPAN)
+    total, factor = 0, 1
+    for lo in range(0, len(data), _SPAN):
+        part = _BYTE[data[lo : lo + _SPAN]]
+        total = (total + factor * int(np.add.reduce(part * up[: len(part)], dtype=np.uint64))) & (2**64 - 1)
+        factor = factor * pow(_BASE, _SPAN, 1 << 64) & (2**64 - 1)
+    return total
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, as they are (lower-case the bytes before)."""
+    """64-bit hashes of the byte spans, as they are (lower-case the bytes before).
+
+    A span's sum of byte values times powers of a base is the difference of two running sums,
+    divided by the power at its start: odd numbers have inverses modulo 2 ** 64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lens = ends - starts
-    first = np.cumsum(lens) - lens
-    skip = np.repeat((starts - first).astype(np.int32), lens)
-    at = np.arange(len(skip), dtype=np.int32) + skip
-    value = _BYTE[data[at]]
-    pos = at - np.repeat(starts.astype(np.int32), lens)
-    if lens.max() > _SPAN:
-        far = np.flatnonzero(pos >= _SPAN)  # bytes beyond the table of powers; all others are as in any batch
-        value[far] = mix64(value[far] + (pos[far] // _SPAN).astype(np.uint64))
-        pos = pos % _SPAN
-    value *= _POW[pos]
-    return mix64(np.add.reduceat(value, first) + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    out = np.empty(len(starts), np.uint64)
+    if (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        out[order] = span_hashes(data, starts[order], ends[order])
+        return out
+    lens, reach = ends - starts, np.maximum.accumulate(ends)
+    k = 0
+    while k < len(starts):
+        lo = int(starts[k])
+        if lens[k] > _SPAN:
+            out[k] = _long_span(data[lo : int(ends[k])])
+            k += 1
+            continue
+        to = max(k + 1, int(np.searchsorted(reach, lo + _SPAN, "right")))
+        hi = int(ends[k:to].max())
+        up, down = _tables_of(hi - lo)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        out[k:to] = (total[ends[k:to] - lo] - total[starts[k:to] - lo]) * down[starts[k:to] - lo]
+        k = to
+    return mix64(out + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def chain_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of `size` words in a row, one for each place where such a run can start."""
+    """Hashes of `size` words in a row, one for each place where such a run can start: sums of
+    words times powers of a base, by doubling the run's length."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, size * _SALT & (2**64 - 1), np.uint64)
-    for k in range(size):
-        total += words[k : k + n] * _PLACE[k]
-    return mix64(total)
+    have, runs, done, total = 1, words, 0, None
+    while True:
+        if size & have:  # this many words more, after those that are done
+            part = runs[done : done + n] * _U(pow(_BASE, done, 1 << 64)) if done else runs[:n]
+            total = part if total is None else total + part
+            done += have
+        if 2 * have > size:
+            break
+        runs = runs[:-have] + runs[have:] * _U(pow(_BASE, have, 1 << 64))
+        have *= 2
+    return mix64(total + _U(size * _SALT & (2**64 - 1)))
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +190,21 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
     for n in range(1, size):
         if (short := np.flatnonzero(count == n)).size:
             own = words[bounds[short][:, None] + np.arange(n)]
-            out[out_bounds[short]] = mix64(np.add.reduce(own * _PLACE[:n], 1, dtype=np.uint64) + _U(n * _SALT & (2**64 - 1)))
+            out[out_bounds[short]] = mix64(np.add.reduce(own * _powers(_BASE, n), 1, dtype=np.uint64) + _U(n * _SALT & (2**64 - 1)))
     return out, out_bounds
 
 
 def distinct_in_rows(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, laid end to end, and their bounds."""
+    n = np.diff(bounds)
+    if 1 < len(n) <= 1 << 16 and len(values) < 1024 * len(n):  # many short rows: sorted together, then dealt to their rows
+        row = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        order = np.argsort(values)
+        order = order[np.argsort(row[order], kind="stable")]
+        values, row = values[order], row[order]
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+        return values[fresh], np.concatenate([[0], np.cumsum(np.bincount(row[fresh], minlength=len(n)))])
     parts = [np.unique(values[a:b]) if b > a else values[:0] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
@@ -187,7 +246,9 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def row_fingerprints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that stand for each row's set.  Rows must not be empty."""
-    one = np.add.reduceat(mix64(sets ^ _U(0x8EBC6AF09C88C6E3)), bounds[:-1])
-    two = np.add.reduceat(mix64(sets + _U(0x589965CC75374CC3)), bounds[:-1])
-    return one, two
+    """Two 64-bit sums that stand for each row's set: of its hashes and of their squares' mix.
+    Rows must not be empty."""
+    square = sets * sets
+    square ^= square >> _U(32)
+    square *= sets | _U(1)
+    return np.add.reduceat(sets, bounds[:-1]), np.add.reduceat(square, bounds[:-1])

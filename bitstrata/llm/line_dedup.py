@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch
-from bitstrata.llm.set_links import SLICE, linked
+from bitstrata.llm.names import col, fresh, schema_of
+from bitstrata.llm.set_links import SLICE, Places, Wanted, linked
 
 SHINGLE, N_PERM, BAND_ROWS = 8, 32, 4
 LINK_NUM, LINK_DEN = 80, 100
@@ -59,42 +60,42 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(lens), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
-def distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(hash, line) of the lines of a task, each about once."""
+def distinct_lines(batches: Iterator[pa.RecordBatch], wanted: Wanted = None) -> Iterator[tuple[pa.Array, pa.Array, Places | None]]:
+    """(hash, line) of the lines of a task that are wanted, each about once; and where all
+    lines stand, as (hash, line's number, document), where all are wanted."""
     sent: set[int] = set()
     for batch in batches:
-        for _, _, data, offsets in K.pieces(batch.column(1), SLICE):
+        for i, j, data, offsets in K.pieces(batch.column(1), SLICE):
             low = K.lower(data)
-            starts, ends, _, _ = line_spans(low, offsets)
-            hashes, where = np.unique(K.span_hashes(low, starts, ends), return_index=True)
+            starts, ends, row, number = line_spans(low, offsets)
+            every = K.span_hashes(low, starts, ends)
+            hashes, where = np.unique(every, return_index=True)
+            if wanted is not None:
+                at = wanted(hashes.view(np.int64))
+                hashes, where = hashes[at], where[at]
             fresh = np.array([h not in sent for h in hashes.tolist()], bool)
             hashes, where = hashes[fresh], where[fresh]
             if len(sent) > MEMO:
                 sent.clear()
             sent.update(hashes.tolist())
-            if len(hashes):
-                yield pa.array(hashes.view(np.int64)), _gather(low, starts[where], ends[where])
+            places = None if wanted is not None else (every.view(np.int64), number, batch.column(0).slice(i, j - i).take(pa.array(row)))
+            if len(every):
+                yield pa.array(hashes.view(np.int64)), _gather(low, starts[where], ends[where]), places
 
 
 def character_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of eight characters, with repeats."""
     chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return K.shingles(K.mix64(chars.astype(np.uint64)), heads[offsets], SHINGLE)
+    wide = chars * np.uint64(0xD1342543DE82EF95)
+    wide ^= wide >> np.uint64(29)
+    return K.shingles(wide, heads[offsets], SHINGLE)
 
 
 def character_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct_in_rows(*character_shingles(data, offsets))
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, data, offsets in K.pieces(batch.column(1), SLICE):
-            low = K.lower(data)
-            starts, ends, row, number = line_spans(low, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(number), pa.array(K.span_hashes(low, starts, ends).view(np.int64))], names=["doc_id", "line", "h"])
-
-
 def _without(at: int, gone: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,15 +127,17 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at one place of equal rows is one occurrence.  An empty table gives no rows.  Columns
     called n_lines or n_kept are replaced; all others pass through.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_kept", "__gone")]
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    items, homes = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines, character_shingles)
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
+    key, out = fresh([*keep, "n_lines", "n_kept"], "id", "gone")
+    text = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    items, homes, places = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines, character_shingles)
     moved = items.join(homes, ["fp_hi", "fp_lo", "n"]).filter("id <> component").select(F.col("id").alias("h"), "component").distinct()
-    lines = scratch.keep(text.mapInArrow(_occurrences, "doc_id long, line long, h long").join(moved, "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("g")), "lines")
-    # rows of a group that has one place only need no second look
-    first = lines.groupBy("g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
-    gone = lines.join(first, "g").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.select(*[F.col(f"`{c}`") for c in keep]).join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(_without(keep.index(text_col), len(keep)), f"{kinds}, n_lines long, n_kept long")
+    lines = scratch.keep(places.select(F.col("id").alias("h"), F.col("place").alias("line"), F.col("owner").alias("doc_id")).join(moved, "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("g")), "lines")
+    # rows of a group that has one place only need no second look; as a table, the places of a
+    # group that stands in a third of all documents can be joined by several tasks
+    first = lines.groupBy("g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = scratch.keep(first.select("g", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("at")), "first")
+    gone = lines.join(first, "g").filter((F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("at")))
+    gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(out))
+    joined = docs.select(*[col(c) for c in keep]).join(gone, col(id_col).cast("long") == col(key), "left").drop(key)
+    return joined.mapInArrow(_without(keep.index(text_col), len(keep)), schema_of(docs, keep, "n_lines long, n_kept long"))

@@ -5,11 +5,13 @@ At a similarity of 0.85 all 32 bands of five values miss a pair with probability
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch
+from bitstrata.llm.names import col, fresh
 from bitstrata.llm.set_links import linked
 
 N_PERM, BAND_ROWS = 80, 5
@@ -25,8 +27,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are linked whatever their texts.  An empty table gives no rows.  Other
     columns are not read.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items, homes = linked(text, lambda data, offsets: K.shingle_sets(data, offsets, size), link_num, link_den, n_perm, band_rows)
+    text = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    items, homes, _ = linked(text, lambda data, offsets: K.shingle_sets(data, offsets, size), link_num, link_den, n_perm, band_rows)
     out = items.join(homes, ["fp_hi", "fp_lo", "n"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -34,11 +36,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay: one of each component, and all with a null id.
-    Of rows that repeat an id one stays."""
+    """The rows of `docs` that stay, with their columns, whatever their names: those of one id
+    of each component, and all with a null id.  Of rows equal in id and text one stays, that
+    with the least hash of its other plain columns; rows that have one id and different texts
+    are one document and stay or go together.  An empty table gives no rows."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    key, place = fresh(docs.columns, "gone", "place")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(key))
+    out = docs.join(gone, col(id_col).cast("long") == col(key), "left_anti")
     if not found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
-        out = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
+        plain = [col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+        w = Window.partitionBy(col(id_col), col(text_col)).orderBy(F.xxhash64(*plain))
+        one = out.filter(col(id_col).isNotNull()).withColumn(place, F.row_number().over(w)).filter(col(place) == 1).drop(place)
+        out = one.unionByName(out.filter(col(id_col).isNull()))
     return out

@@ -2,19 +2,21 @@
 executors share (``spark.checkpoint.dir``).
 
 A written table cuts the lineage: after it, a lost executor costs the tasks of
-one step.  Where the setting is absent (tests on one machine) a temporary
-folder is made once and set.
+one step.  Where the setting is absent on one machine (tests), a temporary folder is
+made once and set; on a cluster that is an error, as executors would not share it.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 16 << 20
 _made: dict[str, object] = {}
 
 
@@ -22,6 +24,8 @@ def root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="bitstrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,10 +38,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` written as Parquet and read again."""
+    """`df` written as Parquet and read again; row groups are small, so that any task can read a part."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": str(ROW_GROUP)} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
     return out

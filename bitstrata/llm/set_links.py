@@ -9,14 +9,15 @@ only after the full sets have been compared as integers
 Plan, in tables that are written and read again:
 
 1. one pass over the text: set size, set fingerprint and band keys an item; items with
-   equal sets fold into the smallest id before any band is shuffled, so a group of
-   copies of any size is one row from here on;
+   equal sets fold into the smallest id, within a task before the shuffle, so a group of
+   copies of any size is one row from here on (equal sets have equal band keys);
 2. band keys that several sets share, found by counting keys alone; the signatures are
    then read again behind a Bloom filter of those keys.  In each bucket the member
    that collides most leads, and every other member is compared with its leader only
    (no pairs within a bucket are made);
-3. texts of the candidates, from a second pass behind a Bloom filter; they travel in
-   place of their sets, which are some times larger and are made anew where needed;
+3. texts of the candidates, from a second pass behind a Bloom filter, each text of an id
+   once however many tasks met it; they travel in place of their sets, which are some
+   times larger and are made anew where needed;
 4. verified links -> distributed union-find;
 5. buckets that still span several components: their members are compared across
    components by an exact prefix filter (rarest shingles first, with the bound that
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,52 +41,114 @@ from bitstrata.llm.components import components
 
 SEED = 20250101
 #: Bytes a kernel call works on here: its 64-bit intermediates then stay in a core's cache.
-SLICE = 1 << 17
+SLICE = 1 << 16
+#: Band keys that a task counts at once, and that a part has on average.
+KEYS_HELD, KEYS_A_PART = 1 << 21, 1 << 21
 #: (bytes, offsets) of texts -> (set values laid end to end, bounds)
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: batches of the source -> (ids, texts)
-Items = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.Array, pa.Array]]]
+#: integer ids -> which of them are asked for; None: all
+Wanted = Callable[[np.ndarray], np.ndarray] | None
+#: ids, places and owners of all occurrences of a source's items
+Places = tuple[np.ndarray, np.ndarray, pa.Array]
+#: (batches of the source, wanted) -> (ids, texts, places or None)
+Items = Callable[[Iterator[pa.RecordBatch], Wanted], Iterator[tuple[pa.Array, pa.Array, Places | None]]]
 
 
-def plain_items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+def plain_items(batches: Iterator[pa.RecordBatch], wanted: Wanted = None) -> Iterator[tuple[pa.Array, pa.Array, None]]:
     for batch in batches:
-        yield batch.column(0), batch.column(1)
+        ids, text = batch.column(0), batch.column(1)
+        if wanted is not None:
+            at = pa.array(np.flatnonzero(wanted(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            ids, text = ids.take(at), text.take(at)
+        yield ids, text, None
+
+
+def _band_names(n_perm: int, rows: int) -> list[str]:
+    return [f"b{k}" for k in range(2 * n_perm // rows)]
 
 
 def _signatures(items: Items, kernel: Kernel, n_perm: int, rows: int):
+    names = _band_names(n_perm, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 33
-        for ids, text in items(batches):
+        for ids, text, places in items(batches, None):
+            if places is not None:
+                own = [pa.array(places[0]), pa.array(places[1]), places[2].cast(pa.int64()), pa.nulls(len(places[0]), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own, *[own[3]] * len(names)], names=["id", "n", "fp_hi", "fp_lo", *names])
             for i, j, data, offsets in K.pieces(text, SLICE):
                 sets, bounds = kernel(data, offsets)
                 n = np.diff(bounds)
                 some = np.flatnonzero(n)
                 hi, lo = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                bands = np.zeros((0, 2 * n_perm // rows), np.uint64)
+                bands = np.zeros((len(names), j - i), np.uint64)
                 if some.size:
                     tight = np.concatenate([bounds[some], bounds[-1:]])
                     hi[some], lo[some] = K.row_fingerprints(sets, tight)
-                    bands = K.band_keys(K.minmax_signatures(sets, tight, n_perm, SEED), rows)
-                at = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32) * bands.shape[1]
+                    bands[:, some] = K.band_keys(K.minmax_signatures(sets, tight, n_perm, SEED), rows).T
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(made + np.arange(j - i)), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bands.ravel().view(np.int64)))],
-                    names=["id", "row", "n", "fp_hi", "fp_lo", "bands"],
+                    [ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *(pa.array(b.view(np.int64)) for b in bands)],
+                    names=["id", "n", "fp_hi", "fp_lo", *names],
                 )
-                made += j - i
 
     return run
 
 
+def _key_counts(parts: int):
+    """One column a band -> (part, keys, counts): keys dealt by value, each once for every
+    KEYS_HELD that a task has read, so that a key of very many sets is few entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (keys % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edge))
+            raw = [pa.py_buffer(np.ascontiguousarray(x)) for x in (keys[order], n[order].astype(np.uint32))]
+            off = np.concatenate([edge[some], edge[-1:]]).astype(np.int32)
+            blobs = [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(off * np.int32(w)), b]) for b, w in zip(raw, (8, 4), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(some), *blobs], names=["part", "keys", "counts"])
+
+        for batch in batches:
+            held += [c.to_numpy().view(np.uint64) for c in batch.columns]
+            if sum(map(len, held)) >= KEYS_HELD:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def _shared_keys(key, table):
+    """All that was dealt to a part -> (band, members) of the keys of several sets."""
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
+    n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    total = np.add.reduceat(n, first)
+    many = total > 1
+    return pa.table({"band": keys[first[many]].view(np.int64), "members": total[many]})
+
+
+def _shared(classes: DataFrame, names: list[str]) -> DataFrame:
+    """(band, members) of the band keys that several sets have; parts grow with the number of keys."""
+    parts = max(16, min(1 << 20, -(-classes.count() * len(names) // KEYS_A_PART)))
+    dealt = classes.select(*names).mapInArrow(_key_counts(parts), "part long, keys binary, counts binary")
+    return dealt.groupBy("part").applyInArrow(_shared_keys, "band long, members long")
+
+
 def _shared_bands(bloom):
-    """(id, bands) -> (band, node) for the keys that may be shared."""
+    """(node, one column a band) -> (band, node) for the keys that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten()
-            at = np.flatnonzero(sketches.might_hold(bloom.value, flat.to_numpy()))
-            off = batch.column(1).offsets.to_numpy()
-            row = np.searchsorted(off - off[0], at, "right") - 1
-            yield pa.RecordBatch.from_arrays([flat.take(pa.array(at)), batch.column(0).take(pa.array(row))], names=["band", "node"])
+            for column in batch.columns[1:]:
+                at = pa.array(np.flatnonzero(sketches.might_hold(bloom.value, column.to_numpy())))
+                yield pa.RecordBatch.from_arrays([column.take(at), batch.column(0).take(at)], names=["band", "node"])
 
     return run
 
@@ -94,10 +157,8 @@ def _candidates(items: Items, kernel: Kernel, bloom):
     """(node, set size, text) of the items that may be candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, text in items(batches):
-            keep = np.flatnonzero(sketches.might_hold(bloom.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
-            if keep.size:
-                ids, text = ids.take(pa.array(keep)), text.take(pa.array(keep))
+        for ids, text, _ in items(batches, lambda found: sketches.might_hold(bloom.value, found)):
+            if len(ids):
                 n = [np.diff(kernel(data, offsets)[1]) for _, _, data, offsets in K.pieces(text, SLICE)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n)), text.cast(pa.string())], names=["node", "n", "text"])
 
@@ -113,12 +174,16 @@ def _rows(kernel: Kernel, text: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _confirm(kernel: Kernel, num: int, den: int):
-    """(a, b, text of a, text of b) -> (a, b) where the full sets are similar enough."""
+    """(a, b, text of a, text of b) -> (a, b) where the full sets are similar enough.
+    A text that stands in many pairs of a batch, as a leader's does, is cut into shingles once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(_rows(kernel, batch.column(2)), _rows(kernel, batch.column(3)), strict=True)):
+            one, two = (pc.dictionary_encode(batch.column(c)) for c in (2, 3))
+            left, right = (list(_rows(kernel, x.dictionary)) for x in (one, two))
+            for k, (i, j) in enumerate(zip(one.indices.to_pylist(), two.indices.to_pylist(), strict=True)):
+                x, y = left[i], right[j]
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok[k] = den * common >= num * (len(x) + len(y) - common)
@@ -159,27 +224,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, kernel: Kernel, num: int, den:
     return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "ta", "tb").mapInArrow(_confirm(kernel, num, den), "a long, b long")
 
 
-def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_perm: int, band_rows: int, items: Items = plain_items, loose: Kernel | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items, homes): items (id, n, fp_hi, fp_lo) of every row of the source, homes
+def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_perm: int, band_rows: int, items: Items = plain_items, loose: Kernel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, homes, places): items (id, n, fp_hi, fp_lo) of every row of the source, homes
     (fp_hi, fp_lo, n, component) of every distinct set, where component is the
-    smallest id reachable.  Empty sets and null ids have no home.  Rows that repeat an
+    smallest id reachable, places (id, place, owner) where items stand, if `items` says so.
+    Empty sets and null ids have no home.  Rows that repeat an
     id are one item, linked by any of its sets.
     """
     spark = source.sparkSession
-    sig = scratch.keep(source.mapInArrow(_signatures(items, loose or kernel, n_perm, band_rows), "id long, row long, n long, fp_hi long, fp_lo long, bands array<long>"), "signatures", compression="none")
-    full = sig.filter("n > 0 and id is not null")
-    first = F.min(F.struct("id", "row"))
-    classes = scratch.keep(full.groupBy("fp_hi", "fp_lo", "n").agg(first.alias("first")).select("fp_hi", "fp_lo", "n", F.col("first.id").alias("rep"), F.col("first.row").alias("row")), "classes")
-    reps = scratch.keep(full.select(F.col("id").alias("node"), "row", "bands").join(classes.select("row"), "row", "left_semi").select("node", "bands"), "representatives", compression="none")
-
-    own = scratch.keep(sig.select("id", "n", "fp_hi", "fp_lo"), "items")
+    names = _band_names(n_perm, band_rows)
+    columns = "id long, n long, fp_hi long, fp_lo long, " + ", ".join(f"{b} long" for b in names)
+    sig = scratch.keep(source.mapInArrow(_signatures(items, loose or kernel, n_perm, band_rows), columns), "signatures", compression="none")
+    made = sig.filter("fp_lo is not null")  # the other rows are places
+    full = made.filter("n > 0 and id is not null")
+    classes = scratch.keep(full.groupBy("fp_hi", "fp_lo", "n").agg(F.min("id").alias("rep"), *(F.max(b).alias(b) for b in names)), "classes", compression="none")
+    own = scratch.keep(made.select("id", "n", "fp_hi", "fp_lo"), "items")
+    places = sig.filter("fp_lo is null").select("id", F.col("n").alias("place"), F.col("fp_hi").alias("owner"))
+    places = scratch.keep(places, "places") if items is not plain_items else places.limit(0)
     scratch.drop(sig)
 
-    shared = scratch.keep(reps.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+    shared = scratch.keep(_shared(classes, names), "shared")
     bloom = sketches.bloom(shared, "band", sketches.bits_for(shared.count()))
-    keyed = reps.mapInArrow(_shared_bands(spark.sparkContext.broadcast(bloom)), "band long, node long")
+    keyed = classes.select("rep", *names).mapInArrow(_shared_bands(spark.sparkContext.broadcast(bloom)), "band long, node long")
     buckets = scratch.keep(keyed.join(shared, "band").select("band", "node", "members"), "buckets")
-    scratch.drop(reps, shared)
+    scratch.drop(shared)
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
     rank = F.struct("weight", (F.bitwise_not(F.col("node"))).alias("low"))
     leaders = buckets.join(weight, "node").groupBy("band").agg(F.max(rank).alias("top"), F.max("members").alias("members"))
@@ -188,7 +256,8 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
 
     nodes = buckets.select("node").distinct()
     bloom = sketches.bloom(nodes, "node", sketches.bits_for(nodes.count()))
-    texts = scratch.keep(source.mapInArrow(_candidates(items, kernel, spark.sparkContext.broadcast(bloom)), "node long, n long, text string"), "candidates")
+    met = source.mapInArrow(_candidates(items, kernel, spark.sparkContext.broadcast(bloom)), "node long, n long, text string")
+    texts = scratch.keep(met.repartition("node").dropDuplicates(["node", "text"]), "candidates")
 
     links = scratch.keep(_verified(star, texts, kernel, link_num, link_den), "links")
     found = components(links)
@@ -217,4 +286,4 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
 
     homes = scratch.keep(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", "n", F.coalesce("component", "rep").alias("component")), "homes")
     scratch.drop(classes, buckets, leaders, star, texts, links, rest)
-    return own, homes
+    return own, homes, places
