@@ -30,11 +30,17 @@ def residuals(exps: DataFrame) -> DataFrame:
     return predicted(exps).withColumn("r", residual(F.col("e"), F.col("pred")))
 
 
-def diagonal_key(three: bool = False) -> list:
-    """Sort key of the wavefront: t + s, then profile and trace (or p + t + s in three dimensions)."""
-    if three:
-        return [F.col("p") + F.col("t") + F.col("s"), F.col("p"), F.col("t"), F.col("s")]
-    return [F.col("t") + F.col("s"), F.col("p"), F.col("t")]
+def places(voxels: DataFrame, front: Column) -> DataFrame:
+    """(p, t, s, place): each voxel's place in its wavefront, profiles first, then traces and samples.
+
+    A wavefront runs through all profiles, so cells are ranked inside of their profile's part of it,
+    and only the parts' sizes are summed along the wavefront."""
+    x = voxels.withColumn("front", front)
+    inside = F.row_number().over(Window.partitionBy("front", "p").orderBy("t", "s")) - 1
+    sizes = x.groupBy("front", "p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("front").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("front", "p", before.alias("before"))
+    return x.withColumn("inside", inside).join(sizes, ["front", "p"]).select("p", "t", "s", (F.col("inside") + F.col("before")).alias("place"))
 
 
 def profile_planes(traces: DataFrame, column: str = "e") -> DataFrame:

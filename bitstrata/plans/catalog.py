@@ -121,14 +121,15 @@ def bitplane_counts(spark, sf):
     return bitstats.plane_counts(vol(spark, sf))
 
 
-_IBM = """x AS (SELECT DISTINCT CAST(l_extendedprice AS FLOAT) AS v FROM lineitem), y AS (SELECT v, abs(CAST(v AS DOUBLE)) AS a FROM x),
+_IBM = """x AS (SELECT DISTINCT unnest([v, -v]) AS v FROM (SELECT CAST(l_extendedprice AS FLOAT) AS v FROM lineitem)), y AS (SELECT v, abs(CAST(v AS DOUBLE)) AS a FROM x),
 z AS (SELECT v, a, floor(log2(a) / 4) AS k FROM y), w AS (SELECT v, a, k + CASE WHEN floor(a / pow(16.0, k) * 16777216.0) >= 16777216 THEN 1 ELSE 0 END AS k FROM z),
 i AS (SELECT v, CASE WHEN v < 0 THEN 2147483648 ELSE 0 END + (CAST(k AS BIGINT) + 64) * 16777216 + CAST(floor(a / pow(16.0, k) * 16777216.0) AS BIGINT) AS word FROM w)"""
 
 
 @query("v:d3 word:l again:d3", f"{_IBM}\n--\nSELECT v, word, CAST((word & 16777215) / 16777216.0 * pow(16.0, ((word >> 24) & 127) - 64) AS FLOAT) AS again FROM i")
 def ibm_roundtrip(spark, sf):
-    x = table(spark, sf, "lineitem").select(F.col("l_extendedprice").cast("float").alias("v")).distinct()
+    v = F.col("l_extendedprice").cast("float")
+    x = table(spark, sf, "lineitem").select(F.explode(F.array(v, -v)).alias("v")).distinct()
     x = x.withColumn("word", B.ibm_word(F.col("v")))
     return x.withColumn("again", B.ibm_value(F.col("word")))
 
@@ -265,12 +266,13 @@ def residual_restore(spark, sf):
 @query("p:l t:l s:l place:l", f"{VOL}\n--\nSELECT p, t, s, row_number() OVER (PARTITION BY t + s ORDER BY p, t) - 1 AS place FROM vol")
 def diag_order(spark, sf):
     """Place of each voxel in its wavefront t + s: profiles first, then traces."""
-    return vol(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy(F.col("t") + F.col("s")).orderBy("p", "t")) - 1)
+    return neighbours.places(vol(spark, sf).select("p", "t", "s"), F.col("t") + F.col("s"))
 
 
 @query("p:l t:l s:l place:l", f"{VOL}\n--\nSELECT p, t, s, row_number() OVER (PARTITION BY p + t + s ORDER BY p, t, s) - 1 AS place FROM vol")
 def diag_order_3d(spark, sf):
-    return vol(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy(F.col("p") + F.col("t") + F.col("s")).orderBy("p", "t", "s")) - 1)
+    """The same on wavefronts p + t + s."""
+    return neighbours.places(vol(spark, sf).select("p", "t", "s"), F.col("p") + F.col("t") + F.col("s"))
 
 
 _CELLS = """, off AS (SELECT a.dt, b.ds, (a.dt + 4) * 17 + b.ds + 9 AS place FROM (SELECT CAST(x AS INTEGER) - 4 AS dt FROM range(9) r(x)) a, (SELECT CAST(x AS INTEGER) - 8 AS ds FROM range(17) r(x)) b),

@@ -276,3 +276,7 @@ def test_samples(spark):
     seg = spark.createDataFrame([("a", "train", 0, 1, 7), ("b", "test", 2, 2, 5000)], "segment_id string, split string, seg_start int, seg_end int, n int")
     found = planning.materialise(vol, seg).groupBy("segment_id").count().collect()
     assert {r.segment_id: r["count"] for r in found} == {"a": 7, "b": 1200}
+
+
+def test_ranges():
+    assert planning.parse_ranges("0-2,5") == [(0, 2), (5, 5)]
