@@ -126,7 +126,7 @@ z AS (SELECT v, a, floor(log2(a) / 4) AS k FROM y), w AS (SELECT v, a, k + CASE
 i AS (SELECT v, CASE WHEN v < 0 THEN 2147483648 ELSE 0 END + (CAST(k AS BIGINT) + 64) * 16777216 + CAST(floor(a / pow(16.0, k) * 16777216.0) AS BIGINT) AS word FROM w)"""
 
 
-@query("v:d3 word:l again:d3", f"{_IBM}\n--\nSELECT v, word, CAST((word & 16777215) / 16777216.0 * pow(16.0, ((word >> 24) & 127) - 64) AS FLOAT) AS again FROM i")
+@query("v:d3 word:l again:d3", f"{_IBM}\n--\nSELECT v, word, CAST(CASE WHEN word >= 2147483648 THEN -1 ELSE 1 END * (word & 16777215) / 16777216.0 * pow(16.0, ((word >> 24) & 127) - 64) AS FLOAT) AS again FROM i")
 def ibm_roundtrip(spark, sf):
     v = F.col("l_extendedprice").cast("float")
     x = table(spark, sf, "lineitem").select(F.explode(F.array(v, -v)).alias("v")).distinct()
