@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
-from bitstrata.llm import scratch
+from bitstrata.llm import scratch, sketches
 from bitstrata.llm.names import col, fresh, schema_of
 from bitstrata.llm.set_links import SLICE, Places, Wanted, linked
 
@@ -138,6 +138,8 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = lines.groupBy("g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = scratch.keep(first.select("g", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("at")), "first")
     gone = lines.join(first, "g").filter((F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("at")))
-    gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(out))
-    joined = docs.select(*[col(c) for c in keep]).join(gone, col(id_col).cast("long") == col(key), "left").drop(key)
+    gone = scratch.keep(gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(out)), "gone")
+    some, others = sketches.parted(docs.select(*[col(c) for c in keep]), col(id_col).cast("long"), gone, key)
+    joined = some.join(gone, col(id_col).cast("long") == col(key), "left").drop(key)
+    joined = joined.unionByName(others.withColumn(out, F.lit(None).cast("array<bigint>")))
     return joined.mapInArrow(_without(keep.index(text_col), len(keep)), schema_of(docs, keep, "n_lines long, n_kept long"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from bitstrata.llm import kernels as K
-from bitstrata.llm import scratch
+from bitstrata.llm import scratch, sketches
 from bitstrata.llm.names import col, fresh
 from bitstrata.llm.set_links import linked
 
@@ -42,8 +42,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are one document and stay or go together.  An empty table gives no rows."""
     found = near_duplicates(docs, id_col, text_col, **options)
     key, place = fresh(docs.columns, "gone", "place")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(key))
-    out = docs.join(gone, col(id_col).cast("long") == col(key), "left_anti")
+    gone = scratch.keep(found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)), "gone")
+    some, others = sketches.parted(docs, col(id_col).cast("long"), gone, key)
+    out = others.unionByName(some.join(gone, col(id_col).cast("long") == col(key), "left_anti"))
     if not found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
         plain = [col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
         w = Window.partitionBy(col(id_col), col(text_col)).orderBy(F.xxhash64(*plain))

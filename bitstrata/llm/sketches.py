@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
 
@@ -66,6 +67,20 @@ def bloom(df: DataFrame, column: str, n_bits: int) -> np.ndarray:
     return _gather(df.select(column), fill, merge, n_bits // 8, np.uint8)
 
 
+def parted(docs: DataFrame, ids: Column, found: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of `found`'s ids, rows that have none): the first are to be joined, the
+    second, and their texts, need no shuffle.  Null ids are among the second.  Only ids go to Python."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bloom(found, column, bits_for(found.count())))
+
+    @F.arrow_udf("boolean")
+    def may_be(x: pa.Array) -> pa.Array:
+        return pa.array(might_hold(shared.value, x.fill_null(0).to_numpy(zero_copy_only=False)) & x.is_valid().to_numpy(zero_copy_only=False))
+
+    flag = may_be(ids)
+    return docs.filter(flag), docs.filter(~flag)
+
+
 def estimate(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Upper estimates of how often each hash was counted."""
     return table[((hashes * _U(0x9E3779B97F4A7C15)) >> _U(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
