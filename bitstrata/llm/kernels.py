@@ -13,13 +13,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call works on; a longer single text is taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 #: Bytes whose powers are at hand; longer stretches are hashed piece by piece.
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -107,7 +107,7 @@ _tables: list[np.ndarray] = []
 def _tables_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64, at least n of each."""
     if not _tables or len(_tables[0]) < n:
-        size = min(_SPAN, max(1 << 17, 1 << (n - 1).bit_length()))
+        size = min(_SPAN, max(1 << 15, 1 << (n - 1).bit_length()))
         _tables[:] = [_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)]
     return _tables[0], _tables[1]
 

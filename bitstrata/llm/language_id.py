@@ -31,7 +31,7 @@ DIM = 2048
 MAX_FIT_ROWS = 3000
 CENTROIDS = 4
 #: Texts whose counts (16 kB each) are held at once.
-PIECE_ROWS = 1024
+PIECE_ROWS = 512
 #: A text is rejected below this part of the least cosine seen in its length class.
 REJECT_PART = 0.5
 _SHIFT = np.uint32(32 - 11)

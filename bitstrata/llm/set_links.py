@@ -43,7 +43,7 @@ SEED = 20250101
 #: Bytes a kernel call works on here: its 64-bit intermediates then stay in a core's cache.
 SLICE = 1 << 16
 #: Band keys that a task counts at once, and that a part has on average.
-KEYS_HELD, KEYS_A_PART = 1 << 21, 1 << 21
+KEYS_HELD, KEYS_A_PART = 1 << 20, 1 << 20
 #: (bytes, offsets) of texts -> (set values laid end to end, bounds)
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: integer ids -> which of them are asked for; None: all
