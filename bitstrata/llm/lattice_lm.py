@@ -51,6 +51,8 @@ from bitstrata.llm.names import col
 
 #: Bytes of text that are cut into words at once, and that share a list of words.
 SLICE_BYTES, CHUNK_BYTES = 4 << 20, 64 << 20
+#: Parts of the word table at least.
+PARTS = 16
 #: First probability of the end mark.
 FIRST_END = 1e-3
 ROUNDS = 3
@@ -92,6 +94,7 @@ class Lattice:
         self.log_p = np.concatenate([log_p, [-np.inf]])
         self.none = len(pieces)
         self.longest = max(map(len, pieces))
+        self.power = K._powers(K._BASE, self.longest)
         self.place = {x: i for i, x in enumerate(pieces)}
         lens = np.array([len(x) for x in pieces])
         raw = np.frombuffer(b"".join(pieces), np.uint8)
@@ -108,10 +111,10 @@ class Lattice:
         """(words, starts, lengths) hashes of all substrings of equally long words."""
         n, size = words.shape
         top = min(size, self.longest)
-        value, power = K._BYTE[words], K._powers(K._BASE, top)
+        value = K._BYTE[words]
         out = np.zeros((n, size, top), np.uint64)
         for m in range(top):
-            run = value[:, m:] * power[m]
+            run = value[:, m:] * self.power[m]
             out[:, : size - m, m] = run if m == 0 else out[:, : size - m, m - 1] + run
         return K.mix64(out)
 
@@ -349,12 +352,16 @@ def with_own_arc(log_spelt: np.ndarray, counts: np.ndarray, n: int, v: int) -> n
 
 
 def _answer(shared, plain: np.ndarray, n: int, v: int):
+    made: list[Lattice] = []  # one a task, for all its parts
+
     def run(key, table, asked):
         if not table.num_rows:
             return _ANSWER.empty_table()
         data, starts, ends, hashes = _spans_of(table.column("words")[0].as_py())
         counts = np.frombuffer(table.column("counts")[0].as_py(), np.int64)
-        spelt, plainly = Lattice(*shared.value).words(data, starts, ends, plain=plain)
+        if not made:
+            made.append(Lattice(*shared.value))
+        spelt, plainly = made[0].words(data, starts, ends, plain=plain)
         scores = with_own_arc(spelt, counts, n, v)
         order = np.argsort(hashes)
         hashes, counts, scores, plainly = hashes[order], counts[order], scores[order], plainly[order]
@@ -428,7 +435,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: s
     spark = docs.sparkSession
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), held_out.alias("held"), (~held_out & col(id_col).isNotNull()).alias("learn"), col(text_col).cast("string").alias("text"))
     ends_seen = rows.filter("learn").select("doc_id").count()
-    parts = max(16, min(1 << 16, rows.rdd.getNumPartitions() // 4))
+    parts = max(PARTS, min(1 << 16, rows.rdd.getNumPartitions() // 4))
     chunks = scratch.keep(rows.mapInArrow(_chunks(parts), _CHUNK), "chunks", compression="zstd")
     sent = chunks.filter("part >= 0").select("part", "chunk", "words", "counts")
     words = scratch.keep(sent.groupBy("part").applyInArrow(_merge, "part int, words binary, counts binary, n long, v long"), "words", compression="zstd")
@@ -438,7 +445,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: s
     pieces, p = load_pieces(vocabulary)
     log_p, log_end = np.log(p), np.log(FIRST_END)
     plain = log_p + np.log1p(-FIRST_END)
-    spread = words.repartition(parts, "part") if parts > 16 else words
+    # a part's words are few bytes and much work: parts are dealt out by number, not merged by size
+    spread = words.repartition(parts, "part")
     for _ in range(rounds if n else 0):
         uses = np.zeros(len(pieces))
         for r in spread.select("words", "counts").mapInArrow(_expect(spark.sparkContext.broadcast((pieces, log_p))), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
@@ -447,7 +455,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str, held_out: Column, id_col: s
         log_p, log_end = np.log((uses + SMOOTH) / whole), -float(np.log(whole))
     log_end = float(with_own_arc(np.array([log_end]), np.array([ends_seen]), n, v)[0])
 
-    answers = words.groupBy("part").cogroup(sent.drop("counts").groupBy("part")).applyInArrow(_answer(spark.sparkContext.broadcast((pieces, log_p)), plain, n, v), "chunk long, part int, counts binary, scores binary, plain binary")
+    answers = spread.groupBy("part").cogroup(sent.drop("counts").repartition(parts, "part").groupBy("part")).applyInArrow(_answer(spark.sparkContext.broadcast((pieces, log_p)), plain, n, v), "chunk long, part int, counts binary, scores binary, plain binary")
     own = chunks.filter("part < 0").select("chunk", "ids", "held", "bounds", "places", "n_words")
     out = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_add_up(n, v, ends_seen, log_end), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, plain_score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "plain_score")
