@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bitstrata.llm import huffman, language_id, lattice_lm, queries, subwords
+from bitstrata.llm import huffman, language_id, lattice_lm, queries, subwords, topk_search
 from bitstrata.llm.components import components
 from bitstrata.llm.decontaminate import contaminated
 from bitstrata.llm.lattice_lm import DISCOUNT, Lattice, lattice_scores, load_pieces
@@ -331,6 +331,20 @@ def test_top_k(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_sends_no_copies_to_the_driver(spark, monkeypatch):
+    """Many groups, each with a copy of all queries: their copies stay bounded and are not broadcast."""
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 8)
+    monkeypatch.setattr(topk_search, "FREE_GROUPS", 2)
+    x = np.random.default_rng(4).integers(-9, 10, (400, 6))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((x / 256).tolist())], "vec_id long, embedding array<double>")
+    found = top_k(df, F.col("vec_id") % 20 == 0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"sequence\(0, 39", found._jdf.queryExecution().analyzed().toString())
+    want = {(q, k + 1, i, -s) for q in range(0, 400, 20) for k, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in range(400) if i != q)[:5])}
+    assert {tuple(r) for r in found.collect()} == want
+
+
 # ---------------------------------------------------------------- 8
 
 
