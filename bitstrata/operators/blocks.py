@@ -23,16 +23,33 @@ from bitstrata.operators import coders, lanes
 LANE_CELLS = 2048
 
 
-def plane_of(traces: pa.Table, column: str) -> np.ndarray:
-    """(p, t, s) array of trace rows with their values' list, in order; a gap is an error."""
-    p, t = traces.column("p").to_numpy(), traces.column("t").to_numpy()
+def ordered(traces: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(p, t, lengths, values) of trace rows with their values' list, in order of (p, t), the
+    values end to end.  Any trace may be absent and of any length; a trace given twice is an error."""
+    traces = traces.select(["p", "t", column]).combine_chunks().sort_by([("p", "ascending"), ("t", "ascending")])
+    p, t = (traces.column(c).to_numpy().astype(np.int32) for c in ("p", "t"))
+    if ((p[1:] == p[:-1]) & (t[1:] == t[:-1])).any():
+        raise ValueError("a block has a trace twice")
     lists = traces.column(column).combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    n_p, n_t = int(p.max() - p.min()) + 1, int(t.max()) + 1
-    if n_p * n_t != len(p) or len(flat) % len(p):
-        raise ValueError("a block has gaps, or traces of different length")
-    order = np.lexsort((t, p))
-    return flat.reshape(len(p), -1)[order].reshape(n_p, n_t, -1)
+    return p, t, lists.value_lengths().fill_null(0).to_numpy().astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def planes_of(traces: pa.Table, column: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(first profile, trace numbers, (p, t, s) array) of the boxes that trace rows make: profiles
+    in a row with the same traces, all of one length, are one box.  Empty traces are in none."""
+    p, t, n, flat = ordered(traces, column)
+    ends = np.cumsum(n)
+    at = np.flatnonzero(n)
+    cut = np.flatnonzero((p[at][1:] != p[at][:-1]) | (n[at][1:] != n[at][:-1])) + 1
+    out: list[tuple[int, np.ndarray, list[np.ndarray]]] = []
+    for rows in np.split(at, cut) if len(at) else []:
+        own, a, b = t[rows], rows[0], rows[-1]
+        plane = flat[ends[a] - n[a] : ends[b]].reshape(len(rows), -1)
+        if out and out[-1][0] + len(out[-1][2]) == p[a] and np.array_equal(out[-1][1], own) and out[-1][2][0].shape == plane.shape:
+            out[-1][2].append(plane)
+        else:
+            out.append((int(p[a]), own, [plane]))
+    return [(first, own, np.stack(planes)) for first, own, planes in out]
 
 
 def _wavefronts(n_t: int, n_s: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -164,12 +181,14 @@ def decode_hybrid(blob: bytes, freq: np.ndarray) -> np.ndarray:
     return block
 
 
-_CODED = pa.schema([("block", pa.int32()), ("first_p", pa.int32()), ("n", pa.int64()), ("inside", pa.int64()), ("blob", pa.binary())])
-CODED = "block int, first_p int, n long, inside long, blob binary"
+_CODED = pa.schema([("block", pa.int32()), ("first_p", pa.int32()), ("traces", pa.list_(pa.int32())), ("n", pa.int64()), ("inside", pa.int64()), ("blob", pa.binary())])
+CODED = "block int, first_p int, traces array<int>, n long, inside long, blob binary"
 
 
 def encode_blocks(traces: DataFrame, freq: np.ndarray, codec: str = "diag", per_block: int = 16, rects: DataFrame | None = None) -> DataFrame:
-    """(block, first_p, n, inside, blob) of trace rows (p, t, e array): a stream for each `per_block` profiles.
+    """(block, first_p, traces, n, inside, blob) of trace rows (p, t, e array): a stream for each
+    `per_block` profiles, or for each box of them where profiles differ in their traces
+    (`planes_of`); `traces` are a box's trace numbers, null if they count from 0.
 
     `rects` (p, left, right) bounds what the model codes with `raster` and `hybrid`; a
     profile without one is coded whole."""
@@ -181,20 +200,19 @@ def encode_blocks(traces: DataFrame, freq: np.ndarray, codec: str = "diag", per_
         rows = rows.withColumns({"left": F.lit(None).cast("int"), "right": F.lit(None).cast("int")})
 
     def run(key, table):
-        block = plane_of(table, "e")
-        first = int(table.column("p").to_numpy().min())
-        own = np.array([[0, block.shape[1]]] * len(block))
-        for p, a, b in zip(*(table.column(c).to_pylist() for c in ("p", "left", "right")), strict=True):
-            if a is not None:
-                own[p - first] = (a, max(a, b))
-        if codec == "diag":
-            blob = encode_diag(block, shared.value)
-        elif codec == "raster":
-            blob = encode_raster(block, shared.value, own)
-        else:
-            blob = encode_hybrid(block, shared.value, own)
-        inside = block.size if codec == "diag" else int((own[:, 1] - own[:, 0]).sum()) * block.shape[2]
-        return pa.table({"block": [key[0].as_py()], "first_p": [first], "n": [block.size], "inside": [inside], "blob": [blob]}, schema=_CODED)
+        bounds = {p: (a, max(a, b)) for p, a, b in zip(*(table.column(c).to_pylist() for c in ("p", "left", "right")), strict=True) if a is not None}
+        out = []
+        for first, t, block in planes_of(table, "e"):
+            own = np.array([np.searchsorted(t, bounds[p]) if p in bounds else (0, len(t)) for p in range(first, first + len(block))])
+            if codec == "diag":
+                blob = encode_diag(block, shared.value)
+            elif codec == "raster":
+                blob = encode_raster(block, shared.value, own)
+            else:
+                blob = encode_hybrid(block, shared.value, own)
+            inside = block.size if codec == "diag" else int((own[:, 1] - own[:, 0]).sum()) * block.shape[2]
+            out.append({"block": key[0].as_py(), "first_p": first, "traces": None if t[-1] == len(t) - 1 else t.tolist(), "n": block.size, "inside": inside, "blob": blob})
+        return pa.Table.from_pylist(out, schema=_CODED)
 
     return rows.withColumn("block", F.floor(F.col("p") / per_block).cast("int")).groupBy("block").applyInArrow(run, CODED)
 
@@ -205,14 +223,15 @@ def decode_blocks(coded: DataFrame, freq: np.ndarray, codec: str = "diag") -> Da
 
     def run(batches):
         for b in batches:
-            for first, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for first, traces, blob in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 block = decode_diag(blob, shared.value) if codec == "diag" else decode_raster(blob, shared.value)[0] if codec == "raster" else decode_hybrid(blob, shared.value)
                 n_p, n_t, n_s = block.shape
                 off = pa.array(np.arange(n_p * n_t + 1, dtype=np.int32) * n_s)
                 p, t = np.divmod(np.arange(n_p * n_t, dtype=np.int32), np.int32(n_t))
+                t = t if traces is None else np.array(traces, np.int32)[t]
                 yield pa.RecordBatch.from_arrays([pa.array(p + np.int32(first)), pa.array(t), pa.ListArray.from_arrays(off, pa.array(block.astype(np.int32).ravel()))], names=["p", "t", "e"])
 
-    return coded.select("first_p", "blob").mapInArrow(run, "p int, t int, e array<int>")
+    return coded.select("first_p", "traces", "blob").mapInArrow(run, "p int, t int, e array<int>")
 
 
 def exponent_traces(traces: DataFrame) -> DataFrame:

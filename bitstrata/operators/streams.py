@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitstrata.operators.blocks import plane_of
+from bitstrata.operators.blocks import ordered
 
 #: Levels of the general streams, of the run-length streams, and of xz.
 ZSTD_LEVEL, RLE_LEVEL, XZ_PRESET = 9, 3, 6
@@ -125,7 +125,7 @@ def sizes(traces: DataFrame, per_block: int = 16, longest: int | None = None) ->
     all blocks store lengths alike."""
 
     def run(key, table):
-        words = words_of(plane_of(table, "samples"))
+        words = words_of(ordered(table, "samples")[3])
         raw, out = raw_streams(words, longest), []
         for part, method, place, streams, pack in CANDIDATES:
             began = time.perf_counter()
@@ -141,7 +141,7 @@ def digests(traces: DataFrame, per_block: int = 16) -> DataFrame:
     values' signs and mantissas come back from it."""
 
     def run(key, table):
-        words = words_of(plane_of(table, "samples"))
+        words = words_of(ordered(table, "samples")[3])
         raw, m, n = raw_streams(words), words & 0x7FFFFF, len(words)
         mid = m >> 4 & 0x7FFF
         same = [
@@ -188,20 +188,21 @@ def estimated_exponent_bytes(n: int, nll_bits: float) -> float:
 
 # ------------------------------------------------------------ whole values
 
-_PACKED = pa.schema([("block", pa.int32()), ("first_p", pa.int32()), ("shape", pa.list_(pa.int32())), ("sign", pa.binary()), ("mantissa", pa.binary())])
+_PACKED = pa.schema([("block", pa.int32()), ("traces", pa.binary()), ("sign", pa.binary()), ("mantissa", pa.binary())])
 
 
 def pack_values(traces: DataFrame, per_block: int = 16, level: int = 1) -> DataFrame:
-    """(block, first_p, shape, sign, mantissa): zlib streams of sign bits (highest first) and
-    three-byte mantissas; exponents are coded beside them (`blocks.encode_blocks`)."""
+    """(block, traces, sign, mantissa): zlib streams of (p, t, length) of each trace, column by
+    column, of sign bits (highest first) and of three-byte mantissas; exponents are coded beside
+    them (`blocks.encode_blocks`)."""
 
     def run(key, table):
-        block = plane_of(table, "samples")
-        words = words_of(block)
-        sign, m = np.packbits((words >> 31).astype(np.uint8)).tobytes(), three_bytes(words & 0x7FFFFF)
-        return pa.Table.from_pylist([{"block": key[0].as_py(), "first_p": int(table.column("p").to_numpy().min()), "shape": list(block.shape), "sign": zlib.compress(sign, level), "mantissa": zlib.compress(m, level)}], schema=_PACKED)
+        p, t, n, flat = ordered(table, "samples")
+        words = words_of(flat)
+        streams = np.stack([p, t, n]).astype("<i4").tobytes(), np.packbits((words >> 31).astype(np.uint8)).tobytes(), three_bytes(words & 0x7FFFFF)
+        return pa.table([[key[0].as_py()], *([zlib.compress(x, level)] for x in streams)], schema=_PACKED)
 
-    return _blocked(traces, per_block).groupBy("block").applyInArrow(run, "block int, first_p int, shape array<int>, sign binary, mantissa binary")
+    return _blocked(traces, per_block).groupBy("block").applyInArrow(run, "block int, traces binary, sign binary, mantissa binary")
 
 
 def unpack_values(packed: DataFrame, exponents: DataFrame) -> DataFrame:
@@ -209,13 +210,12 @@ def unpack_values(packed: DataFrame, exponents: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for first, shape, sign, mantissa in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                n_p, n_t, n_s = shape
-                n = n_p * n_t * n_s
-                s = np.unpackbits(np.frombuffer(zlib.decompress(sign), np.uint8))[:n].astype(np.uint32)
+            for traces, sign, mantissa in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                p, t, size = np.frombuffer(zlib.decompress(traces), "<i4").reshape(3, -1)
+                off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                s = np.unpackbits(np.frombuffer(zlib.decompress(sign), np.uint8))[: off[-1]].astype(np.uint32)
                 x = (s << 31 | from_three_bytes(zlib.decompress(mantissa))).view(np.int32)
-                p, t = np.divmod(np.arange(n_p * n_t, dtype=np.int32), np.int32(n_t))
-                yield pa.RecordBatch.from_arrays([pa.array(p + np.int32(first)), pa.array(t), pa.ListArray.from_arrays(pa.array(np.arange(n_p * n_t + 1, dtype=np.int32) * n_s), pa.array(x))], names=["p", "t", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(t), pa.ListArray.from_arrays(pa.array(off), pa.array(x))], names=["p", "t", "rest"])
 
     def join(batches):
         for b in batches:
@@ -224,7 +224,7 @@ def unpack_values(packed: DataFrame, exponents: DataFrame) -> DataFrame:
             off = e.offsets.to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(off - off[0]), pa.array(bits.astype(np.int32)).view(pa.float32()))], names=["p", "t", "samples"])
 
-    rest = packed.select("first_p", "shape", "sign", "mantissa").mapInArrow(run, "p int, t int, rest array<int>")
+    rest = packed.select("traces", "sign", "mantissa").mapInArrow(run, "p int, t int, rest array<int>")
     both = exponents.select("p", "t", "e").join(rest, ["p", "t"])
     return both.select("p", "t", "e", "rest").mapInArrow(join, "p int, t int, samples array<float>")
 

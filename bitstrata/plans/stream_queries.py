@@ -13,8 +13,9 @@ PER_BLOCK = 16
 
 
 def traces(spark, sf):
+    """Trace rows of the volume; a vector without values is no trace."""
     n = F.lit(TRACES)
-    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / n).cast("int").alias("p"), (F.col("vec_id") % n).cast("int").alias("t"), F.col("embedding").alias("samples"))
+    return table(spark, sf, "embeddings").filter(F.size("embedding") > 0).select(F.floor(F.col("vec_id") / n).cast("int").alias("p"), (F.col("vec_id") % n).cast("int").alias("t"), F.col("embedding").alias("samples"))
 
 
 def _model(spark, sf):
