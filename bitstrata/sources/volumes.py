@@ -25,6 +25,16 @@ def exponents(volume: DataFrame) -> DataFrame:
     return volume.select("p", "t", "s", exponent(F.col("bits")).alias("e"))
 
 
+def padded(exps: DataFrame, profiles: int, traces: int, samples: int) -> DataFrame:
+    """`exps` (p, t, s, e) and a 0 for each cell that it lacks of `profiles` whole profiles."""
+    n = exps.groupBy(F.col("p").alias("q")).agg(F.count("*").alias("n"))
+    every = exps.sparkSession.range(profiles).select(F.col("id").cast("int").alias("p"))
+    short = every.join(n, F.col("p") == F.col("q"), "left").filter(F.coalesce("n", F.lit(0)) < traces * samples)
+    cells = short.select("p", F.explode(F.sequence(F.lit(0), F.lit(traces - 1))).alias("t")).select("p", "t", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
+    lacking = cells.join(exps.select("p", "t", "s"), ["p", "t", "s"], "left_anti").withColumn("e", F.lit(0))
+    return exps.select("p", "t", "s", "e").unionByName(lacking)
+
+
 def raw_volume(spark: SparkSession, uri: str, traces_per_profile: int, samples_per_trace: int) -> DataFrame:
     """Trace rows (p, t, samples) of little-endian float32 files, read by byte ranges."""
     n = F.lit(traces_per_profile)
