@@ -1,6 +1,7 @@
 """Coded streams, whole-volume codecs, raw blocks, manifests, patches and the network against plain restatements."""
 
 import json
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -129,6 +130,22 @@ def test_matches(data):
     assert codecs.un_run_length(codecs.run_length(data)) == data
 
 
+def test_matches_take_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(300)]
+    text = lambda n: b" ".join(words[k] for k in rng.integers(0, 300, n))
+    texts = [text(3000) for _ in range(150)] + [text(60_000)]  # 2.9 MB, the last longer than a stretch
+    tracemalloc.start()
+    got = codecs.match_copy_many(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20 and [codecs.un_match_copy(x) for x in got[-3:]] == texts[-3:]
+    monkeypatch.setattr(codecs, "STRETCH", 1 << 30)
+    assert [len(x) for x in got[-3:]] == [len(x) for x in codecs.match_copy_many(texts[-3:])]
+    monkeypatch.setattr(codecs, "STRETCH", 40_000)
+    assert [zlib.decompress(x) for x in codecs.match_copy_many(texts[-2:])] == [zlib.decompress(x) for x in got[-2:]]
+
+
 # ------------------------------------------------------------ raw files and manifests
 
 
