@@ -8,9 +8,11 @@ k-means, and a text takes the language of the centroid with the largest cosine.
 It is rejected if that cosine is far below what training texts of its length
 reach.
 
-Document frequencies cover every training row.  The centroids are fitted on a
-bounded sample (`MAX_FIT_ROWS` rows in all, chosen by a hash of the id), which is
-what reaches the driver.  Prediction is one pass over the text without a shuffle.
+Document frequencies, centroids and limits cover every training row: k-means only
+starts from a bounded sample (`MAX_FIT_ROWS` rows in all, chosen by a hash of the id),
+which is what reaches the driver; each of `ROUNDS` passes over all training rows then
+makes every centroid the mean of the rows nearest to it, and one more pass counts the
+cosines that the limits come from.  Prediction is one pass over the text without a shuffle.
 """
 
 from __future__ import annotations
@@ -32,8 +34,13 @@ MAX_FIT_ROWS = 3000
 CENTROIDS = 4
 #: Texts whose counts (16 kB each) are held at once.
 PIECE_ROWS = 512
-#: A text is rejected below this part of the least cosine seen in its length class.
-REJECT_PART = 0.5
+#: Passes of k-means over all training rows.
+ROUNDS = 3
+#: A text is rejected below this part of the cosine that all but this share of its length class's
+#: training rows reach; cosines are counted in so many bins.
+REJECT_PART, REJECT_SHARE, BINS = 0.5, 1e-3, 4096
+#: Sums of vectors are whole numbers of this part of one, so they don't depend on their order.
+UNIT = 1 << 24
 _SHIFT = np.uint32(32 - 11)
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -121,6 +128,53 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return c
 
 
+def _slots(values: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(values)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(values[at])], names=["slot", "n"])
+
+
+def _nearest(shared, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(vectors, length classes, nearest centroid of the row's own language, its cosine) of (lang, text) rows."""
+    langs, idf, centroids, lang_of = shared.value
+    own = np.array([langs[x] for x in batch.column(0).to_pylist()], np.int64)
+    for i, j, counts, total in term_counts(batch.column(1)):
+        x = _vectors(counts, idf)
+        cos = np.where(lang_of == own[i:j, None], x @ centroids.T, -1.0)
+        best = cos.argmax(1)
+        yield x, _length_class(total), best, cos[np.arange(j - i), best]
+
+
+def _centroid_sums(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shared.value[2].shape, np.int64)
+        for batch in batches:
+            for x, _, best, _ in _nearest(shared, batch):
+                whole = np.rint(x * np.float32(UNIT)).astype(np.int64)
+                for g in np.unique(best):
+                    sums[g] += whole[best == g].sum(0)
+        yield _slots(sums.ravel())
+
+    return run
+
+
+def _cosine_counts(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(24 * BINS, np.int64)
+        for batch in batches:
+            for _, size, _, cos in _nearest(shared, batch):
+                n += np.bincount(size * BINS + np.clip(cos * BINS, 0, BINS - 1).astype(np.int64), minlength=len(n))
+        yield _slots(n)
+
+    return run
+
+
+def _over_all(train: DataFrame, run, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r in train.select("lang", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r.slot] = r.n
+    return out
+
+
 def fit(train: DataFrame, max_rows: int = MAX_FIT_ROWS, centroids: int = CENTROIDS) -> Model:
     """train: (id long, text string, lang string), nothing null."""
     spark = train.sparkSession
@@ -165,16 +219,22 @@ def fit(train: DataFrame, max_rows: int = MAX_FIT_ROWS, centroids: int = CENTROI
         c = _cluster(v[labels == lang], centroids, rng)
         parts.append(c)
         lang_of += [g] * len(c)
-    c = np.concatenate(parts)
-    best, size = (v @ c.T).max(1), _length_class(counts.astype(np.int64).sum(1))
+    c, lang_of = np.concatenate(parts).astype(np.float32), np.array(lang_of)
+    where = {lang: g for g, lang in enumerate(langs)}
+    share = lambda: spark.sparkContext.broadcast((where, idf, c, lang_of))
+    for _ in range(ROUNDS):
+        sums = _over_all(train, _centroid_sums(share()), c.size).reshape(c.shape) / UNIT
+        some = sums.any(1)  # one that no row is nearest to stays where it is
+        c[some] = sums[some] / np.maximum(np.linalg.norm(sums[some], axis=1, keepdims=True), 1e-12)
+    seen = _over_all(train, _cosine_counts(share()), 24 * BINS).reshape(24, BINS)
     floor = np.zeros(24, np.float32)
     least = 1.0
     for k in range(23, -1, -1):  # a shorter text never has to be nearer than a longer one
-        if (size == k).any():
-            least = min(least, float(best[size == k].min()))
+        if seen[k].any():
+            least = min(least, float(np.searchsorted(np.cumsum(seen[k]), REJECT_SHARE * seen[k].sum(), "right")) / BINS)
         floor[k] = REJECT_PART * least
-    floor[: int(size.min())] = 0.0  # no evidence on texts as short as these
-    return Model(langs, idf, c.astype(np.float32), np.array(lang_of), floor)
+    floor[: int(np.flatnonzero(seen.any(1))[0])] = 0.0  # no evidence on texts as short as these
+    return Model(langs, idf, c, lang_of, floor)
 
 
 def _predict(shared, at: int, drop: bool, out: list[str]):
@@ -212,7 +272,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     `train` marks the rows to learn from; those with a null id, text or label, or
     without a letter, never are.  Of each language at most its equal part of
     `MAX_FIT_ROWS` rows (one at least), those with the least hash of id and text, are
-    what the centroids are fitted on.  A text that is null, empty or has no letter is
+    what the centroids start from; all training rows then move them and set the limits.  A text that is null, empty or has no letter is
     `und`, score 0, rejected.  Without training rows every text is.  Repeated ids
     and texts are separate rows.  An empty table gives no rows.  `names` are those of the
     three new columns; a carried column of such a name is replaced, so a caller that

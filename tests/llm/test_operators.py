@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,21 @@ def test_line_dedup(spark, empty):
 # ---------------------------------------------------------------- 6
 
 
+def test_languages_are_learnt_from_all_rows(spark):
+    """One start row a language: centroids are means over all rows, whatever their order or parts."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(["stone water", "bread mill", "quick fox", "hill top", "grey lake"], k=12)), "en") for k in range(60)]
+    rows += [(k, " ".join(rng.choices(["straße über", "mühle brot", "fuchs grün", "kleiner hügel", "see grau"], k=12)), "de") for k in range(60, 120)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    one = language_id.fit(df.repartition(3), max_rows=2)
+    two = language_id.fit(df.orderBy(F.desc("id")).coalesce(1), max_rows=2)
+    assert one.langs == two.langs == ["de", "en"] and np.abs(one.centroids - two.centroids).max() < 1e-6 and (one.floor == two.floor).all()
+    for g, lang in enumerate(one.langs):
+        texts = pa.array([t for _, t, x in rows if x == lang])
+        mean = np.concatenate([language_id._vectors(c, one.idf) for _, _, c, _ in language_id.term_counts(texts)]).sum(0)
+        assert np.abs(one.centroids[g] - mean / np.linalg.norm(mean)).max() < 1e-5
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(0, 400)]
