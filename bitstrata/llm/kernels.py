@@ -7,7 +7,8 @@ six ASCII white-space characters, compared with A-Z lower-cased.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,29 @@ _SALT = 0x2545F4914F6CDD1D
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, which a worker that stays alive else keeps."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def trimming(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, with free memory given back after every batch that it reads, and at its end."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                trim()
+
+        yield from run(read())
+        trim()
+
+    return trimmed
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x ^ (x >> _U(30))

@@ -170,7 +170,7 @@ def _cosine_counts(shared):
 
 def _over_all(train: DataFrame, run, size: int) -> np.ndarray:
     out = np.zeros(size, np.int64)
-    for r in train.select("lang", "text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+    for r in train.select("lang", "text").mapInArrow(K.trimming(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         out[r.slot] = r.n
     return out
 
@@ -178,7 +178,7 @@ def _over_all(train: DataFrame, run, size: int) -> np.ndarray:
 def fit(train: DataFrame, max_rows: int = MAX_FIT_ROWS, centroids: int = CENTROIDS) -> Model:
     """train: (id long, text string, lang string), nothing null."""
     spark = train.sparkSession
-    stats = train.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    stats = train.select("text").mapInArrow(K.trimming(_document_frequencies), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1, np.int64)
     for r in stats:
         df[r.slot + 1] = r.n
@@ -287,4 +287,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     apart = [] if text_col in own else [col(text_col).cast("string").alias(fresh(own, "text")[0])]
     at = own.index(text_col) if text_col in own else len(own)
     schema = schema_of(docs, own, f"{quoted(names[0])} string, {quoted(names[1])} double, {quoted(names[2])} boolean")
-    return docs.select(*[col(c) for c in own], *apart).mapInArrow(_predict(shared, at, bool(apart), list(names)), schema)
+    return docs.select(*[col(c) for c in own], *apart).mapInArrow(K.trimming(_predict(shared, at, bool(apart), list(names))), schema)

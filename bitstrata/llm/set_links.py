@@ -137,7 +137,7 @@ def _shared_keys(key, table):
 def _shared(classes: DataFrame, names: list[str]) -> DataFrame:
     """(band, members) of the band keys that several sets have; parts grow with the number of keys."""
     parts = max(16, min(1 << 20, -(-classes.count() * len(names) // KEYS_A_PART)))
-    dealt = classes.select(*names).mapInArrow(_key_counts(parts), "part long, keys binary, counts binary")
+    dealt = classes.select(*names).mapInArrow(K.trimming(_key_counts(parts)), "part long, keys binary, counts binary")
     return dealt.groupBy("part").applyInArrow(_shared_keys, "band long, members long")
 
 
@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, kernel: Kernel, num: int, den:
     one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "ta", "tb").mapInArrow(_confirm(kernel, num, den), "a long, b long")
+    return pairs.join(two, "b").join(one, "a").filter(near).select("a", "b", "ta", "tb").mapInArrow(K.trimming(_confirm(kernel, num, den)), "a long, b long")
 
 
 def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_perm: int, band_rows: int, items: Items = plain_items, loose: Kernel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -234,7 +234,7 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
     spark = source.sparkSession
     names = _band_names(n_perm, band_rows)
     columns = "id long, n long, fp_hi long, fp_lo long, " + ", ".join(f"{b} long" for b in names)
-    sig = scratch.keep(source.mapInArrow(_signatures(items, loose or kernel, n_perm, band_rows), columns), "signatures", compression="none")
+    sig = scratch.keep(source.mapInArrow(K.trimming(_signatures(items, loose or kernel, n_perm, band_rows)), columns), "signatures", compression="none")
     made = sig.filter("fp_lo is not null")  # the other rows are places
     full = made.filter("n > 0 and id is not null")
     classes = scratch.keep(full.groupBy("fp_hi", "fp_lo", "n").agg(F.min("id").alias("rep"), *(F.max(b).alias(b) for b in names)), "classes", compression="none")
@@ -245,7 +245,7 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
 
     shared = scratch.keep(_shared(classes, names), "shared")
     bloom = sketches.bloom(shared, "band", sketches.bits_for(shared.count()))
-    keyed = classes.select("rep", *names).mapInArrow(_shared_bands(spark.sparkContext.broadcast(bloom)), "band long, node long")
+    keyed = classes.select("rep", *names).mapInArrow(K.trimming(_shared_bands(spark.sparkContext.broadcast(bloom))), "band long, node long")
     buckets = scratch.keep(keyed.join(shared, "band").select("band", "node", "members"), "buckets")
     scratch.drop(shared)
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
@@ -256,7 +256,7 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
 
     nodes = buckets.select("node").distinct()
     bloom = sketches.bloom(nodes, "node", sketches.bits_for(nodes.count()))
-    met = source.mapInArrow(_candidates(items, kernel, spark.sparkContext.broadcast(bloom)), "node long, n long, text string")
+    met = source.mapInArrow(K.trimming(_candidates(items, kernel, spark.sparkContext.broadcast(bloom))), "node long, n long, text string")
     texts = scratch.keep(met.repartition("node").dropDuplicates(["node", "text"]), "candidates")
 
     links = scratch.keep(_verified(star, texts, kernel, link_num, link_den), "links")
@@ -270,7 +270,7 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
     if not rest.isEmpty():
         members = rest.join(texts, "node").select("node", "n", "component", "text")
         counts = spark.sparkContext.broadcast(sketches.counts(members, "text", lambda column: _rows(kernel, column), sketches.cells_for(int(members.agg(F.sum("n")).first()[0] or 0))))
-        prefix = members.mapInArrow(_rare_prefixes(kernel, link_num, link_den, counts), "token long, pos long, node long, n long, component long")
+        prefix = members.mapInArrow(K.trimming(_rare_prefixes(kernel, link_num, link_den, counts)), "token long, pos long, node long, n long, component long")
         prefix = scratch.keep(prefix, "prefixes")
         open_tokens = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
         prefix = prefix.join(open_tokens, "token", "left_semi")
