@@ -145,14 +145,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     if text_col not in keep:
         raise ValueError(f"{text_col} is not a column of the documents beside {hits_col}")
     if blocks == 1:
-        out = own.mapInArrow(_flag(spark.sparkContext.broadcast(next(found)), keep.index(text_col), hits_col), schema_of(docs, keep, f"{quoted(hits_col)} {HITS}"))
+        out = own.mapInArrow(K.trimming(_flag(spark.sparkContext.broadcast(next(found)), keep.index(text_col), hits_col)), schema_of(docs, keep, f"{quoted(hits_col)} {HITS}"))
         next(found, None)
         return out
     key = [F.xxhash64(col(id_col), col(text_col)), F.xxhash64(F.lit(1), col(text_col), col(id_col))]
     texts, tables = docs.select(*[k.alias(n) for k, n in zip(key, "ab", strict=True)], col(text_col).alias("text")), []
     for index in found:
         shared = spark.sparkContext.broadcast(index)
-        hits = texts.mapInArrow(_flag(shared, 2, "hits"), f"a long, b long, text string, hits {HITS}").filter("size(hits) > 0").select("a", "b", "hits")
+        hits = texts.mapInArrow(K.trimming(_flag(shared, 2, "hits")), f"a long, b long, text string, hits {HITS}").filter("size(hits) > 0").select("a", "b", "hits")
         tables.append(scratch.keep(hits, "hits"))
         shared.destroy()
     # a document has hits in few blocks; rows equal in id and text have the same

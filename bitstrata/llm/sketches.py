@@ -119,7 +119,7 @@ def _segments(values: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
 
 def _gather(df: DataFrame, fill, merge, length: int, dtype) -> np.ndarray:
     out = np.zeros(length, dtype)
-    parts = df.mapInArrow(fill, "segment int, part binary").groupBy("segment").applyInArrow(merge, "segment int, part binary")
+    parts = df.mapInArrow(K.trimming(fill), "segment int, part binary").groupBy("segment").applyInArrow(merge, "segment int, part binary")
     for row in parts.toLocalIterator():
         out[row.segment * _SEGMENT : row.segment * _SEGMENT + len(row.part) // out.itemsize] = np.frombuffer(bytes(row.part), dtype)
     return out

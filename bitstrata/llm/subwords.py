@@ -23,6 +23,8 @@ from bitstrata.llm import kernels as K
 #: Distinct words that a worker remembers before it starts afresh.
 MEMO = 600_000
 SLICE = 2 << 20
+#: Bytes whose ids are made at once; spans, hashes and their order take some 40 times as much.
+IDS_SLICE = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -118,7 +120,8 @@ class WordIds:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.place: dict[int, int] = {}
+        # hashes of the words that are known, in order, and their places: twelve bytes a word
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.parts: dict[str, list[int]] = {}
         self.starts, self.lens, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.words = self.used = 0
@@ -137,7 +140,7 @@ class WordIds:
     def part(self, raw: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize(stand_in(raw))]
 
-    def _learn(self, key: int, raw: bytes, whole: bool) -> int:
+    def _learn(self, raw: bytes, whole: bool) -> None:
         ids = self.word(raw.decode()) if whole else self.part(raw)
         if self.words == len(self.starts):
             self.starts, self.lens = np.resize(self.starts, 2 * self.words), np.resize(self.lens, 2 * self.words)
@@ -145,27 +148,36 @@ class WordIds:
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[self.words], self.lens[self.words] = self.used, len(ids)
-        self.place[key] = self.words
         self.used += len(ids)
         self.words += 1
-        return self.words - 1
+
+    def _places(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Places of the words with these hashes, which are distinct and in order; new ones are learnt."""
+        if self.words > MEMO:
+            self._fresh()
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != hashes
+        if new.any():
+            first = self.words
+            for a, b, whole in zip(starts[new].tolist(), ends[new].tolist(), odd[new].tolist(), strict=True):
+                self._learn(raw[a:b], whole)
+            self.keys = np.insert(self.keys, at[new], hashes[new])
+            self.place = np.insert(self.place, at[new], np.arange(first, self.words, dtype=np.int32))
+            at += np.cumsum(new) - new
+        return self.place[at]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, bounds) of consecutive slices of a text column."""
-        for i, j, data, offsets in K.pieces(column, SLICE):
+        for i, j, data, offsets in K.pieces(column, IDS_SLICE):
             if self.known:
                 text, starts, ends, bounds, odd = parts(data, offsets)
             else:
                 text, (starts, ends, bounds) = data, K.word_spans(data, offsets)
                 odd = np.ones(len(starts), bool)
             hashes, where, back = np.unique(K.span_hashes(text, starts, ends), return_index=True, return_inverse=True)
-            if self.words > MEMO:
-                self._fresh()
-            get, at, raw = self.place.get, [], text.tobytes()
-            for key, a, b, whole in zip(hashes.tolist(), starts[where].tolist(), ends[where].tolist(), odd[where].tolist(), strict=True):
-                p = get(key)
-                at.append(self._learn(key, raw[a:b], whole) if p is None else p)
-            slot = np.array(at, np.int64)[back] if at else np.zeros(0, np.int64)
+            slot = self._places(hashes, text.tobytes(), starts[where], ends[where], odd[where])[back]
             lens = self.lens[slot]
             last = np.cumsum(lens)
             ids = self.flat[np.repeat(self.starts[slot] - last + lens, lens) + np.arange(int(last[-1]) if len(last) else 0)]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitstrata.llm import huffman as H
+from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch
 from bitstrata.llm.subwords import word_ids
 
@@ -124,14 +125,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col:
     size = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end_id + 1)
     width = "<u2" if size <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = scratch.keep(rows.mapInArrow(_tokenise(vocabulary, end_id, width), "doc_id long, ids binary"), "ids", compression="zstd")
+    ids = scratch.keep(rows.mapInArrow(K.trimming(_tokenise(vocabulary, end_id, width)), "doc_id long, ids binary"), "ids", compression="zstd")
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(_id_counts(size, width), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(K.trimming(_id_counts(size, width)), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r.symbol] = r.n
     lengths = H.code_lengths(counts)
     spark.createDataFrame([(int(s), int(lengths[s]), int(counts[s])) for s in np.flatnonzero(lengths)], "symbol long, bits int, n long").coalesce(1).write.parquet(f"{path}/codes")
     ordered = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
-    ordered.mapInArrow(_pack(spark.sparkContext.broadcast(lengths), width, block_ids), _BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(K.trimming(_pack(spark.sparkContext.broadcast(lengths), width, block_ids)), _BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop(ids)
 
 
@@ -148,7 +149,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         lengths[r.symbol] = r.bits
     blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks")
     kinds = "part long, block long, doc_id long, seq long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    docs = blocks.select("part", "block", "n_ids", "doc_ids", "lens", "offsets", "payload").mapInArrow(_unpack(spark.sparkContext.broadcast(lengths), with_ids), kinds)
+    docs = blocks.select("part", "block", "n_ids", "doc_ids", "lens", "offsets", "payload").mapInArrow(K.trimming(_unpack(spark.sparkContext.broadcast(lengths), with_ids)), kinds)
     # ids before each part (a row a part), then before each block within its part
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
