@@ -268,10 +268,11 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
     open_bands = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     rest = scratch.keep(at.join(open_bands, "band", "left_semi").select("node", "component").distinct(), "rest")
     if not rest.isEmpty():
-        members = rest.join(texts, "node").select("node", "n", "component", "text")
+        members = scratch.keep(rest.join(texts, "node").select("node", "n", "component", "text"), "members")  # read three times
         counts = spark.sparkContext.broadcast(sketches.counts(members, "text", lambda column: _rows(kernel, column), sketches.cells_for(int(members.agg(F.sum("n")).first()[0] or 0))))
         prefix = members.mapInArrow(K.trimming(_rare_prefixes(kernel, link_num, link_den, counts)), "token long, pos long, node long, n long, component long")
         prefix = scratch.keep(prefix, "prefixes")
+        scratch.drop(members)
         open_tokens = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
         prefix = prefix.join(open_tokens, "token", "left_semi")
         other = prefix.select("token", F.col("pos").alias("pb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
