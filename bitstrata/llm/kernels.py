@@ -208,9 +208,9 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
     for k in range(1, size):
         first[(bounds[1:] - k)[count >= k]] = False
     first[bounds[:-1][(count > 0) & (count < size)]] = True
-    chain = np.zeros(len(words), np.uint64)
-    chain[: max(0, len(words) - size + 1)] = chain_hashes(words, size)
-    out = chain[first]
+    chain, out = chain_hashes(words, size), np.empty(out_bounds[-1], np.uint64)
+    chain = chain[first[: len(chain)]]
+    out[: len(chain)] = chain  # what lies after are short texts
     for n in range(1, size):
         if (short := np.flatnonzero(count == n)).size:
             own = words[bounds[short][:, None] + np.arange(n)]
@@ -221,6 +221,14 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
 def distinct_in_rows(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, laid end to end, and their bounds."""
     n = np.diff(bounds)
+    if len(n) > 1 and len(values) >= 48 * len(n):  # long rows: each sorted in its place
+        values, edge = values.copy(), bounds.tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            values[a:b].sort()
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = values[1:] != values[:-1]
+        fresh[bounds[:-1][n > 0]] = True
+        return values[fresh], np.concatenate([[0], np.cumsum(fresh)])[bounds]
     if 1 < len(n) <= 1 << 16 and len(values) < 1024 * len(n):  # many short rows: sorted together, then dealt to their rows
         row = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         order = np.argsort(values)
@@ -249,12 +257,13 @@ def minmax_signatures(sets: np.ndarray, bounds: np.ndarray, n_perm: int, seed: i
     each permutation.  Rows must not be empty."""
     a, b = permutations(n_perm, seed)
     low = (sets >> _U(32)).astype(np.uint32)
-    out = np.empty((len(bounds) - 1, 2 * n_perm), np.uint32)
+    out, y = np.empty((2 * n_perm, len(bounds) - 1), np.uint32), np.empty_like(low)
     for k in range(n_perm):
-        y = low * a[k] + b[k]
-        out[:, 2 * k] = np.minimum.reduceat(y, bounds[:-1])
-        out[:, 2 * k + 1] = np.maximum.reduceat(y, bounds[:-1])
-    return out
+        np.multiply(low, a[k], out=y)
+        np.add(y, b[k], out=y)
+        np.minimum.reduceat(y, bounds[:-1], out=out[2 * k])
+        np.maximum.reduceat(y, bounds[:-1], out=out[2 * k + 1])
+    return out.T
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:

@@ -16,29 +16,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch, sketches
 from bitstrata.llm.names import col, fresh, schema_of
-from bitstrata.llm.set_links import SLICE, Places, Wanted, linked
+from bitstrata.llm.set_links import SLICE, Places, Wanted, linked, moved, places_of
 
 SHINGLE, N_PERM, BAND_ROWS = 8, 32, 4
 LINK_NUM, LINK_DEN = 80, 100
 #: Line hashes that a task remembers having sent.
 MEMO = 1_000_000
+#: Bits of the first filter for each line that goes, over those of `bits_for`.
+MORE_BITS = 3
 
 
-def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, text, number within the text) of the lines that are not blank."""
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, text, number within the text) of the lines, but for some empty ones at a text's end."""
     feeds = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], feeds + 1]))
     starts = starts[starts < len(data)]
     row = np.searchsorted(offsets, starts, "right") - 1
     before = np.searchsorted(feeds, starts)
     number = before - np.searchsorted(feeds, offsets[:-1])[row]
-    ends = np.minimum(np.concatenate([feeds, [len(data)]])[before], offsets[row + 1])
+    return starts, np.minimum(np.concatenate([feeds, [len(data)]])[before], offsets[row + 1]), row, number
+
+
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, text, number within the text) of the lines that are not blank."""
+    starts, ends, row, number = lines_of(data, offsets)
     blank = K.is_space(data)
     for _ in range(8):  # most lines have little white space around them
         starts = starts + ((starts < ends) & blank[np.minimum(starts, len(data) - 1)])
@@ -54,42 +62,64 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    lens = ends - starts
-    off = np.concatenate([[0], np.cumsum(lens)])
-    at = np.arange(int(off[-1])) + np.repeat(starts - off[:-1], lens)
-    return pa.Array.from_buffers(pa.string(), len(lens), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+    """The texts of spans that don't overlap: every second one of the stretches that their bounds part."""
+    order = np.argsort(starts)
+    off = np.stack([starts[order], ends[order]], 1).ravel().astype(np.int32)
+    at = np.empty(len(order), np.int64)
+    at[order] = 2 * np.arange(len(order))
+    if not len(off):
+        return pa.array([], pa.string())
+    return pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]).take(pa.array(at))
 
 
-def distinct_lines(batches: Iterator[pa.RecordBatch], wanted: Wanted = None) -> Iterator[tuple[pa.Array, pa.Array, Places | None]]:
-    """(hash, line) of the lines of a task that are wanted, each about once; and where all
+def spots(owner: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """An integer for a line's document and number; two lines may share one."""
+    return K.mix64(K.mix64(owner.view(np.uint64)) + number.astype(np.uint64)).view(np.int64)
+
+
+def distinct_lines(batches: Iterator[pa.RecordBatch], wanted: Wanted = None) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, Places | None]]:
+    """(hash, line, spot) of the lines of a task that are wanted, each about once; and where all
     lines stand, as (hash, line's number, document), where all are wanted."""
     sent: set[int] = set()
     for batch in batches:
-        for i, j, data, offsets in K.pieces(batch.column(1), SLICE):
+        owners = batch.column(0).to_numpy()
+        for i, j, data, offsets in K.pieces(batch.column(1), SLICE if wanted is None else K.SLICE_BYTES):
+            if wanted is not None:  # what is not wanted is not looked at
+                starts, ends, row, number = lines_of(data, offsets)
+                spot = spots(owners[i:j][row], number)
+                at = np.flatnonzero(wanted(spot))
+                if not len(at):
+                    continue
+                data, offsets = K.utf8(_gather(data, starts[at], ends[at]))
+                low = K.lower(data)
+                starts, ends, row, _ = line_spans(low, offsets)
+                if len(starts):
+                    yield pa.array(K.span_hashes(low, starts, ends).view(np.int64)), _gather(low, starts, ends), pa.array(spot[at[row]]), None
+                continue
             low = K.lower(data)
             starts, ends, row, number = line_spans(low, offsets)
             every = K.span_hashes(low, starts, ends)
             hashes, where = np.unique(every, return_index=True)
-            if wanted is not None:
-                at = wanted(hashes.view(np.int64))
-                hashes, where = hashes[at], where[at]
             fresh = np.array([h not in sent for h in hashes.tolist()], bool)
             hashes, where = hashes[fresh], where[fresh]
             if len(sent) > MEMO:
                 sent.clear()
             sent.update(hashes.tolist())
-            places = None if wanted is not None else (every.view(np.int64), number, batch.column(0).slice(i, j - i).take(pa.array(row)))
             if len(every):
-                yield pa.array(hashes.view(np.int64)), _gather(low, starts[where], ends[where]), places
+                owner = owners[i:j][row]
+                yield pa.array(hashes.view(np.int64)), _gather(low, starts[where], ends[where]), pa.array(spots(owner[where], number[where])), (every.view(np.int64), number, owner)
 
 
 def character_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of eight characters, with repeats."""
-    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    wide = chars * np.uint64(0xD1342543DE82EF95)
+    if data.size and data.max() < 128:
+        chars, at = data, offsets
+    else:
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    wide = chars.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
     wide ^= wide >> np.uint64(29)
-    return K.shingles(wide, heads[offsets], SHINGLE)
+    return K.shingles(wide, at, SHINGLE)
 
 
 def character_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +148,59 @@ def _without(at: int, gone: int):
     return run
 
 
+def _pruned(at: int, key: int, going, staying):
+    """As `_without`, for rows whose lines that go are those in one filter and not in the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(key)
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            valid = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in K.pieces(batch.column(at)):
+                starts, ends, row, number = lines_of(data, offsets)
+                spot = spots(ids[i:j][row], number)
+                hit = np.flatnonzero(sketches.might_hold(going.value, spot) & known[i:j][row])
+                hit = hit[~sketches.might_hold(staying.value, spot[hit])]
+                blank = (ends[hit] <= starts[hit]) | K.is_space(data[np.minimum(starts[hit], len(data) - 1)])
+                blank[blank] = [K.is_space(data[starts[k] : ends[k]]).all() for k in hit[blank]]
+                hit = hit[~blank]
+                n = (np.diff(np.searchsorted(np.flatnonzero(data == 10), offsets)) + 1) * valid[i:j]
+                lost = np.bincount(row[hit], minlength=j - i)
+                text = batch.column(at).slice(i, j - i)
+                if len(hit):
+                    stays = np.ones(len(data), bool)
+                    # a line goes with the line feed after it, the last ones of a text with the one before them
+                    for a, b in zip(starts[hit].tolist(), np.minimum(ends[hit] + 1, offsets[row[hit] + 1]).tolist(), strict=True):
+                        stays[a:b] = False
+                    live = np.arange(len(starts))
+                    live[hit] = -1
+                    before = np.maximum.accumulate(live)[hit]
+                    last = (ends[hit] == offsets[row[hit] + 1]) & (before >= 0)
+                    before = before[last][row[before[last]] == row[hit[last]]]
+                    stays[ends[before]] = False
+                    off = np.searchsorted(np.flatnonzero(~stays), offsets)
+                    off = (offsets - off).astype(np.int32)
+                    made = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer(off), pa.py_buffer(data[stays])])
+                    text = made if valid[i:j].all() else pc.if_else(pa.array(valid[i:j]), made, pa.scalar(None, pa.string()))
+                rest = [batch.column(c).slice(i, j - i) if c != at else text.cast(pa.string()) for c in range(batch.num_columns) if c != key]
+                names = [x for c, x in enumerate(batch.schema.names) if c != key]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), pa.array((n - lost).astype(np.int64))], names=[*names, "n_lines", "n_kept"])
+
+    return run
+
+
+def _in_filter(bloom, out: str):
+    """(doc_id, line) -> spots of the lines, or ids of the documents, that a filter may hold; all without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = spots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            at = np.flatnonzero(sketches.might_hold(bloom.value, spot)) if bloom else slice(None)
+            yield pa.RecordBatch.from_arrays([pa.array((spot if out == "spot" else batch.column(0).to_numpy())[at])], names=[out])
+
+    return run
+
+
 def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with only the lines that stay in its text, and n_lines, n_kept.
 
@@ -130,16 +213,33 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
     key, out = fresh([*keep, "n_lines", "n_kept"], "id", "gone")
     text = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    items, homes, places = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines, character_shingles)
-    moved = items.join(homes, ["fp_hi", "fp_lo", "n"]).filter("id <> component").select(F.col("id").alias("h"), "component").distinct()
-    lines = scratch.keep(places.select(F.col("id").alias("h"), F.col("place").alias("line"), F.col("owner").alias("doc_id")).join(moved, "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("g")), "lines")
+    links = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines, character_shingles)
+    scratch.drop(links.classes)
+    others = moved(links).withColumnRenamed("id", "h")
+    lines = places_of(links.places).select(F.col("id").alias("h"), F.col("place").alias("line"), F.col("owner").alias("doc_id"))
+    lines = scratch.keep(lines.join(others, "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("g")), "lines")
     # rows of a group that has one place only need no second look; as a table, the places of a
     # group that stands in a third of all documents can be joined by several tasks
     first = lines.groupBy("g").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = scratch.keep(first.select("g", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("at")), "first")
-    gone = lines.join(first, "g").filter((F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("at")))
-    gone = scratch.keep(gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(out)), "gone")
-    some, others = sketches.parted(docs.select(*[col(c) for c in keep]), col(id_col).cast("long"), gone, key)
-    joined = some.join(gone, col(id_col).cast("long") == col(key), "left").drop(key)
-    joined = joined.unionByName(others.withColumn(out, F.lit(None).cast("array<bigint>")))
-    return joined.mapInArrow(_without(keep.index(text_col), len(keep)), schema_of(docs, keep, "n_lines long, n_kept long"))
+    goes = F.coalesce((F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("at")), F.lit(False))
+    judged = scratch.keep(lines.join(first, "g", "left").select("doc_id", "line", goes.alias("goes")), "judged")
+    scratch.drop(lines, first, links.places)
+
+    # Texts are not shuffled: a line goes if it is in a filter of those that go and not in one of those
+    # that stay but are in the first.  A document with a line that goes and is in both is joined.
+    sc, gone, stay = docs.sparkSession.sparkContext, judged.filter("goes").select("doc_id", "line"), judged.filter("not goes").select("doc_id", "line")
+    going = sc.broadcast(sketches.bloom(gone.mapInArrow(K.trimming(_in_filter(None, "spot")), "spot long"), "spot", sketches.bits_for(MORE_BITS * gone.count())))
+    false = scratch.keep(stay.mapInArrow(K.trimming(_in_filter(going, "spot")), "spot long"), "false")
+    staying = sc.broadcast(sketches.bloom(false, "spot", sketches.bits_for(MORE_BITS * false.count())))
+    open_ids = scratch.keep(gone.mapInArrow(K.trimming(_in_filter(staying, "doc_id")), "doc_id long"), "open").distinct()
+
+    whole, id_long, at = docs.select(*[col(c) for c in keep]), col(id_col).cast("long"), keep.index(text_col)
+    schema = schema_of(docs, keep, "n_lines long, n_kept long")
+    if open_ids.isEmpty():
+        return whole.withColumn(key, id_long).mapInArrow(_pruned(at, len(keep), going, staying), schema)
+    some, rest = sketches.parted(whole, id_long, open_ids, "doc_id")
+    lost = sketches.parted(gone, F.col("doc_id"), open_ids, "doc_id")[0]
+    lost = scratch.keep(lost.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(out)), "gone")
+    some = some.join(lost, id_long == col(key), "left").drop(key).mapInArrow(_without(at, len(keep)), schema)
+    return some.unionByName(rest.withColumn(key, id_long).mapInArrow(_pruned(at, len(keep), going, staying), schema))

@@ -12,7 +12,7 @@ from pyspark.sql.types import MapType, VariantType
 from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch, sketches
 from bitstrata.llm.names import col, fresh
-from bitstrata.llm.set_links import linked
+from bitstrata.llm.set_links import homes, linked
 
 N_PERM, BAND_ROWS = 80, 5
 LINK_NUM, LINK_DEN = 85, 100
@@ -28,8 +28,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     text = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    items, homes, _ = linked(text, lambda data, offsets: K.shingle_sets(data, offsets, size), link_num, link_den, n_perm, band_rows)
-    out = items.join(homes, ["fp_hi", "fp_lo", "n"], "left")
+    links = linked(text, lambda data, offsets: K.shingle_sets(data, offsets, size), link_num, link_den, n_perm, band_rows)
+    out = links.items.join(homes(links), ["fp_hi", "fp_lo", "n"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
     return scratch.keep(out, "near_duplicates")

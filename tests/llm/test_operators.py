@@ -314,6 +314,29 @@ def test_line_dedup(spark, empty):
     assert deduplicated_lines(empty).count() == 0
 
 
+def test_line_dedup_shuffles_no_texts(spark, monkeypatch):
+    """Filters tell which lines go; where they are too full for that, and where shingles stand in very many sets, results are the same."""
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefghij ", k=60)).strip() for _ in range(12)]
+
+    def line():
+        c = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            c[rng.randrange(len(c))] = rng.choice("xyz")
+        return "".join(c)
+
+    rows = [(k, rng.choice(["", " \n"]) + "\n".join(line() if rng.random() < 0.8 else rng.choice(["", "straße"]) for _ in range(rng.randint(1, 6))), k) for k in range(150)]
+    docs = spark.createDataFrame([*rows, (None, base[0], 0), (900, None, 1)], "doc_id long, text string, x int").repartition(5)
+    found = deduplicated_lines(docs.filter("doc_id >= 0"))
+    assert not re.search("Join|Aggregate", found._jdf.queryExecution().executedPlan().toString())
+    want = {tuple(r) for r in deduplicated_lines(docs).collect()}
+    assert sum(r[3] - r[4] for r in want) > 100 and (None, base[0], 0, 1, 1) in want and (900, None, 1, 0, 0) in want
+    monkeypatch.setattr("bitstrata.llm.sketches.bits_for", lambda n: 512)
+    monkeypatch.setattr("bitstrata.llm.set_links.HOT", 2)
+    monkeypatch.setattr("bitstrata.llm.set_links.PAIRS_HELD", 50)
+    assert {tuple(r) for r in deduplicated_lines(docs).collect()} == want
+
+
 # ---------------------------------------------------------------- 6
 
 
