@@ -8,6 +8,7 @@ six ASCII white-space characters, compared with A-Z lower-cased.
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -247,6 +248,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[
     return distinct_in_rows(*shingles(span_hashes(lower(data), starts, ends), bounds, size))
 
 
+@functools.cache
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from bitstrata.llm import kernels as K
 from bitstrata.llm import scratch, sketches
 from bitstrata.llm.names import col, fresh, schema_of
-from bitstrata.llm.set_links import SLICE, Places, Wanted, linked, moved, places_of
+from bitstrata.llm.set_links import SLICE, Places, Wanted, linked, moved, places_of, standing
 
 SHINGLE, N_PERM, BAND_ROWS = 8, 32, 4
 LINK_NUM, LINK_DEN = 80, 100
@@ -215,8 +215,11 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     links = linked(text, character_sets, LINK_NUM, LINK_DEN, N_PERM, BAND_ROWS, distinct_lines, character_shingles)
     scratch.drop(links.classes)
-    others = moved(links).withColumnRenamed("id", "h")
-    lines = places_of(links.places).select(F.col("id").alias("h"), F.col("place").alias("line"), F.col("owner").alias("doc_id"))
+    others = scratch.keep(moved(links), "moved")
+    # a line that stands in one place only and has no link stays: it takes no part in what follows
+    several, parts = standing(links.places, others)
+    others = others.withColumnRenamed("id", "h")
+    lines = places_of(links.places, several, parts).select(F.col("id").alias("h"), F.col("place").alias("line"), F.col("owner").alias("doc_id"))
     lines = scratch.keep(lines.join(others, "h", "left").select("doc_id", "line", F.coalesce("component", "h").alias("g")), "lines")
     # rows of a group that has one place only need no second look; as a table, the places of a
     # group that stands in a third of all documents can be joined by several tasks
@@ -224,14 +227,16 @@ def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = scratch.keep(first.select("g", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("at")), "first")
     goes = F.coalesce((F.col("doc_id") != F.col("doc")) | (F.col("line") != F.col("at")), F.lit(False))
     judged = scratch.keep(lines.join(first, "g", "left").select("doc_id", "line", goes.alias("goes")), "judged")
-    scratch.drop(lines, first, links.places)
+    scratch.drop(lines, first)
 
     # Texts are not shuffled: a line goes if it is in a filter of those that go and not in one of those
     # that stay but are in the first.  A document with a line that goes and is in both is joined.
     sc, gone, stay = docs.sparkSession.sparkContext, judged.filter("goes").select("doc_id", "line"), judged.filter("not goes").select("doc_id", "line")
+    single = places_of(links.places, several, parts, within=False).select(F.col("owner").alias("doc_id"), F.col("place").alias("line"))
     going = sc.broadcast(sketches.bloom(gone.mapInArrow(K.trimming(_in_filter(None, "spot")), "spot long"), "spot", sketches.bits_for(MORE_BITS * gone.count())))
-    false = scratch.keep(stay.mapInArrow(K.trimming(_in_filter(going, "spot")), "spot long"), "false")
+    false = scratch.keep(stay.unionByName(single).mapInArrow(K.trimming(_in_filter(going, "spot")), "spot long"), "false")
     staying = sc.broadcast(sketches.bloom(false, "spot", sketches.bits_for(MORE_BITS * false.count())))
+    scratch.drop(links.places)
     open_ids = scratch.keep(gone.mapInArrow(K.trimming(_in_filter(staying, "doc_id")), "doc_id long"), "open").distinct()
 
     whole, id_long, at = docs.select(*[col(c) for c in keep]), col(id_col).cast("long"), keep.index(text_col)

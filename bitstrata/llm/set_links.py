@@ -14,9 +14,10 @@ Plan, in tables that are written and read again:
    sets have equal band keys);
 2. band keys that several sets share, found by counting keys alone, by 32 bits within a
    part (a chance match only makes a bucket larger); the records are then read again
-   behind a Bloom filter of those keys.  In each bucket the member
-   that collides most leads, and every other member is compared with its leader only
-   (no pairs within a bucket are made);
+   behind a Bloom filter of those keys, with a table of the buckets' sizes, and their
+   keys dealt packed.  In each bucket the member that collides most leads, and every other
+   member is compared with its leader only (no pairs within a bucket are made); the rows
+   of a bucket of very many sets are left to a join that can be split;
 3. texts of the candidates, from a second pass behind a Bloom filter of the places where
    they were met, so that nothing else is hashed again; they travel in place of their sets, which are some
    times larger and are made anew where needed;
@@ -51,6 +52,8 @@ KEYS_HELD, KEYS_A_PART = 1 << 20, 1 << 20
 RECORDS, RECORDS_HELD, RECORDS_A_PART = 1 << 13, 1 << 16, 1 << 15
 #: Prefix rows that a part has on average, pairs that a task makes at once, rows of a shingle over which it is left to a join.
 PREFIXES_A_PART, PAIRS_HELD, HOT = 1 << 17, 1 << 20, 1 << 10
+#: Binary logarithm of the members from which a bucket is large.
+LARGE = 16
 #: (bytes, offsets) of texts -> (set values laid end to end, bounds)
 Kernel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: integer spots -> which of them are asked for; None: all
@@ -61,6 +64,7 @@ Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: stands for where an item was met, so that a second pass can tell without reading the item
 Items = Callable[[Iterator[pa.RecordBatch], Wanted], Iterator[tuple[pa.Array, pa.Array, pa.Array, Places | None]]]
 PREFIX = np.dtype([("token", np.uint64), ("pos", np.int64), ("node", np.int64), ("n", np.int64), ("component", np.int64)])
+BUCKET = np.dtype([("band", np.int64), ("node", np.int64), ("rank", np.int64)])
 PLACE = np.dtype([("id", np.int64), ("owner", np.int64), ("place", np.int64)])
 
 
@@ -141,7 +145,13 @@ def _signatures(items: Items, kernel: Kernel, n_perm: int, rows: int):
 
 def _folded(records: np.ndarray) -> np.ndarray:
     """One record for each set, with the least id, its spot, and the largest id."""
-    order = np.lexsort((records["id"], records["n"], records["hi"], records["lo"]))
+    order = np.argsort(records["lo"])
+    lo = records["lo"][order]
+    twice = np.zeros(len(order) + 1, bool)
+    twice[1:-1] = lo[1:] == lo[:-1]
+    some = twice[1:] | twice[:-1]  # only equal ones need the other keys
+    equal = records[order[some]]
+    order[some] = order[some][np.lexsort((equal["id"], equal["n"], equal["hi"], equal["lo"]))]
     key = [records[c][order] for c in ("lo", "hi", "n")]
     fresh = np.ones(len(order), bool)
     fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
@@ -160,13 +170,7 @@ def _dealt(parts: int, record: np.dtype):
 
         def out() -> pa.RecordBatch:
             records = _folded(np.concatenate(held))
-            part = (records["lo"] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            records = records[order]
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(edge))
-            blobs = [records[edge[k] : edge[k + 1]].tobytes() for k in some]
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], names=["part", "items"])
+            return pa.RecordBatch.from_arrays(_by_part(records, (records["lo"] % np.uint64(parts)).astype(np.int64), parts), names=["part", "items"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -212,12 +216,13 @@ def _columns(packed: DataFrame, column: str, record: np.dtype) -> DataFrame:
     return packed.select(column).mapInArrow(K.trimming(run), "id long, n long, fp_hi long, fp_lo long, several boolean")
 
 
-def places_of(packed: DataFrame) -> DataFrame:
-    """(id, place, owner) of the packed places."""
+def places_of(packed: DataFrame, bloom, parts: int, within: bool = True) -> DataFrame:
+    """(id, place, owner) of the packed places whose ids the filter of `standing` may hold, or of those that it doesn't hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unpacked(batch.column(0), PLACE)
+            x = x[sketches.might_hold(bloom.value, _short(np.ascontiguousarray(x["id"]).view(np.uint64), parts).view(np.int64)) == within]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in ("id", "place", "owner")], names=["id", "place", "owner"])
 
     return packed.select("places").mapInArrow(K.trimming(run), "id long, place long, owner long")
@@ -228,8 +233,8 @@ def _short(keys: np.ndarray, parts: int) -> np.ndarray:
     return keys % np.uint64(parts) << np.uint64(32) | keys >> np.uint64(32)
 
 
-def _key_counts(parts: int):
-    """Band keys of the records -> (part, keys, counts): band keys dealt by value, each once for every
+def _key_counts(parts: int, keys_of: Callable[[pa.Array], np.ndarray]):
+    """Keys of the records -> (part, keys, counts): keys dealt by value, each once for every
     KEYS_HELD that a task has read, so that a key of very many sets is few entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +250,7 @@ def _key_counts(parts: int):
 
         for batch in batches:
             for k in range(batch.num_rows):
-                held.append(_short(_unpacked(batch.column(0).slice(k, 1), np.dtype(np.uint64)), parts))
+                held.append(_short(keys_of(batch.column(0).slice(k, 1)), parts))
                 if sum(map(len, held)) >= KEYS_HELD:
                     yield out()
                     held = []
@@ -269,12 +274,34 @@ def _shared_keys(key, table):
 
 def _shared(classes: DataFrame, parts: int) -> DataFrame:
     """(band, members) of the band keys that several sets have."""
-    dealt = classes.select("bands").mapInArrow(K.trimming(_key_counts(parts)), "part long, keys binary, counts binary")
+    counted = _key_counts(parts, lambda column: _unpacked(column, np.dtype(np.uint64)))
+    dealt = classes.select("bands").mapInArrow(K.trimming(counted), "part long, keys binary, counts binary")
     return dealt.groupBy("part").applyInArrow(_shared_keys, "band long, members long")
 
 
-def _shared_bands(bloom, parts: int):
-    """(heads, bands) -> (band, node) for the keys that may be shared."""
+def standing(packed: DataFrame, others: DataFrame):
+    """(broadcast filter, parts) of the ids of packed places that stand in several or are among `others`'
+    (id, component); `_short` of an id is what the filter holds, so that a few more may pass."""
+    n = int(packed.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // PLACE.itemsize
+    parts = max(16, min(1 << 20, -(-n // KEYS_A_PART)))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(_short(batch.column(c).to_numpy().view(np.uint64), parts).view(np.int64))], names=["band"])
+
+    counted = _key_counts(parts, lambda column: np.ascontiguousarray(_unpacked(column, PLACE)["id"]).view(np.uint64))
+    several = packed.select("places").mapInArrow(K.trimming(counted), "part long, keys binary, counts binary").groupBy("part").applyInArrow(_shared_keys, "band long, members long")
+    keys = scratch.keep(several.select("band").unionByName(others.mapInArrow(K.trimming(named), "band long")), "standing")
+    bloom = sketches.bloom(keys, "band", sketches.bits_for(2 * keys.count()))
+    scratch.drop(keys)
+    return packed.sparkSession.sparkContext.broadcast(bloom), parts
+
+
+def _shared_bands(bloom, sizes, parts: int, least: int, large: bool):
+    """(heads, bands) -> (part, rows): packed rows of the keys that may be shared, dealt by key; where `large`
+    (band, node, rank), for the buckets that may be larger than a part should be, which are else left out.
+    A node's rank is one integer: the sizes of its buckets, then a hash; of equal sizes any may lead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +310,53 @@ def _shared_bands(bloom, parts: int):
                 keys = _short(_unpacked(batch.column(1).slice(k, 1), np.dtype(np.uint64)), parts).view(np.int64)
                 width = max(1, len(keys) // max(1, len(ids)))
                 at = np.concatenate([i + np.flatnonzero(sketches.might_hold(bloom.value, keys[i : i + SLICE])) for i in range(0, len(keys), SLICE)] or [np.zeros(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[at // width])], names=["band", "node"])
+                own, power = at // width, sketches.level(sizes.value, keys[at])
+                weight = np.minimum(np.bincount(own, np.exp2(power), len(ids)), 1 << 20).astype(np.int64)
+                rank = weight << 42 | (K.mix64(ids.view(np.uint64)) >> np.uint64(22)).view(np.int64)
+                some = np.flatnonzero((power >= least) == large)
+                rows = np.empty(len(some), BUCKET)
+                rows["band"], rows["node"], rows["rank"] = keys[at[some]], ids[own[some]], rank[own[some]]
+                if large:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in BUCKET.names], names=list(BUCKET.names))
+                else:
+                    yield pa.RecordBatch.from_arrays(_by_part(rows, rows["band"] >> 32, parts), names=["part", "rows"])
 
     return run
 
 
+def _by_part(rows: np.ndarray, part: np.ndarray, parts: int) -> list[pa.Array]:
+    """(part, packed rows) of the parts that have rows."""
+    order = np.argsort(part, kind="stable")
+    rows, edge = rows[order], np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(edge))
+    return [pa.array(some), pa.array([rows[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary())]
+
+
+def _led(key, table):
+    """All packed rows of a part -> (band, node, a, members) of the buckets of several members, but for their leaders a."""
+    x = _unpacked(table.column("rows"), BUCKET)
+    x = x[np.lexsort((x["rank"], x["band"]))]
+    first = np.flatnonzero(np.concatenate([[True], x["band"][1:] != x["band"][:-1]]))
+    size = np.diff(np.concatenate([first, [len(x)]]))
+    leader = np.repeat(x["node"][first + size - 1], size)
+    at = np.flatnonzero(x["node"] != leader)
+    return pa.table({"band": x["band"][at], "node": x["node"][at], "a": leader[at], "members": np.repeat(size, size)[at]})
+
+
+def _buckets(classes: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
+    """(band, node, a, members): each bucket's members with its leader, the member that collides most; without the leader."""
+    spark, n = classes.sparkSession, shared.count()
+    bloom = spark.sparkContext.broadcast(sketches.bloom(shared, "band", sketches.bits_for(n)))
+    sizes = spark.sparkContext.broadcast(sketches.levels(shared, "band", "members", sketches.cells_for(n)))
+    packed = classes.select("heads", "bands").mapInArrow(K.trimming(_shared_bands(bloom, sizes, parts, LARGE, False)), "part long, rows binary")
+    out = packed.groupBy("part").applyInArrow(_led, "band long, node long, a long, members long")
+    if not shared.filter(F.col("members") >= 1 << LARGE).isEmpty():  # by a join that can be split
+        rows = scratch.keep(classes.select("heads", "bands").mapInArrow(K.trimming(_shared_bands(bloom, sizes, parts, LARGE, True)), "band long, node long, rank long"), "large")
+        leaders = rows.groupBy("band").agg(F.max_by("node", "rank").alias("a"), F.count("*").alias("members"))
+        out = out.unionByName(rows.join(leaders, "band").filter("node <> a").select("band", "node", "a", "members"))
+    return scratch.keep(out, "buckets")
+
+
 def _spots(bloom):
     """Heads -> spots of those whose id may be held."""
 
@@ -359,11 +428,7 @@ def _rare_prefixes(kernel: Kernel, num: int, den: int, counts, parts: int):
                 held.append(made)
             if held:
                 rows = np.concatenate(held)
-                part = (rows["token"] % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                rows, edge = rows[order], np.searchsorted(part[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(edge))
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary())], names=["part", "rows"])
+                yield pa.RecordBatch.from_arrays(_by_part(rows, (rows["token"] % np.uint64(parts)).astype(np.int64), parts), names=["part", "rows"])
 
     return run
 
@@ -432,20 +497,12 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
 
     parts = max(16, min(1 << 20, -(-n * len(np.zeros(1, record)["bands"][0]) // KEYS_A_PART)))
     shared = scratch.keep(_shared(classes, parts), "shared")
-    bloom = sketches.bloom(shared, "band", sketches.bits_for(shared.count()))
-    keyed = classes.select("heads", "bands").mapInArrow(K.trimming(_shared_bands(spark.sparkContext.broadcast(bloom), parts)), "band long, node long")
-    buckets = scratch.keep(keyed.join(shared, "band").select("band", "node", "members"), "buckets")
+    buckets = _buckets(classes, shared, parts)
     scratch.drop(shared)
-    weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
-    # one integer, so that rows are hashed and not sorted; of equal weights any may lead
-    rank = F.shiftleft(F.least("weight", F.lit(1 << 20)), 42).bitwiseOR(F.shiftrightunsigned(F.xxhash64("node"), 22))
-    leaders = buckets.join(weight, "node").groupBy("band").agg(F.max_by("node", rank).alias("a"), F.max("members").alias("members"))
-    leaders = scratch.keep(leaders, "leaders")
-    star = scratch.keep(buckets.drop("members").join(leaders, "band").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "star")
-
-    nodes = buckets.select("node").distinct()
-    bits = sketches.bits_for(3 * nodes.count())  # a false hit is a text to shuffle
-    bloom = sketches.bloom(nodes, "node", bits)
+    star = scratch.keep(buckets.select("a", F.col("node").alias("b")).distinct(), "star")
+
+    bits = sketches.bits_for(4 * star.count())  # a false hit is a text to shuffle
+    bloom = sketches.bloom(star.select(F.explode(F.array("a", "b")).alias("node")), "node", bits)
     if not plain:
         bloom = sketches.bloom(classes.select("heads").mapInArrow(K.trimming(_spots(spark.sparkContext.broadcast(bloom))), "spot long"), "spot", bits)
     met = source.mapInArrow(K.trimming(_candidates(items, kernel, spark.sparkContext.broadcast(bloom))), "node long, n long, text string")
@@ -455,8 +512,7 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
     found = components(links)
 
     # a leader has met all of its bucket: what is open lies between the others
-    others = buckets.filter("members > 2").drop("members").join(leaders.filter("members > 2").drop("members"), "band").filter("node <> a")
-    at = others.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    at = buckets.filter("members > 2").select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     open_bands = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     rest = scratch.keep(at.join(open_bands, "band", "left_semi").select("node", "component").distinct(), "rest")
     if not rest.isEmpty():
@@ -475,13 +531,13 @@ def linked(source: DataFrame, kernel: Kernel, link_num: int, link_den: int, n_pe
             reach = ((F.col("n") - F.col("pos")) * (link_num + link_den) >= need) & ((F.col("nb") - F.col("pb")) * (link_num + link_den) >= need)
             joined = prefix.drop("b").join(other, "token").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & reach)
             across = across.unionByName(joined.select(F.col("node").alias("a"), "b"))
-        across = across.distinct()
-        done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = scratch.keep(_verified(across.join(done, ["a", "b"], "left_anti"), texts, kernel, link_num, link_den), "links")
+        done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("done"))
+        across = across.withColumn("done", F.lit(0)).unionByName(done).groupBy("a", "b").agg(F.max("done").alias("done")).filter("done = 0")
+        more = scratch.keep(_verified(across.select("a", "b"), texts, kernel, link_num, link_den), "links")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    scratch.drop(buckets, leaders, star, texts, links, rest)
+    scratch.drop(buckets, star, texts, links, rest)
     return Linked(own, classes, found, same, places)
 
 

@@ -81,6 +81,34 @@ def parted(docs: DataFrame, ids: Column, found: DataFrame, column: str) -> tuple
     return docs.filter(flag), docs.filter(~flag)
 
 
+def _slots(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return ((hashes * _U(0x9E3779B97F4A7C15)) >> _U(64 - cells.bit_length() + 1)).astype(np.int64)
+
+
+def levels(df: DataFrame, column: str, number: str, cells: int) -> np.ndarray:
+    """Table of the binary logarithms (floors) of the keys' numbers, the largest of a cell's."""
+
+    def fill(batches):
+        table = np.zeros(cells, np.uint8)
+        for batch in batches:
+            keys, n = (batch.column(c).to_numpy() for c in (0, 1))
+            np.maximum.at(table, _slots(keys.view(np.uint64), cells), (np.frexp(n.astype(np.float64))[1] - 1).astype(np.uint8))
+        yield from _segments(table, _SEGMENT)
+
+    def merge(key, table):
+        out = np.zeros(0, np.uint8)
+        for raw in table.column("part"):
+            part = np.frombuffer(raw.as_py(), np.uint8)
+            out = part.copy() if not len(out) else np.maximum(out, part)
+        return pa.table({"segment": [key[0].as_py()], "part": [out.tobytes()]}, schema=_SCHEMA)
+
+    return _gather(df.select(column, number), fill, merge, cells, np.uint8)
+
+
+def level(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return table[_slots(keys.view(np.uint64), len(table))].astype(np.int64)
+
+
 def estimate(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Upper estimates of how often each hash was counted."""
     return table[((hashes * _U(0x9E3779B97F4A7C15)) >> _U(64 - int(len(table)).bit_length() + 1)).astype(np.int64)]
@@ -120,6 +148,8 @@ def _segments(values: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
 def _gather(df: DataFrame, fill, merge, length: int, dtype) -> np.ndarray:
     out = np.zeros(length, dtype)
     parts = df.mapInArrow(K.trimming(fill), "segment int, part binary").groupBy("segment").applyInArrow(merge, "segment int, part binary")
+    # each part that comes to the driver is a job: some megabytes, not a few segments or none
+    parts = parts.coalesce(max(1, length * out.itemsize >> 22))
     for row in parts.toLocalIterator():
         out[row.segment * _SEGMENT : row.segment * _SEGMENT + len(row.part) // out.itemsize] = np.frombuffer(bytes(row.part), dtype)
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bitstrata.llm import huffman, language_id, lattice_lm, queries, subwords, topk_search
+from bitstrata.llm import huffman, language_id, lattice_lm, queries, sketches, subwords, topk_search
 from bitstrata.llm.components import components
 from bitstrata.llm.decontaminate import contaminated
 from bitstrata.llm.lattice_lm import DISCOUNT, Lattice, lattice_scores, load_pieces
@@ -337,6 +337,43 @@ def test_line_dedup_shuffles_no_texts(spark, monkeypatch):
     assert {tuple(r) for r in deduplicated_lines(docs).collect()} == want
 
 
+def test_line_dedup_of_large_buckets_and_graphs(spark, monkeypatch):
+    """Buckets and graphs over what one task holds go by joins, with the same results."""
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefghij ", k=60)).strip() for _ in range(6)]
+    rows = [(k, "\n".join(rng.choice(base)[:-1] + rng.choice("uvwxyz") for _ in range(4))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {tuple(r) for r in deduplicated_lines(docs).collect()}
+    assert sum(r[3] for r in want) == 6
+    monkeypatch.setattr("bitstrata.llm.set_links.LARGE", 1)
+    monkeypatch.setattr("bitstrata.llm.components.HELD", 3)
+    assert {tuple(r) for r in deduplicated_lines(docs).collect()} == want
+
+
+def test_few_jobs_for_small_graphs_and_filters(spark):
+    """However many partitions a shuffle has, a small filter is one job to fetch, and a small graph no rounds of shuffles."""
+    rng = random.Random(7)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1300)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    sc, old = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        links = spark.createDataFrame(rng.sample(edges, len(edges)), "a long, b long").repartition(7)
+        for name, run in (("filter", lambda: sketches.bloom(links, "a", 1 << 20)), ("graph", lambda: components(links).collect())):
+            sc.setJobGroup(name, name)
+            found = run()
+            assert len(sc.statusTracker().getJobIdsForGroup(name)) <= 8, name
+        assert {tuple(r) for r in found} == {(a, b) for a, b in root.items() if any(x != y and a in (x, y) for x, y in edges)}
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- 6
 
 
